@@ -39,6 +39,13 @@ def period_order(year: Column, quarter: Column) -> Column:
     return year * 4 + F.coalesce(quarter, F.lit(4))
 
 
+def fixed(c: Column, places: int, *, sign: bool = False) -> Column:
+    """A decimal with a fixed number of places, half to even, optionally always signed."""
+    size = F.bround(F.abs(c), places).cast(f"decimal(38,{places})").cast("string")
+    mark = F.when(c < 0, F.lit("-")).otherwise(F.lit("+" if sign else ""))
+    return F.concat(mark, size)
+
+
 def percent_change(current: Column, previous: Column) -> Column:
     """(current - previous) / previous * 100, two places, half to even; NULL on a zero base."""
     ratio = F.try_divide((current - previous).cast("decimal(22,6)") * F.lit(100).cast("decimal(3,0)"),

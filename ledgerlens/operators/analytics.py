@@ -30,11 +30,11 @@ def _last_by_name(metrics: DataFrame, names: list[str]) -> DataFrame:
 
 
 def _pct(c: Column, *, sign: bool = True) -> Column:
-    return F.format_string("%+.2f%%" if sign else "%.2f%%", (c * 100).cast("decimal(30,8)"))
+    return F.concat(money.fixed(c * 100, 2, sign=sign), F.lit("%"))
 
 
 def _money(c: Column) -> Column:
-    return F.format_string("%,.2f", c)
+    return F.format_number(c, 2)
 
 
 def ratios(metrics: DataFrame) -> DataFrame:
@@ -188,7 +188,7 @@ def leverage_signals(comparisons: DataFrame) -> DataFrame:
     kind = F.col("comparison_type")
     gap = now - was
     cls = _three_way(gap, "LEVERAGE_DETERIORATION", "LEVERAGE_IMPROVEMENT", "LEVERAGE_UNCHANGED")
-    four = lambda c: F.format_string("%.4f", c)
+    four = lambda c: money.fixed(c, 4)
     moved = F.concat(
         F.when(gap < 0, F.lit("improved from ")).otherwise(F.lit("deteriorated from ")),
         four(was), F.lit(" to "), four(now),
@@ -308,7 +308,7 @@ def ratio_rows(r: DataFrame) -> DataFrame:
     code = F.col("signal_code")
     percent_like = code != "DEBT_TO_REVENUE"
     shown = F.when(percent_like, _pct(F.col("value"), sign=False)).otherwise(
-        F.format_string("%.4f", F.col("value"))
+        money.fixed(F.col("value"), 4)
     )
     return r.select(
         "company_id", "report_id", code.alias("metric_name"),

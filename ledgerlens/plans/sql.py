@@ -220,4 +220,7 @@ def with_tables(body: str) -> str:
     if not wanted:
         return body.strip()
     parts = [f"{t} AS ({TABLES[t].strip()}\n)" for t in TABLES if t in wanted]
-    return "WITH " + ",\n".join(parts) + "\n" + body.strip()
+    body = body.strip()
+    if body.upper().startswith("WITH "):
+        return "WITH " + ",\n".join(parts) + ",\n" + body[5:]
+    return "WITH " + ",\n".join(parts) + "\n" + body
