@@ -326,7 +326,7 @@ def build_analytics(
     thresholds: dict[str, str] | None = None, pct_scale: int = 1,
 ) -> DataFrame:
     """All ratios and signals of every report in one table, validated and free of duplicates."""
-    located = attach_report(comparisons, metrics)
+    located = comparisons if "report_id" in comparisons.columns else attach_report(comparisons, metrics)
     signals = (
         comparison_signals(located, thresholds=thresholds, pct_scale=pct_scale)
         .unionByName(leverage_signals(located))

@@ -13,11 +13,9 @@ from ledgerlens.functions.chunking import cut
 _PIECES = "array<struct<chunk_text:string,token_count:int>>"
 
 
-@F.pandas_udf(_PIECES)
-def cut_sections(
+def _cut_sections(
     body: pd.Series, target: pd.Series, limit: pd.Series, overlap: pd.Series, table: pd.Series
 ) -> pd.Series:
-    """Pieces of each section; the fold over one section is sequential, sections are parallel."""
     return pd.Series([
         [
             {"chunk_text": t, "token_count": n}
@@ -27,6 +25,11 @@ def cut_sections(
     ])
 
 
+def cut_sections(body, target, limit, overlap, table) -> Column:
+    """Pieces of each section; the fold over one section is sequential, sections are parallel."""
+    return F.pandas_udf(_cut_sections, _PIECES)(body, target, limit, overlap, table)
+
+
 def strategy(section: Column) -> Column:
     """Chunking settings of a section: struct(target, limit, min, overlap, is_table)."""
     def pick(key: str, default: int) -> Column:

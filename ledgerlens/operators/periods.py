@@ -59,14 +59,18 @@ def _match(points: DataFrame, types: tuple[str, ...], how: str) -> DataFrame:
 
 
 def compare_periods(
-    metrics: DataFrame, types: tuple[str, ...] = ("YOY", "QOQ"), *, deduped: bool = False
+    metrics: DataFrame, types: tuple[str, ...] = ("YOY", "QOQ"), *, deduped: bool = False,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Year-over-year and quarter-over-quarter comparisons for every company at once."""
+    """Year-over-year and quarter-over-quarter comparisons for every company at once.
+
+    ``carry`` names further columns of the current metric to keep, such as its report.
+    """
     points = metrics if deduped else best_points(metrics)
-    points = points.select("metric_id", *POINT, "value")
+    points = points.select("metric_id", *POINT, "value", *carry)
     cur, prev = F.col("value"), F.col("previous_value")
     return _match(points, types, "inner").select(
-        "metric_id", "company_id",
+        "metric_id", "company_id", *carry,
         F.col("normalized_metric_name").alias("metric_name"), "comparison_type",
         money.period_label(F.col("fiscal_year"), F.col("fiscal_quarter")).alias("current_period"),
         money.period_label(F.col("prev_year"), F.col("prev_quarter")).alias("previous_period"),

@@ -1,2 +1,2 @@
 from ledgerlens.plans.registry import QUERIES, SQL  # noqa: F401
-from ledgerlens.plans import finance  # noqa: F401  (registers its queries)
+from ledgerlens.plans import filings, finance  # noqa: F401  (each registers its queries)

@@ -9,6 +9,7 @@ from ledgerlens.functions import money
 from ledgerlens.operators import analytics, periods, reads, summaries
 from ledgerlens.plans import sql as S
 from ledgerlens.plans.registry import query
+from ledgerlens.session import cut_lineage
 from ledgerlens.sources import derive
 
 _FLAT = "* EXCLUDE (flags, report_id), array_to_string(flags, ',') AS flags"
@@ -16,8 +17,7 @@ _FLAT = "* EXCLUDE (flags, report_id), array_to_string(flags, ',') AS flags"
 
 def _comparisons(spark, sf, *, located=False):
     m = derive.metrics(spark, sf)
-    c = periods.compare_periods(m, deduped=True)
-    return analytics.attach_report(c, m) if located else c
+    return periods.compare_periods(m, deduped=True, carry=("report_id",) if located else ())
 
 
 @query("period_comparison", S.with_tables(f"SELECT {_FLAT} FROM point_comparisons"))
@@ -193,8 +193,9 @@ SELECT company_id, report_id, CASE WHEN signal_code = 'DEBT_TO_REVENUE' THEN 'LE
 
 
 def _analytics(spark, sf):
-    m = derive.metrics(spark, sf)
-    return analytics.build_analytics(m, periods.compare_periods(m, deduped=True))
+    # several branches read the metrics: they are written once, as the stages of a job would be
+    m = cut_lineage(derive.metrics(spark, sf))
+    return analytics.build_analytics(m, periods.compare_periods(m, deduped=True, carry=("report_id",)))
 
 
 @query("report_analytics", S.with_tables("SELECT * FROM analytics_t"))
@@ -255,7 +256,9 @@ def analytics_summary(spark, sf):
 
 @query("comparisons_of_reports", S.with_tables("SELECT report_id, metric_id, comparison_type, percentage_change FROM comparisons_t"))
 def comparisons_of_reports(spark, sf):
-    return _comparisons(spark, sf, located=True).select("report_id", "metric_id", "comparison_type", "percentage_change")
+    m = derive.metrics(spark, sf)
+    return analytics.attach_report(periods.compare_periods(m, deduped=True), m).select(
+        "report_id", "metric_id", "comparison_type", "percentage_change")
 
 
 @query("company_metric_history", S.with_tables("""
