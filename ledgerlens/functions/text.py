@@ -8,6 +8,7 @@ as for ASCII.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,6 +18,11 @@ WORD = r"[\p{L}\p{N}_]"
 TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\x0B\x1C-\x1F\x85\p{Z}]"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` with ``value`` computed once, however often ``body`` refers to it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def strip(c: Column) -> Column:
     """Trim every kind of Unicode white space at both ends."""
     return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
@@ -56,9 +62,12 @@ def sentences(c: Column, *, blanks_only: bool = False) -> Column:
 
 
 def occurrences(lowered: Column, phrase: str) -> Column:
-    """Non-overlapping raw substring hits of one phrase in already lower-cased text."""
-    shrunk = F.length(F.replace(lowered, F.lit(phrase), F.lit("")))
-    return ((F.length(lowered) - shrunk) / F.lit(len(phrase))).cast("int")
+    """Non-overlapping raw substring hits of one phrase in already lower-cased text.
+
+    Byte lengths are known without a scan, and a text without the phrase is not copied.
+    """
+    shrunk = F.octet_length(F.replace(lowered, F.lit(phrase), F.lit("")))
+    return ((F.octet_length(lowered) - shrunk) / F.lit(len(phrase.encode()))).cast("int")
 
 
 def phrase_total(lowered: Column, phrases: list[str]) -> Column:
@@ -94,12 +103,21 @@ def name_tokens(c: Column, stop_words: list[str]) -> Column:
 
 def jaccard(a: Column, b: Column) -> Column:
     """Overlap of two sets held as arrays of distinct items; 0 when either is empty."""
-    shared = F.size(F.array_intersect(a, b))
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(
-        shared / (F.size(a) + F.size(b) - shared)
-    )
+    def ratio(s: Column) -> Column:
+        shared = F.size(F.array_intersect(s["a"], s["b"]))
+        return F.when((F.size(s["a"]) == 0) | (F.size(s["b"]) == 0), F.lit(0.0)).otherwise(
+            shared / (F.size(s["a"]) + F.size(s["b"]) - shared))
+
+    return let(F.struct(a.alias("a"), b.alias("b")), ratio)
 
 
 def title_words(c: Column) -> Column:
     """``SUPPLY_CHAIN`` → ``Supply Chain``."""
     return F.initcap(F.replace(c, F.lit("_"), F.lit(" ")))
+
+
+def dictionary(rows: list[tuple], names: list[str]) -> Column:
+    """A fixed vocabulary as one literal array of structs."""
+    return F.array(*[
+        F.struct(*[F.lit(v).alias(n) for v, n in zip(row, names)]) for row in rows
+    ])

@@ -48,7 +48,7 @@ def rank_items(
     share = (F.col("_m") - F.col("_rank") + 0.5) / F.col("_m") * 100.0
     return keyed.join(ranked, [*partition, "_o"], "left").withColumn("rank", F.col("_rank")).withColumn(
         "percentile", F.greatest(F.lit(0.0), F.least(F.lit(100.0), share))
-    ).drop("_o", "_rank", "_m")
+    ).withColumn("percentile", F.when(F.col("_rank").isNotNull(), F.col("percentile"))).drop("_o", "_rank", "_m")
 
 
 def normalize_scores(
@@ -190,7 +190,7 @@ def tone_dimension(tones: DataFrame, which: DataFrame) -> DataFrame:
     spread = F.sqrt(F.greatest(F.lit(0.0), F.round(F.col("_sq") - F.col("SENTIMENT_SCORE") ** 2, 12)))
     return agg.select(
         "company_id", "SENTIMENT_SCORE", "CONFIDENCE_SCORE", "HEDGING_SCORE",
-        F.greatest(F.lit(0.0), 1.0 - spread).alias("TONE_STABILITY"),
+        F.when(F.col("SENTIMENT_SCORE").isNotNull(), F.greatest(F.lit(0.0), 1.0 - spread)).alias("TONE_STABILITY"),
         (F.col("CONFIDENCE_SCORE") - F.col("_before")).alias("CONFIDENCE_EVOLUTION"),
     )
 

@@ -337,11 +337,13 @@ def fuse(results: DataFrame) -> DataFrame:
 
 def lexical_score(query: Column, body: Column) -> Column:
     """min(1, jaccard + min(.05 * shared words, .5)) to four places."""
-    q, b = text.word_set(query), text.word_set(body)
-    shared = F.size(F.array_intersect(q, b))
-    union = F.size(q) + F.size(b) - shared
-    ratio = F.when(union > 0, shared / union).otherwise(F.lit(0.0))
-    return F.bround(F.least(F.lit(1.0), ratio + F.least(shared * 0.05, F.lit(0.5))), 4)
+    def score(s: Column) -> Column:
+        shared = F.size(F.array_intersect(s["q"], s["b"]))
+        union = F.size(s["q"]) + F.size(s["b"]) - shared
+        ratio = F.when(union > 0, shared / union).otherwise(F.lit(0.0))
+        return F.bround(F.least(F.lit(1.0), ratio + F.least(shared * 0.05, F.lit(0.5))), 4)
+
+    return text.let(F.struct(text.word_set(query).alias("q"), text.word_set(body).alias("b")), score)
 
 
 def rerank(results: DataFrame, k: int, scorer: Callable[[Column, Column], Column] = lexical_score) -> DataFrame:

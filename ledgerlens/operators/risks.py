@@ -18,47 +18,55 @@ def has_trigger(c: Column) -> Column:
 
 
 def keyword_hits(lowered: Column, keywords: dict[str, list[str]] | None = None) -> Column:
-    """Per category with a keyword in the text: category, first keyword in definition
-    order, and the rank of its longest keyword (longest first, definition order on ties).
+    """Per category with a keyword in the text: (place, category, keyword).
 
-    A first any-keyword test in one pass spares most sentences the per-category work.
+    ``keyword`` is the category's first keyword in definition order, ``place`` the rank of
+    its longest one (longest first, definition order on ties).  The vocabulary is one
+    literal array, so the expression stays small.
     """
     taxonomy = keywords or vocab.RISK_KEYWORDS
-    flat = [(k.lower(), cat) for cat, words in taxonomy.items() for k in words]
-    by_length = sorted(flat, key=lambda kc: -len(kc[0]))
-    place = {kc: i for i, kc in enumerate(by_length)}
-    structs = []
-    for cat, words in taxonomy.items():
-        lower = [w.lower() for w in words]
-        if not lower:
-            continue
-        first = F.coalesce(*[
-            F.when(lowered.contains(w.lower()), F.lit(w)) for w in words
-        ])
-        best = F.least(*[
-            F.when(lowered.contains(w), F.lit(place[(w, cat)])) for w in lower
-        ]) if len(lower) > 1 else F.when(lowered.contains(lower[0]), F.lit(place[(lower[0], cat)]))
-        structs.append(F.when(
-            lowered.rlike(text.literal_alternation(lower)),
-            F.struct(best.alias("place"), F.lit(cat).alias("category"), first.alias("keyword")),
-        ))
-    return F.array_compact(F.array(*structs))
+    flat = [(w.lower(), w, cat) for cat, words in taxonomy.items() for w in words]
+    order = sorted(range(len(flat)), key=lambda i: -len(flat[i][0]))
+    rows = [(place, i, *flat[i]) for place, i in enumerate(order)]
+    known = text.dictionary(rows, ["place", "defined", "lower", "keyword", "category"])
+    found = text.let(lowered, lambda low: F.filter(known, lambda k: low.contains(k["lower"])))
+    firsts = F.aggregate(
+        found, F.expr("cast(array() as array<struct<place:int,category:string,keyword:string,defined:int>>)"),
+        lambda acc, k: F.when(
+            F.exists(acc, lambda a: a["category"] == k["category"]),
+            F.transform(acc, lambda a: F.when(
+                (a["category"] == k["category"]) & (k["defined"] < a["defined"]),
+                F.struct(a["place"].alias("place"), a["category"].alias("category"),
+                         k["keyword"].alias("keyword"), k["defined"].alias("defined")),
+            ).otherwise(a)),
+        ).otherwise(F.array_append(acc, F.struct(
+            k["place"].alias("place"), k["category"].alias("category"),
+            k["keyword"].alias("keyword"), k["defined"].alias("defined")))),
+    )
+    return firsts
 
 
 def classify_category(c: Column) -> Column:
     """Category of the longest keyword found, or NULL."""
-    hits = F.array_sort(keyword_hits(F.lower(c)))
-    return F.try_element_at(hits, F.lit(1))["category"]
+    flat = [(w.lower(), cat) for cat, words in vocab.RISK_KEYWORDS.items() for w in words]
+    rows = sorted(flat, key=lambda wc: -len(wc[0]))
+    known = text.dictionary(rows, ["lower", "category"])
+    found = text.let(F.lower(c), lambda low: F.filter(known, lambda k: low.contains(k["lower"])))
+    return F.try_element_at(found, F.lit(1))["category"]
 
 
 def severity(c: Column) -> Column:
     """First level from CRITICAL down to LOW with a keyword in the text, else MEDIUM."""
-    lowered = F.lower(c)
-    out = None
-    for level, words in vocab.SEVERITY_KEYWORDS.items():
-        hit = lowered.rlike(text.literal_alternation(words))
-        out = F.when(hit, F.lit(level)) if out is None else out.when(hit, F.lit(level))
-    return out.otherwise(F.lit("MEDIUM"))
+    def level(low: Column) -> Column:
+        out = None
+        for name, words in vocab.SEVERITY_KEYWORDS.items():
+            hit = low.contains(words[0])
+            for w in words[1:]:
+                hit = hit | low.contains(w)
+            out = F.when(hit, F.lit(name)) if out is None else out.when(hit, F.lit(name))
+        return out.otherwise(F.lit("MEDIUM"))
+
+    return text.let(F.lower(c), level)
 
 
 def severity_evidence(c: Column) -> Column:

@@ -73,12 +73,12 @@ def _alias_map() -> dict[str, str]:
     return exact
 
 
-def _holds_phrase(lowered: Column, phrase: str) -> Column:
+def _holds_phrase(lowered: Column, phrase: Column) -> Column:
     """The first occurrence of the phrase stands on word boundaries."""
     at = F.instr(lowered, phrase)
     alnum = r"^[\p{L}\p{N}]$"
     before = F.substring(lowered, at - 1, F.lit(1))
-    after = F.substring(lowered, at + len(phrase), F.lit(1))
+    after = F.substring(lowered, at + F.length(phrase), F.lit(1))
     return (at > 0) & ((at == 1) | ~before.rlike(alnum)) & ~after.rlike(alnum)
 
 
@@ -89,11 +89,14 @@ def heading_exact(cleaned: Column) -> Column:
 
 def heading_within(cleaned: Column) -> Column:
     """Canonical section of the longest alias that occurs in the heading as a phrase."""
-    lowered = F.lower(cleaned)
     aliases = [(a, c) for c, names in vocab.SECTION_ALIASES.items() for a in names]
     aliases.sort(key=lambda ac: -len(ac[0]))
-    found = F.coalesce(*[F.when(_holds_phrase(lowered, a), F.lit(c)) for a, c in aliases])
-    return F.when(lowered.rlike(text.literal_alternation([a for a, _ in aliases])), found)
+    known = text.dictionary(aliases, ["alias", "section"])
+    anything = text.literal_alternation([a for a, _ in aliases])
+    return text.let(F.lower(cleaned), lambda low: F.when(
+        low.rlike(anything),
+        F.try_element_at(F.filter(known, lambda k: _holds_phrase(low, k["alias"])), F.lit(1))["section"],
+    ))
 
 
 def item_section(report_type: Column, part: Column, code: Column) -> Column:

@@ -38,7 +38,8 @@ def tone_confidence(
     return (
         F.when(method == "HYBRID_VALIDATED", F.lit(0.95))
         .when(method == "RULE_BASED", F.when(disputed, F.lit(0.50)).otherwise(F.lit(0.70)))
-        .when(method == "LLM_BASED", F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), given)), F.lit(0.80)))
+        .when((method == "LLM_BASED") & given.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), given)))
+        .when(method == "LLM_BASED", F.lit(0.80))
         .otherwise(F.lit(0.60))
     )
 

@@ -195,7 +195,8 @@ FROM documents"""
 TABLES["chunks_t"] = f"""
 SELECT CAST(doc_id AS VARCHAR) AS report_id, CAST(doc_id AS VARCHAR) AS chunk_id, 0 AS chunk_index,
        {pick(vocab.SECTIONS, "doc_id // 3")} AS section, source,
-       concat_ws(' ', text, {pick(derive.RISK_SENTENCES, "doc_id")}, {pick(derive.TONE_SENTENCES, "doc_id")},
+       concat_ws(' ', text, {pick(derive.RISK_SENTENCES, "doc_id")},
+                 {pick(derive.RISK_THEMES, "doc_id // 4")} || {pick(derive.RISK_TAILS, "doc_id // 3")}, {pick(derive.TONE_SENTENCES, "doc_id")},
                  {pick(derive.METRIC_SENTENCES, "doc_id")}) AS chunk_text, doc_id,
        CAST(doc_id // 16 AS VARCHAR) AS company_id,
        CAST(2018 + (doc_id % 16) // 4 AS INTEGER) AS fiscal_year,

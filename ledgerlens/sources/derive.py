@@ -32,6 +32,16 @@ RISK_SENTENCES = [
     "Technological change brings a risk of obsolescence for our software.",
     "The team met in the usual place and reviewed the plan.",
 ]
+RISK_THEMES = [
+    "Supply chain problems could affect deliveries",
+    "Litigation is a risk",
+    "A data breach may harm trust",
+    "Weak liquidity is a threat",
+    "Uncertainty about tariff rules continues",
+]
+RISK_TAILS = [
+    ".", " with a material adverse effect.", " in a minor way.", " and could end in bankruptcy.",
+]
 TONE_SENTENCES = [
     "We are confident in our ability to deliver strong growth and margin expansion.",
     "We expect continued growth with healthy demand, although results may vary and could be volatile.",
@@ -56,6 +66,12 @@ METRIC_SENTENCES = [
 ]
 
 
+def risk_text(i: Column) -> Column:
+    """Two sentences: one that changes with every document, one whose theme lasts four."""
+    theme = F.concat(pick(RISK_THEMES, F.floor(i / 4)), pick(RISK_TAILS, F.floor(i / 3)))
+    return F.concat_ws(" ", pick(RISK_SENTENCES, i), theme)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -206,7 +222,7 @@ def filing_pages(spark: SparkSession, sf_dir: str, lines_per_page: int = 40) ->
     d = table(spark, sf_dir, "documents")
     i = F.col("doc_id")
     k = F.pmod(i, F.lit(4))
-    risk, tone, fin = pick(RISK_SENTENCES, i), pick(TONE_SENTENCES, i), pick(METRIC_SENTENCES, i)
+    risk, tone, fin = risk_text(i), pick(TONE_SENTENCES, i), pick(METRIC_SENTENCES, i)
     annual = F.concat_ws(
         "\n", F.lit("PART I"), F.lit("Risk Factors ........ 12"), F.lit("Item 1. Business"), F.col("text"),
         F.lit("Item 1A. Risk Factors"), risk, F.lit("Item 7. Management Discussion"), tone, fin)
@@ -232,7 +248,7 @@ def document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = d.select(
         i.cast("string").alias("report_id"), i.cast("string").alias("chunk_id"), F.lit(0).alias("chunk_index"),
         pick(names, F.floor(i / 3)).alias("section"), "source",
-        F.concat_ws(" ", F.col("text"), pick(RISK_SENTENCES, i), pick(TONE_SENTENCES, i),
+        F.concat_ws(" ", F.col("text"), risk_text(i), pick(TONE_SENTENCES, i),
                     pick(METRIC_SENTENCES, i)).alias("chunk_text"), "doc_id")
     return c.select(
         "*", F.floor(i / 16).cast("string").alias("company_id"),
@@ -241,6 +257,23 @@ def document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def company_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Document chunks attached to the five newest reports of the supplier companies.
+
+    A company has at most one report per period, so numbering them is bounded.
+    """
+    from ledgerlens.functions.grouped import number_rows
+
+    newest = number_rows(
+        reports(spark, sf_dir), ["company_id"],
+        [F.col("year").desc(), F.col("quarter").desc_nulls_first()], "_n", bounded=True,
+    ).filter("_n <= 5").select("company_id", "report_id", "_n")
+    i = F.col("doc_id")
+    docs = document_chunks(spark, sf_dir).drop("company_id", "report_id").withColumn(
+        "company_id", F.floor(i / 10).cast("string")).withColumn("_n", (F.pmod(i, F.lit(5)) + 1).cast("int"))
+    return docs.join(newest, ["company_id", "_n"]).drop("_n")
+
+
 # --- vectors --------------------------------------------------------------------------------
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embedding rows as chunks with a section and period to filter on."""
