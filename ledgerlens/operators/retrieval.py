@@ -261,6 +261,65 @@ def candidate_counts(queries: DataFrame, vectors: DataFrame, filters: tuple[str,
         F.coalesce(F.bround(spared, 2), F.lit(0.0)).alias("reduction_pct"))
 
 
+def check_requests(requests: DataFrame) -> DataFrame:
+    """First problem of each search request, or NULL."""
+    c = F.col
+    return requests.select(
+        "query_id",
+        F.when(text.is_blank(c("query")), F.lit("empty_query"))
+        .when(F.length("query") > vocab.MAX_QUERY_CHARS, F.lit("query_too_long"))
+        .when(~c("top_k").between(vocab.TOP_K_MIN, vocab.TOP_K_MAX), F.lit("bad_top_k"))
+        .when(~c("year").between(1900, 2200), F.lit("bad_year"))
+        .when(~c("quarter").between(1, 4), F.lit("bad_quarter"))
+        .when(~c("report_type").isin(vocab.REPORT_TYPES), F.lit("unknown_report_type"))
+        .when(~c("section").isin(vocab.SECTIONS), F.lit("unknown_section"))
+        .when(c("quarter").isNotNull() & (c("report_type") == "10-K"), F.lit("quarter_on_annual_report"))
+        .alias("problem"),
+    )
+
+
+def check_targets(requests: DataFrame, reports: DataFrame, companies: DataFrame) -> DataFrame:
+    """Requests against the data: the report exists and agrees with the other filters."""
+    r = reports.select(
+        F.col("report_id").alias("_rid"), F.col("company_id").alias("_c"), F.col("year").alias("_y"),
+        F.col("quarter").alias("_q"), F.col("report_type").alias("_t"))
+    known = companies.select(F.col("company_id").alias("_known"))
+    j = requests.join(r, F.col("report_id") == F.col("_rid"), "left").join(
+        known, F.col("company_id") == F.col("_known"), "left")
+    pinned = F.col("report_id").isNotNull()
+    differs = lambda want, have: F.col(want).isNotNull() & ~F.col(want).eqNullSafe(F.col(have))
+    return j.select(
+        "query_id",
+        F.when(pinned & F.col("_rid").isNull(), F.lit("report_not_found"))
+        .when(pinned & differs("company_id", "_c"), F.lit("other_company"))
+        .when(pinned & differs("year", "_y"), F.lit("other_year"))
+        .when(pinned & differs("quarter", "_q"), F.lit("other_quarter"))
+        .when(pinned & differs("report_type", "_t"), F.lit("other_report_type"))
+        .when(~pinned & F.col("company_id").isNotNull() & F.col("_known").isNull(), F.lit("company_not_found"))
+        .alias("problem"),
+    )
+
+
+def filter_predicate(
+    *, report_id=None, company_id=None, year=None, quarter=None, report_type=None, section_name=None,
+    section=None, profile: str = "GENERAL",
+) -> Column:
+    """One request's filters as a predicate on chunks; the profile's sections apply only
+    when no section is pinned.  Spark pushes it below joins and to the scan."""
+    given = {
+        "report_id": report_id, "company_id": company_id, "year": year, "quarter": quarter,
+        "report_type": report_type, "section_name": section_name, "section": section,
+    }
+    out = F.lit(True)
+    for name, value in given.items():
+        if value is not None:
+            out = out & (F.col(name) == value)
+    preferred = vocab.PROFILES[profile.upper()]
+    if section is None and preferred:
+        out = out & F.col("section").isin(preferred)
+    return out
+
+
 # --- query understanding ------------------------------------------------------------------------
 def _class_scores(lowered: Column) -> dict[str, Column]:
     def total(name: str, words: list[str]) -> Column:
