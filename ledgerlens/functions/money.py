@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -63,9 +65,8 @@ def change_flags(current: Column, previous: Column) -> Column:
 
 
 def mapping(values: dict[str, str]) -> Column:
-    """A literal map column from a fixed dictionary."""
-    pairs = [F.lit(x) for kv in values.items() for x in kv]
-    return F.create_map(*pairs)
+    """A fixed dictionary as one constant map column."""
+    return F.from_json(F.lit(json.dumps({"v": values}, ensure_ascii=False)), "v map<string,string>")["v"]
 
 
 def currency_code(c: Column) -> Column:

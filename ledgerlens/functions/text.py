@@ -7,6 +7,7 @@ as for ASCII.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable
 
@@ -23,9 +24,14 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+# The characters of WS one by one, for trimming without a regular expression.
+WS_CHARS = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(
+    chr(c) for c in range(0x2000, 0x200B)) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(c: Column) -> Column:
     """Trim every kind of Unicode white space at both ends."""
-    return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
+    return F.btrim(c, F.lit(WS_CHARS))
 
 
 def squeeze(c: Column) -> Column:
@@ -53,21 +59,30 @@ def token_count(c: Column, mode: str = "heuristic") -> Column:
     raise ValueError(f"unknown token counter {mode!r}")
 
 
+def _split_sentences(c: Column, blanks_only: bool) -> Column:
+    # the look-ahead lets most positions fail on one character test
+    gap = "(?= )(?<=[.!?]) +" if blanks_only else f"(?={WS})(?<=[.!?]){WS}+"
+    return F.split(c, gap)
+
+
 def sentences(c: Column, *, blanks_only: bool = False) -> Column:
     """Split after ``. ! ?`` and white space (or blanks only); empty pieces are dropped."""
-    gap = " +" if blanks_only else f"{WS}+"
-    return F.filter(
-        F.transform(F.split(c, f"(?<=[.!?]){gap}"), strip), lambda s: F.length(s) > 0
-    )
+    return F.filter(F.transform(_split_sentences(c, blanks_only), strip), lambda s: F.length(s) > 0)
+
+
+def sentence_count(c: Column) -> Column:
+    return F.size(F.filter(_split_sentences(c, False), lambda s: F.octet_length(strip(s)) > 0))
 
 
 def occurrences(lowered: Column, phrase: str) -> Column:
     """Non-overlapping raw substring hits of one phrase in already lower-cased text.
 
-    Byte lengths are known without a scan, and a text without the phrase is not copied.
+    Most texts lack most phrases, and ``contains`` is the cheapest way to learn that; the
+    difference of byte lengths, which need no scan, counts the rest.
     """
     shrunk = F.octet_length(F.replace(lowered, F.lit(phrase), F.lit("")))
-    return ((F.octet_length(lowered) - shrunk) / F.lit(len(phrase.encode()))).cast("int")
+    hits = ((F.octet_length(lowered) - shrunk) / F.lit(len(phrase.encode()))).cast("int")
+    return F.when(lowered.contains(phrase), hits).otherwise(F.lit(0))
 
 
 def phrase_total(lowered: Column, phrases: list[str]) -> Column:
@@ -78,6 +93,22 @@ def phrase_total(lowered: Column, phrases: list[str]) -> Column:
     return total
 
 
+def contains_any(lowered: Column, words: list[str]) -> Column:
+    """Whether a text holds any of the words as a substring.
+
+    Words that contain another word of the list add nothing and are left out.
+    """
+    minimal = [w for w in words if not any(o != w and o in w for o in words)]
+
+    def test(low: Column) -> Column:
+        out = low.contains(minimal[0])
+        for w in minimal[1:]:
+            out = out | low.contains(w)
+        return out
+
+    return let(lowered, test)
+
+
 def literal_alternation(words: list[str]) -> str:
     """One alternation that matches any of the given literal strings."""
     return "|".join(re.escape(w) for w in words)
@@ -116,8 +147,13 @@ def title_words(c: Column) -> Column:
     return F.initcap(F.replace(c, F.lit("_"), F.lit(" ")))
 
 
-def dictionary(rows: list[tuple], names: list[str]) -> Column:
-    """A fixed vocabulary as one literal array of structs."""
-    return F.array(*[
-        F.struct(*[F.lit(v).alias(n) for v, n in zip(row, names)]) for row in rows
-    ])
+def dictionary(rows: list[tuple], fields: str) -> Column:
+    """A fixed vocabulary as an array of structs, e.g. ``fields="word string, place int"``.
+
+    Written as one JSON literal, which the optimizer folds into a single constant, instead
+    of hundreds of literal expressions in every plan.
+    """
+    names = [f.split()[0] for f in fields.split(",")]
+    body = json.dumps({"v": [dict(zip(names, row)) for row in rows]})
+    inner = ",".join(":".join(f.split()) for f in fields.split(","))
+    return F.from_json(F.lit(body), f"v array<struct<{inner}>>")["v"]

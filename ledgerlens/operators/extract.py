@@ -24,7 +24,6 @@ _ALIASES = sorted(
     ((alias, name) for name, spec in vocab.METRICS.items() for alias in spec[2]),
     key=lambda an: -len(an[0]),
 )
-ANY_ALIAS = text.literal_alternation([a for a, _ in _ALIASES])
 
 
 def alias_spans(body: str) -> list[tuple[int, int, str]]:
@@ -115,7 +114,9 @@ def metric_candidates(chunks: DataFrame, *, window: int = 90) -> DataFrame:
 
     Chunks without any alias never leave the JVM; the rest go through Arrow once.
     """
-    found = chunks.filter(F.lower("chunk_text").rlike(ANY_ALIAS)).withColumn(
+    found = chunks.filter(
+        text.contains_any(F.lower("chunk_text"), [a for a, _ in _ALIASES])
+    ).withColumn(
         "_h", F.explode(_hit_finder(window)(F.col("chunk_text")))
     )
     h = F.col("_h")

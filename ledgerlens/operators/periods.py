@@ -16,46 +16,35 @@ def best_points(metrics: DataFrame, keys: list[str] = POINT) -> DataFrame:
     return first_per(metrics, keys, [-F.col("confidence_score"), F.col("metric_id")])
 
 
-def counterpart_periods(points: DataFrame, types: tuple[str, ...] = ("YOY", "QOQ")) -> DataFrame:
-    """One row per point and applicable comparison, with the period it compares against."""
+def _paired(points: DataFrame, types: tuple[str, ...], carry: tuple[str, ...] = ()) -> DataFrame:
+    """Each point and comparison with the value of its counterpart period, NULL if absent.
+
+    A self-join would compute ``points`` twice.  Instead every point is sent once to its
+    own period (what it offers) and once to each period it asks for; one grouping by
+    (company, metric, year, quarter) brings the at most three rows of a key together.
+    ``points`` holds one row per key, see :func:`best_points`.
+    """
     y, q = F.col("fiscal_year"), F.col("fiscal_quarter")
-    shifts = {
-        "YOY": F.when(y.isNotNull(), F.struct(
-            F.lit("YOY").alias("comparison_type"), (y - 1).alias("prev_year"),
-            q.alias("prev_quarter"))),
+    roles = {
+        "HAVE": F.struct(F.lit("HAVE").alias("role"), y.alias("y"), q.alias("q")),
+        "YOY": F.when(y.isNotNull(), F.struct(F.lit("YOY").alias("role"), (y - 1).alias("y"), q.alias("q"))),
         "QOQ": F.when(y.isNotNull() & q.isNotNull(), F.struct(
-            F.lit("QOQ").alias("comparison_type"),
-            F.when(q == 1, y - 1).otherwise(y).alias("prev_year"),
-            F.when(q == 1, F.lit(4)).otherwise(q - 1).alias("prev_quarter"))),
+            F.lit("QOQ").alias("role"), F.when(q == 1, y - 1).otherwise(y).alias("y"),
+            F.when(q == 1, F.lit(4)).otherwise(q - 1).alias("q"))),
     }
-    wanted = F.array_compact(F.array(*[shifts[t] for t in types]))
-    return points.select("*", F.explode(wanted).alias("_c")).select(
-        *points.columns, "_c.comparison_type", "_c.prev_year", "_c.prev_quarter"
+    sent = points.withColumn("_r", F.explode(F.array_compact(F.array(*[roles[r] for r in ("HAVE", *types)]))))
+    role = F.col("_r.role")
+    row = F.struct("metric_id", "fiscal_year", "fiscal_quarter", "value", *carry)
+    met = sent.groupBy(
+        "company_id", "normalized_metric_name", F.col("_r.y").alias("prev_year"), F.col("_r.q").alias("prev_quarter")
+    ).agg(
+        F.max(F.when(role == "HAVE", F.col("value"))).alias("previous_value"),
+        *[F.max(F.when(role == t, row)).alias(t) for t in types],
     )
-
-
-def _match(points: DataFrame, types: tuple[str, ...], how: str) -> DataFrame:
-    """Equi-join on (company, metric, year, quarter); the quarter is null-safe.
-
-    Coalescing the quarter to zero on both sides keeps it an ordinary hash key, so both
-    sides share one partitioning instead of a null-safe residual condition.
-    """
-    wanted = counterpart_periods(points, types).withColumn(
-        "_q", F.coalesce("prev_quarter", F.lit(0))
-    )
-    past = points.select(
-        F.col("company_id").alias("_c"), F.col("normalized_metric_name").alias("_m"),
-        F.col("fiscal_year").alias("_y"),
-        F.coalesce("fiscal_quarter", F.lit(0)).alias("_pq"),
-        F.col("value").alias("previous_value"),
-    )
-    on = (
-        (F.col("company_id") == F.col("_c"))
-        & (F.col("normalized_metric_name") == F.col("_m"))
-        & (F.col("prev_year") == F.col("_y"))
-        & (F.col("_q") == F.col("_pq"))
-    )
-    return wanted.join(past, on, how)
+    asked = F.array_compact(F.array(*[
+        F.when(F.col(t).isNotNull(), F.struct(F.lit(t).alias("comparison_type"), F.col(t).alias("p"))) for t in types]))
+    keys = ["company_id", "normalized_metric_name", "prev_year", "prev_quarter", "previous_value"]
+    return met.select(*keys, F.explode(asked).alias("_a")).select(*keys, "_a.comparison_type", "_a.p.*")
 
 
 def compare_periods(
@@ -69,7 +58,7 @@ def compare_periods(
     points = metrics if deduped else best_points(metrics)
     points = points.select("metric_id", *POINT, "value", *carry)
     cur, prev = F.col("value"), F.col("previous_value")
-    return _match(points, types, "inner").select(
+    return _paired(points, types, carry).filter("previous_value is not null").select(
         "metric_id", "company_id", *carry,
         F.col("normalized_metric_name").alias("metric_name"), "comparison_type",
         money.period_label(F.col("fiscal_year"), F.col("fiscal_quarter")).alias("current_period"),
@@ -84,7 +73,7 @@ def compare_periods(
 def missing_periods(metrics: DataFrame, types: tuple[str, ...] = ("YOY", "QOQ")) -> DataFrame:
     """Points whose comparison applies but whose counterpart period is absent."""
     points = best_points(metrics).select("metric_id", *POINT, "value")
-    return _match(points, types, "left_anti").select(
+    return _paired(points, types).filter("previous_value is null").select(
         "metric_id", "company_id",
         F.col("normalized_metric_name").alias("metric_name"), "comparison_type",
         money.period_label(F.col("prev_year"), F.col("prev_quarter")).alias("missing_period"),
@@ -94,18 +83,13 @@ def missing_periods(metrics: DataFrame, types: tuple[str, ...] = ("YOY", "QOQ"))
 def comparison_run_stats(metrics: DataFrame, types: tuple[str, ...] = ("YOY", "QOQ")) -> DataFrame:
     """Per company: points, comparisons, missing periods and share of points covered."""
     points = best_points(metrics).select("metric_id", *POINT, "value")
-    matched = _match(points, types, "left").groupBy("company_id").agg(
-        F.count("_y").alias("comparisons"),
-        F.count_if(F.col("_y").isNull()).alias("missing"),
-        F.count_distinct(F.when(F.col("_y").isNotNull(), F.col("metric_id"))).alias("_covered"),
-    )
-    totals = points.groupBy("company_id").agg(F.count(F.lit(1)).alias("points"))
-    return totals.join(matched, "company_id", "left").select(
-        "company_id", "points",
-        F.coalesce("comparisons", F.lit(0)).alias("comparisons"),
-        F.coalesce("missing", F.lit(0)).alias("missing"),
-        F.bround(F.coalesce("_covered", F.lit(0)) / F.col("points"), 4).alias("coverage"),
-    )
+    # per point first: a point is covered when any of its comparisons found a counterpart
+    found = F.col("previous_value").isNotNull()
+    per_point = _paired(points, types).groupBy("company_id", "metric_id").agg(
+        F.count_if(found).alias("_met"), F.count_if(~found).alias("_open"))
+    return per_point.groupBy("company_id").agg(
+        F.count(F.lit(1)).alias("points"), F.sum("_met").alias("comparisons"), F.sum("_open").alias("missing"),
+        F.bround(F.count_if(F.col("_met") > 0) / F.count(F.lit(1)), 4).alias("coverage"))
 
 
 # --- report order -----------------------------------------------------------------

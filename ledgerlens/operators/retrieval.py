@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -20,11 +21,12 @@ from pyspark.sql import functions as F
 from ledgerlens import vocab
 from ledgerlens.functions import money, text
 from ledgerlens.functions.grouped import number_rows, running_total, top_per
-from ledgerlens.session import fits
+from ledgerlens.session import cut_lineage
 
 # Largest query block handed to every task (rows); a 768-dim block stays below 130 MB.
 QUERY_BLOCK = 20_000
 VECTOR_BLOCK = 200_000
+_EMBED_TOKEN = re.compile(r"[a-z0-9]+")
 FILTERS = ["report_id", "company_id", "year", "quarter", "report_type", "section"]
 
 
@@ -60,11 +62,14 @@ def hashing_embedder(dimension: int):
     """Bag-of-tokens test embedder: md5 of each token picks a slot, counts are normalized."""
     @F.pandas_udf("array<double>")
     def embed(texts: pd.Series) -> pd.Series:
-        out = []
+        out, slots = [], {}
         for body in texts:
             v = np.zeros(dimension)
-            for token in re.findall(r"[a-z0-9]+", (body or "").lower()):
-                v[int(hashlib.md5(token.encode()).hexdigest(), 16) % dimension] += 1.0
+            for token, times in Counter(_EMBED_TOKEN.findall((body or "").lower())).items():
+                at = slots.get(token)
+                if at is None:
+                    at = slots[token] = int(hashlib.md5(token.encode()).hexdigest(), 16) % dimension
+                v[at] += times
             size = float(np.sqrt(v @ v))
             out.append((v / size if size else v).tolist())
         return pd.Series(out)
@@ -210,8 +215,8 @@ def knn(
     pool = vectors.filter(F.col("embedding").isNotNull()).select("vec_id", "embedding", *filters)
     types = dict(requests.dtypes), dict(pool.dtypes)
     schema = f"query_id {types[0]['query_id']}, vec_id {types[1]['vec_id']}, score double"
-    if fits(requests, query_block):
-        rows = requests.toPandas()
+    rows = requests.limit(query_block + 1).toPandas()
+    if len(rows) <= query_block:
         if rows.empty:
             partial = requests.sparkSession.createDataFrame([], schema)
         else:
@@ -227,7 +232,7 @@ def knn(
         qs = requests.withColumn("_q", F.pmod(F.xxhash64("query_id"), F.lit(nq))).withColumn(
             "_v", F.explode(F.sequence(F.lit(0), F.lit(nv - 1))))
         vs = pool.withColumn("_v", F.pmod(F.xxhash64("vec_id"), F.lit(nv)).cast("int")).withColumn(
-            "_q", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).cast("bigint"))
+            "_q", F.explode(F.sequence(F.lit(0), F.lit(nq - 1)).cast("array<bigint>")))
         partial = qs.groupBy("_q", "_v").cogroup(vs.groupBy("_q", "_v")).applyInPandas(meet, schema)
     return top_per(partial, ["query_id"], [F.col("score").desc(), F.col("vec_id")], k)
 
@@ -396,13 +401,18 @@ def fuse(results: DataFrame) -> DataFrame:
 
 def lexical_score(query: Column, body: Column) -> Column:
     """min(1, jaccard + min(.05 * shared words, .5)) to four places."""
+    return lexical_set_score(text.word_set(query), text.word_set(body))
+
+
+def lexical_set_score(query_words: Column, body_words: Column) -> Column:
+    """:func:`lexical_score` for word sets that exist already."""
     def score(s: Column) -> Column:
         shared = F.size(F.array_intersect(s["q"], s["b"]))
         union = F.size(s["q"]) + F.size(s["b"]) - shared
         ratio = F.when(union > 0, shared / union).otherwise(F.lit(0.0))
         return F.bround(F.least(F.lit(1.0), ratio + F.least(shared * 0.05, F.lit(0.5))), 4)
 
-    return text.let(F.struct(text.word_set(query).alias("q"), text.word_set(body).alias("b")), score)
+    return text.let(F.struct(query_words.alias("q"), body_words.alias("b")), score)
 
 
 def rerank(results: DataFrame, k: int, scorer: Callable[[Column, Column], Column] = lexical_score) -> DataFrame:
@@ -411,7 +421,10 @@ def rerank(results: DataFrame, k: int, scorer: Callable[[Column, Column], Column
     ``results`` has query_id, query, chunk_id, chunk_text, score.  ``scorer`` may be any
     Column or pandas UDF of (query, text).
     """
-    raw = scorer(F.col("query"), F.col("chunk_text"))
+    return _rerank(results, k, scorer(F.col("query"), F.col("chunk_text")))
+
+
+def _rerank(results: DataFrame, k: int, raw: Column) -> DataFrame:
     squashed = F.when((raw > 1) | (raw < 0), 1.0 / (1.0 + F.exp(-raw))).otherwise(raw)
     scored = results.withColumn("vector_score", F.col("score")).withColumn(
         "text_score", F.bround(squashed, 6)
@@ -568,13 +581,24 @@ def retrieve_and_assemble(
         subs = subs.withColumn("section", wanted)
         filters = [*dict.fromkeys([*filters, "section"])]
     found = knn(subs, chunks.withColumnRenamed("chunk_id", "vec_id"), depth, filters=tuple(filters))
-    merged = fuse(found.select(
-        F.regexp_replace("query_id", "#[0-9]+$", "").alias("query_id"), F.col("vec_id").alias("chunk_id"), "score"))
-    detail = merged.join(
-        chunks.select("chunk_id", "chunk_text", "token_count", "report_id", "section", "year", "start_page"), "chunk_id"
-    ).join(requests.select(F.col("query_id").cast("string").alias("query_id"), "query"), "query_id")
-    if reranked:
-        ranked = rerank(detail, k, scorer)
+    merged = cut_lineage(fuse(found.select(
+        F.regexp_replace("query_id", "#[0-9]+$", "").alias("query_id"), F.col("vec_id").alias("chunk_id"), "score")))
+    asked_by = requests.select(F.col("query_id").cast("string").alias("query_id"), "query")
+    best = [F.col("score").desc(), F.col("chunk_id")]
+    if not reranked:
+        ranked = top_per(merged, ["query_id"], best, k)
+    elif scorer is lexical_score:
+        # word sets are built once per chunk and per query, not once per pair
+        wanted = merged.select("chunk_id").distinct()
+        chunk_words = chunks.join(wanted, "chunk_id", "left_semi").select(
+            "chunk_id", text.word_set(F.col("chunk_text")).alias("_cw"))
+        query_words = asked_by.select("query_id", text.word_set(F.col("query")).alias("_qw"))
+        pairs = merged.join(chunk_words, "chunk_id").join(query_words, "query_id")
+        ranked = _rerank(pairs, k, lexical_set_score(F.col("_qw"), F.col("_cw"))).drop("_qw", "_cw")
     else:
-        ranked = top_per(detail, ["query_id"], [F.col("score").desc(), F.col("chunk_id")], k)
-    return assemble(ranked, budget), ranked
+        pairs = merged.join(chunks.select("chunk_id", "chunk_text"), "chunk_id").join(asked_by, "query_id")
+        ranked = rerank(pairs, k, scorer).drop("chunk_text", "query")
+    # texts join the few rows that stay
+    facts = chunks.select("chunk_id", "chunk_text", "token_count", "report_id", "section", "year", "start_page")
+    detail = ranked.join(facts, "chunk_id")
+    return assemble(detail, budget), detail

@@ -28,7 +28,8 @@ def keyword_hits(lowered: Column, keywords: dict[str, list[str]] | None = None)
     flat = [(w.lower(), w, cat) for cat, words in taxonomy.items() for w in words]
     order = sorted(range(len(flat)), key=lambda i: -len(flat[i][0]))
     rows = [(place, i, *flat[i]) for place, i in enumerate(order)]
-    known = text.dictionary(rows, ["place", "defined", "lower", "keyword", "category"])
+    known = text.dictionary(
+        rows, "place int, defined int, lower string, keyword string, category string")
     found = text.let(lowered, lambda low: F.filter(known, lambda k: low.contains(k["lower"])))
     firsts = F.aggregate(
         found, F.expr("cast(array() as array<struct<place:int,category:string,keyword:string,defined:int>>)"),
@@ -50,7 +51,7 @@ def classify_category(c: Column) -> Column:
     """Category of the longest keyword found, or NULL."""
     flat = [(w.lower(), cat) for cat, words in vocab.RISK_KEYWORDS.items() for w in words]
     rows = sorted(flat, key=lambda wc: -len(wc[0]))
-    known = text.dictionary(rows, ["lower", "category"])
+    known = text.dictionary(rows, "lower string, category string")
     found = text.let(F.lower(c), lambda low: F.filter(known, lambda k: low.contains(k["lower"])))
     return F.try_element_at(found, F.lit(1))["category"]
 
@@ -124,14 +125,20 @@ def risk_confidence(
 
 # --- extraction -----------------------------------------------------------------------
 def risk_sentences(chunks: DataFrame) -> DataFrame:
-    """Sentences with a risk trigger, from chunks that have one."""
+    """Sentences with a risk trigger.  A chunk has a trigger when one of its sentences has.
+
+    Plain substring tests on the trigger stems come first, for the chunk and for each
+    sentence, so the patterns run on few sentences only.
+    """
+    stems = lambda c: text.contains_any(F.lower(c), vocab.RISK_TRIGGER_STEMS)
     return (
-        chunks.filter(has_trigger(F.col("chunk_text")))
+        chunks.filter(stems(F.col("chunk_text")))
         .select(
             "company_id", "report_id", "chunk_id", "chunk_index",
             section_matches(F.col("section")).alias("section_match"),
             F.posexplode(text.sentences(F.col("chunk_text"), blanks_only=True)).alias("pos", "sentence"),
         )
+        .filter(stems(F.col("sentence")))
         .filter(has_trigger(F.col("sentence")))
     )
 
@@ -188,9 +195,17 @@ def _sides(risks: DataFrame, reports: DataFrame) -> tuple[DataFrame, DataFrame]:
     return current, previous
 
 
-def match_exact(current: DataFrame, previous: DataFrame) -> DataFrame:
-    """The nth current risk of a name pairs with the nth previous one of that name."""
+def match_exact(current: DataFrame, previous: DataFrame, *, unique_names: bool = False) -> DataFrame:
+    """The nth current risk of a name pairs with the nth previous one of that name.
+
+    Extraction leaves one risk per (report, name); ``unique_names`` says so and saves the
+    numbering.
+    """
     keys = ["report_id", "normalized_risk_name"]
+    if unique_names:
+        return current.select(*keys, F.col("risk_id").alias("current_risk_id")).join(
+            previous.select(*keys, F.col("risk_id").alias("previous_risk_id")), keys
+        ).select("report_id", "current_risk_id", "previous_risk_id")
     c = number_rows(current, keys, [F.col("risk_id")], "_n").select(
         *keys, "_n", F.col("risk_id").alias("current_risk_id"))
     p = number_rows(previous, keys, [F.col("risk_id")], "_n").select(
@@ -259,11 +274,12 @@ def match_fuzzy(
 
 
 def match_risks(
-    risks: DataFrame, reports: DataFrame, *, fuzzy_threshold: float = vocab.RISK_FUZZY_THRESHOLD
+    risks: DataFrame, reports: DataFrame, *, fuzzy_threshold: float = vocab.RISK_FUZZY_THRESHOLD,
+    unique_names: bool = False,
 ) -> DataFrame:
     """Every current risk and every previous risk once: paired, new or removed."""
     current, previous = _sides(risks, reports)
-    exact = match_exact(current, previous)
+    exact = match_exact(current, previous, unique_names=unique_names)
     left_c = current.join(
         exact.select("report_id", F.col("current_risk_id").alias("risk_id")), ["report_id", "risk_id"], "left_anti")
     left_p = previous.join(
@@ -332,9 +348,12 @@ def classify_evolution(matches: DataFrame, risks: DataFrame) -> DataFrame:
 
 
 def risk_evolution(
-    risks: DataFrame, reports: DataFrame, *, fuzzy_threshold: float = vocab.RISK_FUZZY_THRESHOLD
+    risks: DataFrame, reports: DataFrame, *, fuzzy_threshold: float = vocab.RISK_FUZZY_THRESHOLD,
+    unique_names: bool = False,
 ) -> DataFrame:
-    return classify_evolution(match_risks(risks, reports, fuzzy_threshold=fuzzy_threshold), risks)
+    """Matched, new and removed risks of every report against the report before it."""
+    matches = match_risks(risks, reports, fuzzy_threshold=fuzzy_threshold, unique_names=unique_names)
+    return classify_evolution(matches, risks)
 
 
 # --- reads -----------------------------------------------------------------------------------

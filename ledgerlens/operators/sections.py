@@ -10,6 +10,7 @@ from ledgerlens.functions import money, text
 
 # A line ends after any of these; the marks stay on the line so lengths give offsets.
 LINE_END = r"(?<=[\n\x0B\x0C\x1C\x1D\x1E\x85\u2028\u2029])|(?<=\r)(?!\n)"
+OTHER_LINE_ENDS = r"[\r\x0B\x0C\x1C\x1D\x1E\x85\u2028\u2029]"
 TOC_TAIL = r"(\.{2,}\s*\d{1,4}|\s{2,}\d{1,4})\s*$"
 ENUMERATION = r"^\s*([0-9]{1,2}[A-Za-z]?|[IVXivx]+)[\.\)\:\-]\s+"
 ITEM_LINE = r"(?i)^\s*item\s+(\d{1,2}[A-Za-z]?)\b[\.\:\)\-\s]*(.*)$"
@@ -18,13 +19,17 @@ PART_LINE = r"(?i)^\s*part\s+([ivx]+)\b"
 
 # --- line level -------------------------------------------------------------------------
 def page_lines(pages: DataFrame) -> DataFrame:
-    """Non-blank lines of each page with their place; blank lines count towards the offset."""
+    """Lines of each page with their place and their length including the line end.
+
+    Nearly all pages end lines with a line feed only and take the plain split.
+    """
+    odd = F.col("page_text").rlike(OTHER_LINE_ENDS)
+    pieces = F.when(odd, F.split("page_text", LINE_END)).otherwise(F.split("page_text", "\n"))
     exploded = pages.select(
-        "report_id", "page_number", F.posexplode(F.split("page_text", LINE_END)).alias("line_no", "_raw")
-    )
+        "report_id", "page_number", odd.alias("_odd"), F.posexplode(pieces).alias("line_no", "_raw"))
     return exploded.select(
         "report_id", "page_number", "line_no", text.strip(F.col("_raw")).alias("line"),
-        F.length("_raw").alias("_len"),
+        (F.length("_raw") + F.when(F.col("_odd"), F.lit(0)).otherwise(F.lit(1))).alias("_len"),
     )
 
 
@@ -91,7 +96,7 @@ def heading_within(cleaned: Column) -> Column:
     """Canonical section of the longest alias that occurs in the heading as a phrase."""
     aliases = [(a, c) for c, names in vocab.SECTION_ALIASES.items() for a in names]
     aliases.sort(key=lambda ac: -len(ac[0]))
-    known = text.dictionary(aliases, ["alias", "section"])
+    known = text.dictionary(aliases, "alias string, section string")
     anything = text.literal_alternation([a for a, _ in aliases])
     return text.let(F.lower(cleaned), lambda low: F.when(
         low.rlike(anything),
@@ -119,10 +124,10 @@ def heading_hits(pages: DataFrame, reports: DataFrame) -> DataFrame:
     (the part carried forward), so that window sees a handful of rows per report.
     """
     line = F.col("line")
-    lines = page_lines(pages).filter(F.length("line") > 0).filter(~is_toc_line(line))
+    lines = page_lines(pages).filter(F.length("line") > 0)
     is_part = line.rlike(PART_LINE)
     is_item = line.rlike(ITEM_LINE)
-    candidates = lines.filter(is_part | is_item | is_strong_heading(line))
+    candidates = lines.filter(is_strong_heading(line) | is_part | is_item).filter(~is_toc_line(line))
     title = text.squeeze(F.regexp_extract(line, ITEM_LINE, 2))
     cleaned = clean_heading(F.when(is_item, title).otherwise(line))
     tagged = candidates.select(
@@ -191,7 +196,8 @@ def detect_sections(pages: DataFrame, reports: DataFrame) -> DataFrame:
     grouping by (report, section) reuses that partitioning.
     """
     spans = section_spans(pages, reports)
-    inside = spans.join(pages, "report_id").filter(
+    # page text is never broadcast, whatever its compressed size suggests
+    inside = pages.hint("merge").join(spans, "report_id").filter(
         F.col("page_number").between(F.col("start_page"), F.col("end_page"))
     )
     keys = [c for c in spans.columns if c != "report_id"]

@@ -46,7 +46,7 @@ def tone_confidence(
 
 def hedging_strength(c: Column, phrases: list[str] = vocab.HEDGING_PHRASES) -> Column:
     """Hedging phrases per sentence, capped at one."""
-    n = F.greatest(F.lit(1), F.size(text.sentences(c)))
+    n = F.greatest(F.lit(1), text.sentence_count(c))
     return F.least(F.lit(1.0), text.phrase_total(F.lower(text.squeeze(c)), phrases) / n)
 
 
@@ -58,7 +58,7 @@ def score_tone(chunks: DataFrame, phrases: dict[str, list[str]] | None = None) -
     }
     base = chunks.filter(~text.is_blank(F.col("chunk_text"))).withColumn(
         "_lower", F.lower(text.squeeze(F.col("chunk_text")))
-    ).withColumn("sentence_count", F.size(text.sentences(F.col("chunk_text"))))
+    ).withColumn("sentence_count", text.sentence_count(F.col("chunk_text")))
     counted = base.select("*", *[
         text.phrase_total(F.col("_lower"), words).alias(f"{name}_count") for name, words in p.items()
     ])

@@ -119,7 +119,7 @@ def _profile(spark, sf):
     text = derive.company_chunks(spark, sf)
     found = cut_lineage(risks.extract_risks(text))
     comparisons = periods.compare_periods(metrics, deduped=True, carry=("report_id",))
-    moves = risks.risk_evolution(found, reports, fuzzy_threshold=2.0)
+    moves = risks.risk_evolution(found, reports, fuzzy_threshold=2.0, unique_names=True)
     profile = benchmark.company_profile(reports, metrics, comparisons, found, moves, tone.score_tone(text))
     names = [m for ms in vocab.METRIC_DIRECTIONS.values() for m in ms]
     return profile.select("company_id", *[F.round(n, 6).alias(n) for n in names])

@@ -180,7 +180,7 @@ def risk_exact_matches(spark, sf):
 
 @query("risk_evolution")
 def risk_evolution(spark, sf):
-    return risks.risk_evolution(cut_lineage(_risks(spark, sf)), derive.filing_reports(spark, sf))
+    return risks.risk_evolution(cut_lineage(_risks(spark, sf)), derive.filing_reports(spark, sf), unique_names=True)
 
 
 def _step(c, p):
@@ -193,7 +193,7 @@ SELECT m.*, CASE WHEN {_step("c.severity", "p.severity")} > 0 THEN 'ESCALATED_RI
 FROM risk_pairs m JOIN risks_t c ON c.risk_id = current_risk_id JOIN risks_t p ON p.risk_id = previous_risk_id"""))
 def risk_severity_moves(spark, sf):
     r = cut_lineage(_risks(spark, sf))
-    e = risks.risk_evolution(r, derive.filing_reports(spark, sf)).filter("match_type = 'EXACT'")
+    e = risks.risk_evolution(r, derive.filing_reports(spark, sf), unique_names=True).filter("match_type = 'EXACT'")
     return e.select("report_id", "current_risk_id", "previous_risk_id", "evolution_type", "confidence_score")
 
 
@@ -286,20 +286,25 @@ def heading_lines(spark, sf):
         sections.is_mostly_upper(line).alias("loud")).distinct()
 
 
+def _pages(spark, sf):
+    # read by several branches, as a stored page table would be
+    return cut_lineage(derive.filing_pages(spark, sf))
+
+
 @query("section_spans")
 def section_spans(spark, sf):
-    return sections.section_spans(derive.filing_pages(spark, sf), derive.filing_reports(spark, sf)).drop("line_no")
+    return sections.section_spans(_pages(spark, sf), derive.filing_reports(spark, sf)).drop("line_no")
 
 
 @query("section_detection")
 def section_detection(spark, sf):
-    s = sections.detect_sections(derive.filing_pages(spark, sf), derive.filing_reports(spark, sf))
+    s = sections.detect_sections(_pages(spark, sf), derive.filing_reports(spark, sf))
     return s.select("section_id", "section_name", "start_page", "end_page", "confidence_score", F.sha2("content", 256).alias("content_hash"))
 
 
 def _chunks(spark, sf):
     r = derive.filing_reports(spark, sf)
-    return chunks.chunk_sections(sections.detect_sections(derive.filing_pages(spark, sf), r), r)
+    return chunks.chunk_sections(sections.detect_sections(_pages(spark, sf), r), r)
 
 
 @query("filing_chunks")

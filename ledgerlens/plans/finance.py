@@ -195,7 +195,7 @@ SELECT company_id, report_id, CASE WHEN signal_code = 'DEBT_TO_REVENUE' THEN 'LE
 def _analytics(spark, sf):
     # several branches read the metrics: they are written once, as the stages of a job would be
     m = cut_lineage(derive.metrics(spark, sf))
-    return analytics.build_analytics(m, periods.compare_periods(m, deduped=True, carry=("report_id",)))
+    return analytics.build_analytics(m, cut_lineage(periods.compare_periods(m, deduped=True, carry=("report_id",))))
 
 
 @query("report_analytics", S.with_tables("SELECT * FROM analytics_t"))

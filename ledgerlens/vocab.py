@@ -305,6 +305,10 @@ RISK_TRIGGERS = [
     r"\bmay (impact|affect|harm|disrupt|damage|limit|prevent|reduce|impair)\b",
     r"\bfail(ure|s)? to\b",
 ]
+# every trigger contains one of these
+RISK_TRIGGER_STEMS = [
+    "risk", "uncertaint", "adverse", "threat", "negatively impact", "could ", "may ", "fail",
+]
 RISK_SECTION_MATCH = ["RISK FACTORS", "MD&A", "FORWARD GUIDANCE", "FORWARD-LOOKING STATEMENTS"]
 SEVERITY_KEYWORDS = {
     "CRITICAL": [
