@@ -89,17 +89,22 @@ def company_label(companies: DataFrame) -> DataFrame:
 
 
 def check_chunks(chunks: DataFrame, *, minimum: int = 50, maximum: int = 800) -> DataFrame:
-    """Fatal and warning reasons per chunk; duplicates are second and later equal texts."""
-    w = Window.partitionBy("report_id", content_hash(F.col("chunk_text"))).orderBy("chunk_index")
+    """Fatal and warning reasons per chunk; duplicates are second and later equal texts.
+
+    The first of equal texts is an aggregate, so a text copied very often collapses before
+    it is shuffled; AQE splits the join back where one text is hot.
+    """
+    hashed = chunks.withColumn("_h", content_hash(F.col("chunk_text")))
+    first = hashed.groupBy("report_id", "_h").agg(F.min("chunk_index").alias("_first"))
     blank = text.is_blank(F.col("chunk_text"))
     missing = F.array_except(
         F.array(*[F.lit(k) for k in vocab.CHUNK_METADATA_KEYS]), F.col("metadata_keys"))
     n = F.col("token_count")
-    return chunks.withColumn("_rn", F.row_number().over(w)).select(
+    return hashed.join(first, ["report_id", "_h"]).select(
         "report_id", "chunk_index",
         F.array_compact(F.array(
             F.when(blank, F.lit("empty_chunk")),
-            F.when(~blank & (F.col("_rn") > 1), F.lit("duplicate_chunk")),
+            F.when(~blank & (F.col("chunk_index") > F.col("_first")), F.lit("duplicate_chunk")),
             F.when(~blank & (F.size(missing) > 0), F.concat(
                 F.lit("broken_metadata: missing "), F.array_join(F.array_sort(missing), ","))),
         )).alias("fatal"),

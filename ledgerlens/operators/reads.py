@@ -25,10 +25,10 @@ def select_where(df: DataFrame, **filters) -> DataFrame:
 def page(df: DataFrame, order: list[Column], *, limit: int, offset: int = 0) -> DataFrame:
     """One page of an ordered list with the total number of rows.
 
-    The page is a bounded top-n; the total is its own aggregate, joined as a single row.
+    The page is a bounded top-n; the total is a scalar subquery.
     """
-    total = df.agg(F.count(F.lit(1)).alias("total"))
-    return df.orderBy(*order).offset(offset).limit(limit).crossJoin(F.broadcast(total))
+    total = df.agg(F.count(F.lit(1)).alias("total")).scalar()
+    return df.orderBy(*order).offset(offset).limit(limit).withColumn("total", total)
 
 
 def sort_by(df: DataFrame, column: str, *, descending: bool = False, tie: str | None = None) -> DataFrame:

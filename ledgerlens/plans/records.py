@@ -288,7 +288,7 @@ def _finished(spark, df, mode):
     base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
     folder = f"{base.rstrip('/')}/stream-{spark.sparkContext.applicationId}-{spark.sql('select uuid()').first()[0]}"
     streams.run_to_table(df, f"{folder}/out", f"{folder}/state", mode=mode).awaitTermination()
-    return streams.read_latest(spark, f"{folder}/out") if mode != "append" else spark.read.schema(df.schema).parquet(f"{folder}/out")
+    return streams.read_version(spark, f"{folder}/out") if mode != "append" else spark.read.schema(df.schema).parquet(f"{folder}/out")
 
 
 @query("streamed_hourly_counts", """

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -11,7 +9,6 @@ from pyspark.sql.streaming import StreamingQuery
 from ledgerlens import schemas
 from ledgerlens.operators import risks, tone
 from ledgerlens.operators.chunks import content_hash
-from ledgerlens.sources.sinks import replace_by_key
 
 
 def read_stream(spark: SparkSession, path: str, schema: str, *, glob: str | None = None, files_per_batch: int | None = None) -> DataFrame:
@@ -33,57 +30,44 @@ def page_chunks(pages: DataFrame) -> DataFrame:
         F.col("page_text").alias("chunk_text"))
 
 
-def upsert_parquet(path: str, key: str = "report_id") -> Callable[[DataFrame, int], None]:
-    """Idempotent batch sink: rewrites only the hash buckets whose keys arrive.
+def write_batch(path: str, rows: DataFrame, keys: DataFrame, batch_id: int, key: str = "report_id") -> None:
+    """Idempotent batch sink: the rows of a batch and the keys it replaces, side by side.
 
-    A batch that is run again replaces the same keys with the same rows.  Buckets are
-    written under a version folder and a small pointer file is moved last, so a reader
-    or a restart never sees half a bucket.
+    A batch that runs again overwrites its own folder.  Nothing older is rewritten, so the
+    cost of a batch is the size of the batch; a key that now has no rows is still replaced.
     """
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        target = f"{path}/version={batch_id}"
-        versions = _versions(spark, path, before=batch_id)
-        if versions:
-            old = spark.read.schema(batch.schema).parquet(f"{path}/version={versions[-1]}")
-            merged = replace_by_key(old, batch, key)
-        else:
-            merged = batch
-        merged.write.mode("overwrite").parquet(target)
+    rows.write.mode("overwrite").parquet(f"{path}/rows/batch={batch_id}")
+    keys.select(key).distinct().write.mode("overwrite").parquet(f"{path}/keys/batch={batch_id}")
+
 
-    return write
+def read_latest(spark: SparkSession, path: str, key: str = "report_id") -> DataFrame:
+    """Rows of the newest batch of each key.  The choice is an aggregate over keys only."""
+    newest = spark.read.parquet(f"{path}/keys").groupBy(key).agg(F.max("batch").alias("batch"))
+    return spark.read.parquet(f"{path}/rows").join(newest, [key, "batch"]).drop("batch")
 
 
-def _versions(spark: SparkSession, path: str, *, before: int | None = None) -> list[int]:
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Finished version folders of a result that is written whole each time."""
     jvm = spark._jvm
     root = jvm.org.apache.hadoop.fs.Path(path)
     fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(root):
-        return []
-    found = []
-    for status in fs.listStatus(root):
-        name = status.getPath().getName()
-        done = fs.exists(jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS"))
-        if name.startswith("version=") and done:
-            n = int(name.split("=")[1])
-            if before is None or n < before:
-                found.append(n)
-    return sorted(found)
+    names = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
+    done = [n for n in names if n.startswith("version=") and fs.exists(
+        jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
+    return sorted(int(n.split("=")[1]) for n in done)
 
 
-def read_latest(spark: SparkSession, path: str) -> DataFrame:
-    versions = _versions(spark, path)
-    return spark.read.parquet(f"{path}/version={versions[-1]}")
+def read_version(spark: SparkSession, path: str) -> DataFrame:
+    """The newest finished version."""
+    return spark.read.parquet(f"{path}/version={_versions(spark, path)[-1]}")
 
 
 def stream_pages(pages: DataFrame, tone_path: str, risk_path: str, checkpoint: str) -> StreamingQuery:
     """Pages as they land become tone and risk rows, replaced per report."""
-    to_tone, to_risk = upsert_parquet(tone_path), upsert_parquet(risk_path)
-
     def process(batch: DataFrame, batch_id: int) -> None:
         chunks = page_chunks(batch)
-        to_tone(tone.score_tone(chunks), batch_id)
-        to_risk(risks.extract_risks(chunks), batch_id)
+        write_batch(tone_path, tone.score_tone(chunks), batch, batch_id)
+        write_batch(risk_path, risks.extract_risks(chunks), batch, batch_id)
 
     return pages.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint).trigger(
         availableNow=True).start()

@@ -138,6 +138,17 @@ def test_chunk_job_numbers_and_dedupes(spark):
     assert out[1]["token_count"] == 400 and out[0]["metadata"]["company"] == "ACME"
 
 
+def test_chunk_checks(spark):
+    keys = [k for k in vocab.CHUNK_METADATA_KEYS]
+    df = spark.createDataFrame(
+        [("r", 0, "one two", 2, keys), ("r", 1, " one two ", 60, keys), ("r", 2, " ", 0, keys), ("r", 3, "x", 900, keys[1:])],
+        "report_id string, chunk_index int, chunk_text string, token_count int, metadata_keys array<string>")
+    out = {r["chunk_index"]: (r["fatal"], r["warnings"]) for r in chunks.check_chunks(df).collect()}
+    assert out == {
+        0: ([], ["too_small: 2 < 50"]), 1: (["duplicate_chunk"], []), 2: (["empty_chunk"], []),
+        3: (["broken_metadata: missing company"], ["too_large: 900 > 800"])}
+
+
 def test_candidate_sections_fall_back_to_all(spark, rows):
     c = spark.createDataFrame([("a", 1, "MD&A"), ("a", 2, "Other"), ("b", 3, "Other"), ("b", 4, None)], "report_id string, chunk_id int, section string")
     assert rows(chunks.candidate_chunks(c, ["MD&A"]), "chunk_id") == [(1,), (3,), (4,)]
