@@ -166,3 +166,18 @@ def embedding_cost(chunks: DataFrame, key: str = "report_id") -> DataFrame:
         F.ceil(F.count(F.lit(1)) / vocab.EMBED_BATCH).alias("batches"),
         F.bround(tokens / 1_000_000 * vocab.EMBED_PRICE_PER_MILLION, 6).alias("cost_usd"),
     )
+
+
+def register_chunk_text(spark) -> None:
+    """SQL table function ``chunk_text(text, section)`` -> (piece, chunk_text, token_count)."""
+    defaults, overrides = vocab.CHUNK_DEFAULT, vocab.CHUNK_OVERRIDES
+    prose, tables = vocab.PROSE_SEPARATORS, vocab.TABLE_SEPARATORS
+
+    class ChunkText:
+        def eval(self, body: str, section: str):
+            s = {**defaults, **overrides.get(section or "", {})}
+            pieces = cut(body, s["target"], s["max"], s["overlap"], tables if s.get("table") else prose)
+            for piece, (content, tokens) in enumerate(pieces):
+                yield piece, content, tokens
+
+    spark.udtf.register("chunk_text", F.udtf(ChunkText, returnType="piece int, chunk_text string, token_count int"))

@@ -414,3 +414,42 @@ SELECT event_type, count(*) AS n, round_even(CAST(sum(CAST(value AS DECIMAL(20,6
 FROM events WHERE value IS NOT NULL GROUP BY 1""")
 def latency_stats(spark, sf):
     return summaries.latency_stats(derive.table(spark, sf, "events").filter("value is not null"), "event_type", "value")
+
+
+@query("profile_filter", S.with_tables(f"""
+SELECT chunk_id, section FROM chunks_t WHERE fiscal_year = 2019 AND section IN {S.in_list(vocab.PROFILES["RISK_ANALYSIS"])}"""))
+def profile_filter(spark, sf):
+    from ledgerlens.operators.retrieval import filter_predicate
+
+    c = derive.document_chunks(spark, sf).withColumnRenamed("fiscal_year", "year")
+    return c.filter(filter_predicate(year=2019, profile="RISK_ANALYSIS")).select("chunk_id", "section")
+
+
+@query("evolution_problems")
+def evolution_problems(spark, sf):
+    e = risks.risk_evolution(cut_lineage(_risks(spark, sf)), derive.filing_reports(spark, sf), unique_names=True)
+    out = quality.check(e, quality.RISK_EVOLUTION_RULES, keep=["evolution_type"])
+    return out.groupBy("evolution_type").agg(
+        F.count(F.lit(1)).alias("rows_seen"), F.count_if(F.size("fatal") > 0).alias("dropped"))
+
+
+@query("tone_evolution_problems")
+def tone_evolution_problems(spark, sf):
+    e = tone.tone_evolution(cut_lineage(_typed_tones(spark, sf).drop("source_text")), derive.filing_reports(spark, sf))
+    out = quality.check(e, quality.TONE_EVOLUTION_RULES, keep=["evolution_type"])
+    return out.groupBy("evolution_type").agg(
+        F.count(F.lit(1)).alias("rows_seen"), F.count_if(F.size("fatal") > 0).alias("dropped"))
+
+
+@query("repeated_keys", """
+SELECT text, count(*) AS copies FROM documents GROUP BY 1 HAVING count(*) > 1""")
+def repeated_keys(spark, sf):
+    return quality.duplicate_keys(derive.table(spark, sf, "documents"), ["text"])
+
+
+@query("mean_sentiment", S.with_tables("""
+SELECT source, round_even(CAST(avg(CAST(positive_score AS DECIMAL(12,9)) - CAST(negative_score AS DECIMAL(12,9))) AS DOUBLE), 6) AS mean_sentiment FROM tones_t GROUP BY 1"""))
+def mean_sentiment(spark, sf):
+    c = derive.document_chunks(spark, sf)
+    t = tone.score_tone(c).join(c.select("chunk_id", "source"), F.col("source_chunk_id") == F.col("chunk_id"))
+    return tone.sentiment_profile(t, "source").select("source", "mean_sentiment")
