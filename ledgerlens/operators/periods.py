@@ -131,23 +131,24 @@ def latest_report(reports: DataFrame, year: int | None = None) -> DataFrame:
 def strictly_earlier_report(current: DataFrame, reports: DataFrame) -> DataFrame:
     """Newest report strictly before each given one.
 
-    A quarterly report looks at earlier years and at earlier quarters of its year; an
-    annual report looks at earlier years only.  The reports of one company are few, so
-    the range condition rides on an equi-join by company.
+    A quarterly report looks at earlier quarters of its year, then at earlier years; an
+    annual report looks at earlier years only.  Reports first collapse to the newest of
+    each period slot, so the look-back windows see four quarters of a year or the years of
+    a company, and no two reports of a company are paired.
     """
-    cur = current.select(
-        "company_id", F.col("report_id").alias("_rid"), F.col("year").alias("_y"),
-        F.col("quarter").alias("_q"),
-    )
-    earlier = (F.col("year") < F.col("_y")) | (
-        (F.col("year") == F.col("_y")) & (F.col("quarter") < F.col("_q"))
-    )
-    w = Window.partitionBy("company_id", "_rid").orderBy(*_recency())
+    newest = F.struct(-F.unix_micros(F.col("uploaded_at").cast("timestamp")), F.col("report_id"))
+    slots = reports.groupBy("company_id", "year", "quarter").agg(F.min_by("report_id", newest).alias("_best"))
+    in_year = Window.partitionBy("company_id", "year").orderBy("quarter")
+    quarters = slots.filter("quarter is not null").select(
+        "company_id", "year", "quarter", F.lag("_best").over(in_year).alias("_same_year"))
+    annual_first = F.struct(F.col("quarter").isNotNull(), -F.col("quarter"))
+    years = slots.groupBy("company_id", "year").agg(F.min_by("_best", annual_first).alias("_top"))
+    over_years = Window.partitionBy("company_id").orderBy("year")
+    before = years.select("company_id", "year", F.lag("_top").over(over_years).alias("_year_before"))
     return (
-        cur.join(reports, "company_id")
-        .filter(earlier)
-        .withColumn("_rn", F.row_number().over(w))
-        .filter("_rn = 1")
-        .select("company_id", F.col("_rid").alias("report_id"),
-                F.col("report_id").alias("previous_report_id"))
+        current.select("company_id", "report_id", "year", "quarter")
+        .join(before, ["company_id", "year"], "left")
+        .join(quarters, ["company_id", "year", "quarter"], "left")
+        .select("company_id", "report_id", F.coalesce("_same_year", "_year_before").alias("previous_report_id"))
+        .filter("previous_report_id is not null")
     )
