@@ -42,3 +42,17 @@ def row_hash(df: DataFrame) -> Column:
     """Hash of the whole row: spreads rows whatever key they share, the same on every run."""
     plain = [c for c, kind in df.dtypes if not kind.startswith("map")]
     return F.xxhash64(*[F.col(f"`{c}`") for c in plain])
+
+
+def scratch_folder(spark: SparkSession, purpose: str) -> str:
+    """A new folder below the cluster's shared ``spark.checkpoint.dir``, as a URI every executor can use."""
+    import tempfile
+    import uuid
+
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+        root = tempfile.mkdtemp(prefix="spark-shared-")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/{purpose}-{uuid.uuid4().hex}")
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()

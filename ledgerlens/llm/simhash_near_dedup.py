@@ -391,3 +391,16 @@ def duplicate_classes(
     classes = nodes.join(linked.withColumnRenamed("component_id", "_linked"), "f0", "left").select(
         "f0", F.coalesce("_linked", "first_id").alias("component_id"))
     return marked.select("doc_id", "f0").join(classes, "f0").select("doc_id", F.col("f0").alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, **how) -> DataFrame:
+    """The rows of ``docs`` whose ``doc_id`` is the smallest of its class; all their columns.
+
+    A document without words is kept: it has nothing that could repeat.  Rows that repeat
+    an id are reduced to one; rows with a NULL id are kept.
+    """
+    has_words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)) & F.col("doc_id").isNotNull()
+    worded = docs.filter(has_words)
+    drop = duplicate_classes(worded, **how).filter("doc_id <> component_id").select("doc_id").distinct()
+    kept = worded.join(drop, "doc_id", "left_anti")
+    return kept.dropDuplicates(["doc_id"]).unionByName(docs.filter(~has_words)).select(*docs.columns)
