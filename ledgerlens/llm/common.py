@@ -56,3 +56,20 @@ def scratch_folder(spark: SparkSession, purpose: str) -> str:
         root = tempfile.mkdtemp(prefix="spark-shared-")
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/{purpose}-{uuid.uuid4().hex}")
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened where ``df`` has such a column already (upper and lower case alike)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
+def keyed_by_id(df: DataFrame, names: list[str]) -> DataFrame:
+    """Adds (is the id NULL, the id or else a hash of the row): a join key without a hot NULL."""
+    none, key = names
+    return df.withColumn(none, F.col("doc_id").isNull()).withColumn(key, F.coalesce(F.col("doc_id").cast("long"), row_hash(df)))
