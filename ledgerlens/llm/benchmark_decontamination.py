@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import keyed_by_id, row_hash, text_slices, unused
+from ledgerlens.llm.common import keyed_by_id, per_worker, row_hash, text_slices, unused
 from ledgerlens.session import cut_lineage
 
 WORDS = 5
@@ -165,7 +165,7 @@ def contained_items(
         sent = docs.sparkSession.sparkContext.broadcast(made)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            part, cache = sent.value, _Words()
+            part, cache = sent.value, per_worker("bare words", _Words)
             for batch, texts in text_slices(batches):
                 h, counts = shingles([t.decode("utf-8", "replace") for t in texts], cache, words)
                 ends = np.cumsum(counts)

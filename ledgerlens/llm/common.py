@@ -73,3 +73,14 @@ def keyed_by_id(df: DataFrame, names: list[str]) -> DataFrame:
     """Adds (is the id NULL, the id or else a hash of the row): a join key without a hot NULL."""
     none, key = names
     return df.withColumn(none, F.col("doc_id").isNull()).withColumn(key, F.coalesce(F.col("doc_id").cast("long"), row_hash(df)))
+
+
+def per_worker(key: str, make):
+    """``make()``, once per Python worker: caches of words outlive a task, for workers run many."""
+    import sys
+    from types import SimpleNamespace
+
+    held = sys.modules.setdefault("_training_data_worker", SimpleNamespace(made={})).made
+    if key not in held:
+        held[key] = make()
+    return held[key]

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import simhash_near_dedup
-from ledgerlens.llm.common import table
+from ledgerlens.llm import benchmark_decontamination, simhash_near_dedup, token_counts, token_files, toxicity_grammar
+from ledgerlens.llm.common import scratch_folder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -20,6 +20,34 @@ def _query(fn: Query) -> Query:
     return fn
 
 
+def _vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@_query
+def op3_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_grammar.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@_query
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_folder(spark, "tokens")
+    token_files.write_tokens(table(spark, sf_dir, "documents"), folder, _vocabulary("byte_bpe_50k.json"))
+    return token_files.read_documents(spark, folder)
+
+
+@_query
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
+
+
+@_query
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return benchmark_decontamination.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @_query
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     classes = simhash_near_dedup.duplicate_classes(table(spark, sf_dir, "documents"))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import text_slices
+from ledgerlens.llm.common import per_worker, text_slices
 
 MARK = "▁"
 LIMIT = 4096
@@ -52,11 +52,13 @@ class Counter:
         need = {s for own in cut for s in own}
         if len(self.cache) > CACHED_SEGMENTS:
             self.cache = dict(self.whole)
-        missing = list(need - self.cache.keys())
-        fresh = dict(zip(missing, map(len, self.model.encode(missing, num_threads=1)), strict=True)) if missing else {}
-        self.cache.update((s, n) for s, n in fresh.items() if len(s) <= CACHED_LENGTH)
-        held = self.cache if all(len(s) <= CACHED_LENGTH for s in missing) else {**self.cache, **fresh}
-        return [sum(map(held.__getitem__, own)) for own in cut]
+        missing = [s for s in need if s not in self.cache]
+        self.cache.update(zip(missing, map(len, self.model.encode(missing, num_threads=1)), strict=True))
+        counts = [sum(map(self.cache.__getitem__, own)) for own in cut]
+        for s in missing:
+            if len(s) > CACHED_LENGTH:
+                del self.cache[s]
+        return counts
 
 
 def segments(text: str) -> list[str]:
@@ -86,7 +88,7 @@ def token_counts(docs: DataFrame, model: str, *, limit: int = LIMIT) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = None
         for batch, texts in text_slices(batches):
-            counter = counter or Counter(model)
+            counter = counter or per_worker(f"counter {model}", lambda: Counter(model))
             sizes = np.fromiter(map(len, texts), np.int64, len(texts))
             counts = np.array(counter.count([t.decode("utf-8", "replace") for t in texts]), np.int64)
             yield pa.RecordBatch.from_arrays(

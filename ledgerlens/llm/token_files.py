@@ -26,14 +26,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import text_slices
+from ledgerlens.llm.common import per_worker, text_slices
 
 END_ID = 0
-CACHED_SEGMENTS = 300_000
+CACHED_SEGMENTS = 600_000
 CACHED_LENGTH = 64
 NO_ID = -(1 << 63)
 # white space before a space: no safe place to cut
 UNSAFE = re.compile(r"\s ")
+INNER = re.compile(r"(?!^ )\s")
+LINE = re.compile(r"(?<=\S)\n(?=\S)")
 
 
 class SegmentEncoder:
@@ -45,22 +47,52 @@ class SegmentEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.newline = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
         self.known: dict[str, bytes] = {}
 
-    def _ids(self, segments: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(segments, add_special_tokens=False)]
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _many(self, segments: list[str]) -> dict[str, bytes]:
+        """Ids of distinct segments.  Those without inner white space go in by the hundred, one a line."""
+        lines = [s for s in segments if s and not INNER.search(s)]
+        made: dict[str, bytes] = {}
+        for at in range(0, len(lines), 500):
+            some = lines[at:at + 500]
+            ids = np.array(self._ids(["\n".join(some)])[0], self.kind)
+            bound = np.flatnonzero(ids == self.newline)
+            if len(bound) != len(some) - 1:
+                continue
+            raw, width = ids.tobytes(), self.kind.itemsize
+            ends = [*(bound * width).tolist(), len(raw)]
+            starts = [0, *((bound + 1) * width).tolist()]
+            made.update((s, raw[a:b]) for s, a, b in zip(some, starts, ends, strict=True))
+        rest = [s for s in segments if s not in made]
+        made.update((s, np.array(ids, self.kind).tobytes()) for s, ids in zip(rest, self._ids(rest), strict=True))
+        return made
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text.  Segments after the first keep the space before them."""
-        cut = [safe_segments(t) for t in texts]
-        need = {s for segments in cut for s in segments}
+        """Ids of each text."""
         if len(self.known) > CACHED_SEGMENTS:
             self.known = {}
-        missing = list(need - self.known.keys())
-        fresh = dict(zip(missing, self._ids(missing), strict=True))
-        self.known.update((s, b) for s, b in fresh.items() if len(s) <= CACHED_LENGTH)
-        held = self.known if all(len(s) <= CACHED_LENGTH for s in missing) else {**self.known, **fresh}
-        return [b"".join(map(held.__getitem__, segments)) for segments in cut]
+        cut = [safe_segments(t) for t in texts]
+        need: set[str] = set()
+        for segments in cut:
+            need.update(segments)
+        missing = [s for s in need if s not in self.known]
+        # a newline between two words is a token of its own, so such segments are put together
+        broken = {s: LINE.split(s) for s in missing if "\n" in s}
+        pieces = {p for parts in broken.values() for p in parts} | {"\n"}
+        pieces.update(s for s in missing if s not in broken)
+        self.known.update(self._many([p for p in pieces if p not in self.known]))
+        line = self.known["\n"]
+        for s, parts in broken.items():
+            self.known[s] = line.join([self.known[p] for p in parts])
+        out = [b"".join(map(self.known.__getitem__, segments)) for segments in cut]
+        for s in missing:  # rare and long ones are not kept
+            if s in broken or len(s) > CACHED_LENGTH:
+                del self.known[s]
+        return out
 
 
 def safe_segments(text: str) -> list[str]:
@@ -117,7 +149,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, *, end_id: int =
         for batch, texts in text_slices(batches):
             if encoder is None:
                 store.create_dir(root, recursive=True)
-                encoder, out = SegmentEncoder(tokenizer), store.open_output_stream(f"{root}/{name}.ids")
+                encoder, out = per_worker(f"encoder {tokenizer}", lambda: SegmentEncoder(tokenizer)), store.open_output_stream(f"{root}/{name}.ids")
                 end = np.array([end_id], encoder.kind).tobytes()
             made = encoder.encode([t.decode("utf-8", "replace") for t in texts])
             sizes = np.fromiter(map(len, made), np.int64, len(made)) // encoder.kind.itemsize + 1
