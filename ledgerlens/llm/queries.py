@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import benchmark_decontamination, simhash_near_dedup, token_counts, token_files, toxicity_grammar
+from ledgerlens.llm import (
+    benchmark_decontamination, hash_tree_sharding, personal_data, robust_outliers, simhash_near_dedup, site_quality, source_mixing,
+    token_counts, token_files, toxicity_grammar,
+)
 from ledgerlens.llm.common import scratch_folder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,12 +23,24 @@ def _query(fn: Query) -> Query:
     return fn
 
 
-def _vocabulary(name: str) -> str:
+def vocabulary(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
 
 
+@_query
+def op1_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The source stands for a document's host, source and language for its path."""
+    return site_quality.quality_scores(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), F.col("source"), F.concat_ws("/", "source", "lang"))
+
+
+@_query
+def op2_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hash_tree_sharding.sharded(table(spark, sf_dir, "documents"))
+
+
 @_query
 def op3_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_grammar.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -34,13 +49,28 @@ def op3_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_folder(spark, "tokens")
-    token_files.write_tokens(table(spark, sf_dir, "documents"), folder, _vocabulary("byte_bpe_50k.json"))
+    token_files.write_tokens(table(spark, sf_dir, "documents"), folder, vocabulary("byte_bpe_50k.json"))
     return token_files.read_documents(spark, folder)
 
 
+@_query
+def op5_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return robust_outliers.quality_verdicts(table(spark, sf_dir, "documents"))
+
+
 @_query
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.token_counts(table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
+@_query
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.personal_data(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mixing.mixture(table(spark, sf_dir, "documents"))
 
 
 @_query

@@ -31,8 +31,8 @@ SMALL = 50
 CORE = 0.75
 STEPS = 3
 # Median of the chi-squared distribution with five degrees of freedom, and the rejection
-# distance: its 0.9999 quantile, doubled since texts are less normal than the normal.
-MEDIAN, LIMIT = 4.3515, 2 * 25.745
+# distance: its 0.9999 quantile times 1.4, since the statistics have longer tails than the normal.
+MEDIAN, LIMIT = 4.3515, 1.4 * 25.745
 GRAIN = 1024
 
 
