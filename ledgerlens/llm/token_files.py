@@ -35,6 +35,7 @@ NO_ID = -(1 << 63)
 # white space before a space: no safe place to cut
 UNSAFE = re.compile(r"\s ")
 INNER = re.compile(r"(?!^ )\s")
+MARKS = ".,;:!?*#$%&|"
 LINE = re.compile(r"(?<=\S)\n(?=\S)")
 
 
@@ -80,21 +81,32 @@ class SegmentEncoder:
         for segments in cut:
             need.update(segments)
         missing = [s for s in need if s not in self.known]
-        # a newline between two words is a token of its own, so such segments are put together
-        broken = {s: LINE.split(s) for s in missing if "\n" in s}
-        pieces = {p for parts in broken.values() for p in parts} | {"\n"}
-        pieces.update(s for s in missing if s not in broken)
+        # put together from parts that meet at a token's border: lines, and words with the marks behind them
+        made: dict[str, list[str]] = {}
+        for s in missing:
+            if "\n" in s:
+                made[s] = [p for part in LINE.split(s) for p in ("\n", *trimmed(part))][1:]
+            elif s[-1] in MARKS:
+                made[s] = trimmed(s)
+        pieces = {p for parts in made.values() for p in parts}
+        pieces.update(s for s in missing if s not in made)
         self.known.update(self._many([p for p in pieces if p not in self.known]))
-        line = self.known["\n"]
-        for s, parts in broken.items():
-            self.known[s] = line.join([self.known[p] for p in parts])
+        for s, parts in made.items():
+            if len(parts) > 1:
+                self.known[s] = b"".join([self.known[p] for p in parts])
         out = [b"".join(map(self.known.__getitem__, segments)) for segments in cut]
-        for s in missing:  # rare and long ones are not kept
-            if s in broken or len(s) > CACHED_LENGTH:
-                del self.known[s]
+        for s in (*missing, *pieces):  # what spans lines is rare, and long ones cost memory
+            if len(s) > CACHED_LENGTH or "\n" in s[1:]:
+                self.known.pop(s, None)
         return out
 
 
+def trimmed(segment: str) -> list[str]:
+    """The segment, cut before the marks at its end if a letter or digit stands there."""
+    word = segment.rstrip(MARKS)
+    return [word, segment[len(word):]] if word and len(word) < len(segment) and word[-1].isalnum() else [segment]
+
+
 def safe_segments(text: str) -> list[str]:
     """``text`` cut before every space that follows a character other than white space."""
     if not text:
