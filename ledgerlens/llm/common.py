@@ -75,6 +75,22 @@ def keyed_by_id(df: DataFrame, names: list[str]) -> DataFrame:
     return df.withColumn(none, F.col("doc_id").isNull()).withColumn(key, F.coalesce(F.col("doc_id").cast("long"), row_hash(df)))
 
 
+def map_rows(df: DataFrame, run, fields: list) -> DataFrame:
+    """``mapInArrow`` over all columns of ``df``, whatever their names; ``run`` sees them as c0, c1, ...
+
+    ``fields`` are added after them.  The text column's name inside is ``text_name(df)``.
+    """
+    from pyspark.sql import types as T
+
+    names = [f"c{i}" for i in range(len(df.columns))]
+    plain = [T.StructField(n, f.dataType) for n, f in zip(names, df.schema.fields, strict=True)]
+    return df.toDF(*names).mapInArrow(run, T.StructType([*plain, *fields])).toDF(*df.columns, *[f.name for f in fields])
+
+
+def text_name(df: DataFrame) -> str:
+    return f"c{df.columns.index('text')}"
+
+
 def per_worker(key: str, make):
     """``make()``, once per Python worker: caches of words outlive a task, for workers run many."""
     import sys

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import per_worker, text_slices
+from ledgerlens.llm.common import map_rows, per_worker, text_name, text_slices
 
 BASE = ["email", "ip", "card", "phone"]
 KINDS = [*BASE, "url", "secret", "key_id", "iban", "ssn"]
@@ -157,12 +157,11 @@ def personal_data(docs: DataFrame) -> DataFrame:
 
 def redacted(docs: DataFrame) -> DataFrame:
     """``docs`` with every span of its text replaced by the kind in angle brackets; NULL stays NULL."""
-    names = docs.columns
+    column, at = text_name(docs), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in text_slices(batches):
+        for batch, texts in text_slices(batches, column):
             anchors = per_worker("anchors", automaton)
-            at = batch.schema.get_field_index("text")
             out = []
             for raw, there in zip(texts, batch.column(at).is_valid().to_pylist(), strict=True):
                 text, parts, end = raw.decode("utf-8", "replace"), [], 0
@@ -173,6 +172,6 @@ def redacted(docs: DataFrame) -> DataFrame:
                 out.append("".join([*parts, text[end:]]) if there else None)
             columns = list(batch.columns)
             columns[at] = pa.array(out, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_rows(docs, run, [])

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerlens.llm.common import text_slices
+from ledgerlens.llm.common import map_rows, text_name, text_slices, unused
 from ledgerlens.session import cut_lineage
 
 # ---- fixed values: seed words of the grammar, in English, German, French and Spanish ----
@@ -225,26 +225,26 @@ def fit_weights(groups: list[tuple[tuple[int, ...], float, float]]) -> np.ndarra
         w = w + np.clip(move, -2, 2)
         if np.abs(move).max() < 1e-8:
             break
-    # a matched clause never speaks against toxicity
-    return np.concatenate((w[:1], np.maximum(w[1:], 0)))
+    # a matched clause never speaks against toxicity, and no text is called toxic without one
+    return np.concatenate((np.minimum(w[:1], -1), np.maximum(w[1:], 0)))
 
 
-def clause_events(docs: DataFrame, grammar: Grammar) -> DataFrame:
-    """``docs`` with ``_events``: per document, how many clauses matched each event."""
+def clause_events(docs: DataFrame, grammar: Grammar, name: str = "_events") -> DataFrame:
+    """``docs`` with the column ``name``: per document, how many clauses matched each event."""
     sent = docs.sparkSession.sparkContext.broadcast(grammar)
-    names = [*docs.columns, "_events"]
+    column = text_name(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sent.value
         kinds = _Kinds(known)
-        for batch, texts in text_slices(batches):
+        for batch, texts in text_slices(batches, column):
             made = []
             for raw in texts:
                 words = raw.decode("utf-8", "replace").lower().split()
                 made.append(known.events(np.fromiter(map(kinds.__getitem__, words), np.int8, len(words))).tolist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.list_(pa.int64()))], names=names)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.list_(pa.int64()))], names=[*batch.schema.names, "events"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_events", T.ArrayType(T.LongType()))]))
+    return map_rows(docs, run, [T.StructField(name, T.ArrayType(T.LongType()))])
 
 
 class Model:
@@ -287,4 +287,5 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, *, rows: int = FIT_ROWS,
 def without_toxic(docs: DataFrame, labels: DataFrame, *, rows: int = FIT_ROWS, threshold: float = 0.7) -> DataFrame:
     """The rows of ``docs`` scored below ``threshold``, in one pass over them after the fit; all their columns."""
     model = fit(docs, labels, rows=rows)
-    return clause_events(docs, model.grammar).filter(model.score(F.col("_events")) < threshold).drop("_events")
+    name, = unused(docs, "_events")
+    return clause_events(docs, model.grammar, name).filter(model.score(F.col(name)) < threshold).drop(name)
