@@ -34,6 +34,7 @@ def main() -> None:
     spark = (
         configure(SparkSession.builder.master(f"local[{cpus}]").appName("bench"))
         .config("spark.sql.shuffle.partitions", cpus).config("spark.driver.memory", "12g")
+        .config("spark.ledgerlens.spread", cpus)
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").getOrCreate()
     )

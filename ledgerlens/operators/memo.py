@@ -13,8 +13,12 @@ from ledgerlens.operators import quality
 NUMBER = r"\b\d+(?:,\d+)*(?:\.\d+)?%?\b"
 
 
-def _nest(df: DataFrame, key: str, fields: list, order: list[str], name: str, k: int) -> DataFrame:
-    """First ``k`` rows per key as one ordered array.  ``k`` rows survive the map side."""
+def _nest(df: DataFrame, key: str, fields: list, order: list[str], name: str, k: int | None = None) -> DataFrame:
+    """All rows of a key, or its first ``k``, as one ordered array.  ``k`` rows survive the map side."""
+    if k is None:
+        packed = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.array_sort(F.collect_list(
+            F.struct(F.struct(*order).alias("_n"), F.struct(*fields).alias("_s")))).alias("_a"))
+        return packed.select(key, F.transform("_a", lambda x: x["_s"]).alias(name))
     top = top_per(df, [key], [F.col(o) for o in order], k, "_n")
     packed = top.select(key, "_n", F.struct(*fields).alias("_s")).groupBy(key).agg(
         F.array_sort(F.collect_list(F.struct("_n", "_s"))).alias("_a"))
@@ -23,13 +27,13 @@ def _nest(df: DataFrame, key: str, fields: list, order: list[str], name: str, k:
 
 def package(
     reports: DataFrame, companies: DataFrame, metrics: DataFrame, comparisons: DataFrame, analytics: DataFrame,
-    risks: DataFrame, tones: DataFrame, chunks: DataFrame, benchmark: DataFrame, *, branch_rows: int = 1000,
+    risks: DataFrame, tones: DataFrame, chunks: DataFrame, benchmark: DataFrame,
 ) -> DataFrame:
     """Everything a memo needs, nested under its report.
 
-    Branch arrays hold at most ``branch_rows`` rows in key order: a report has at most a
-    few dozen of each kind, and every memo text reads no more than its first few; whole
-    branches stay in their own tables.
+    Branch arrays hold every row of a report in key order.  The data model bounds them:
+    metrics and risks have one row per name, comparisons and signals a few per metric, and
+    tones one per chunk of a file.  Evidence is the set of chunks a memo may cite.
     """
     base = reports.join(companies.select("company_id", "name"), "company_id").select(
         "report_id", "company_id", F.col("name").alias("company_name"),
@@ -44,17 +48,17 @@ def package(
     located = located.withColumn("_w", weight)
     branches = [
         _nest(metrics, "report_id", ["metric_name", F.col("value").cast("double").alias("value"), "unit", "metric_category"],
-              ["metric_id"], "metrics", branch_rows),
+              ["metric_id"], "metrics"),
         _nest(comparisons.drop("company_id"), "report_id",
               ["metric_name", "comparison_type", "current_value", "previous_value", "percentage_change"],
-              ["metric_id", "comparison_type"], "comparisons", branch_rows),
+              ["metric_id", "comparison_type"], "comparisons"),
         _nest(analytics, "report_id", ["signal_type", "metric_name", "signal_code", "value", "explanation"],
-              ["signal_code", "metric_name"], "analytics", branch_rows),
+              ["signal_code", "metric_name"], "analytics"),
         _nest(located, "report_id", ["risk_id", "category", "severity", "risk_description", "source_chunk_id", "page_number"],
-              ["_w", "risk_id"], "risks", branch_rows),
+              ["_w", "risk_id"], "risks"),
         _nest(tones, "report_id", [
             "sentiment", "confidence_level", "hedging_score",
-            (F.col("positive_score") - F.col("negative_score")).alias("sentiment_score")], ["seq", "tone_id"], "tones", branch_rows),
+            (F.col("positive_score") - F.col("negative_score")).alias("sentiment_score")], ["seq", "tone_id"], "tones"),
         _nest(chunks, "report_id", ["chunk_id", "chunk_text", F.coalesce("start_page", F.lit(1)).alias("page_number"), "section"],
               ["start_page", "chunk_index"], "evidence", vocab.MEMO_EVIDENCE_CHUNKS),
     ]

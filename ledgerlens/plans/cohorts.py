@@ -45,14 +45,14 @@ SELECT CAST(doc_id AS VARCHAR) AS chunk_id, r.company_id, r.report_id FROM docum
 JOIN {_NEWEST} r ON r.company_id = CAST(doc_id // 10 AS VARCHAR) AND r.n = doc_id % 5 + 1"""
 S.TABLES["held_tones"] = "SELECT t.* REPLACE (h.company_id AS company_id, h.report_id AS report_id) FROM tones_t t JOIN held_reports h ON t.report_id = h.chunk_id"
 S.TABLES["held_risks"] = """
-SELECT h.report_id || '|' || normalized_risk_name AS risk_id, h.company_id, h.report_id, c.normalized_risk_name, c.severity
+SELECT h.report_id || '|' || normalized_risk_name AS risk_id, h.company_id, h.report_id, c.normalized_risk_name, c.kw_title || ' Risk' AS risk_name, c.category, c.severity
 FROM risk_candidates_t c JOIN held_reports h ON c.chunk_id = h.chunk_id
 QUALIFY row_number() OVER (PARTITION BY h.report_id, normalized_risk_name ORDER BY CASE WHEN section_match THEN 0 ELSE 1 END, c.chunk_id, pos, place) = 1"""
 S.TABLES["held_steps"] = "SELECT report_id, lag(report_id) OVER (PARTITION BY company_id ORDER BY year * 4 + coalesce(quarter, 4), report_id) AS prior_report_id FROM reports_t"
+S.matched_risks("held", "held_risks", "held_steps")
 S.TABLES["held_moves"] = f"""
-SELECT c.risk_id, c.report_id, CASE WHEN p.risk_id IS NULL THEN 'NEW_RISK' WHEN {filings._step("c.severity", "p.severity")} > 0 THEN 'ESCALATED_RISK' ELSE 'OTHER' END AS kind
-FROM held_risks c JOIN held_steps s ON s.report_id = c.report_id AND s.prior_report_id IS NOT NULL
-LEFT JOIN held_risks p ON p.report_id = s.prior_report_id AND p.normalized_risk_name = c.normalized_risk_name"""
+SELECT c.risk_id, c.report_id, CASE WHEN m.previous_risk_id IS NULL THEN 'NEW_RISK' WHEN {filings._step("c.severity", "p.severity")} > 0 THEN 'ESCALATED_RISK' ELSE 'OTHER' END AS kind
+FROM held_matches m JOIN held_risks c ON c.risk_id = m.current_risk_id LEFT JOIN held_risks p ON p.risk_id = m.previous_risk_id"""
 _D = "CAST({c} AS DECIMAL(10,8))"
 _NET = f"({_D.format(c='positive_score')} - {_D.format(c='negative_score')})"
 S.TABLES["tone_dims"] = f"""
@@ -119,7 +119,7 @@ def _profile(spark, sf):
     text = derive.company_chunks(spark, sf)
     found = cut_lineage(risks.extract_risks(text))
     comparisons = periods.compare_periods(metrics, deduped=True, carry=("report_id",))
-    moves = risks.risk_evolution(found, reports, fuzzy_threshold=2.0, unique_names=True)
+    moves = risks.risk_evolution(found, reports, unique_names=True)
     profile = benchmark.company_profile(reports, metrics, comparisons, found, moves, tone.score_tone(text))
     names = [m for ms in vocab.METRIC_DIRECTIONS.values() for m in ms]
     return profile.select("company_id", *[F.round(n, 6).alias(n) for n in names])

@@ -178,15 +178,30 @@ def risk_exact_matches(spark, sf):
     return risks.match_exact(current, previous)
 
 
-@query("risk_evolution")
-def risk_evolution(spark, sf):
-    return risks.risk_evolution(cut_lineage(_risks(spark, sf)), derive.filing_reports(spark, sf), unique_names=True)
-
-
 def _step(c, p):
     return f"{_place(c, vocab.RISK_SEVERITIES)} - {_place(p, vocab.RISK_SEVERITIES)}"
 
 
+S.matched_risks("filed", "risks_t", "filing_steps")
+_CATEGORY = "array_to_string(list_transform(string_split(lower(replace({c}, '_', ' ')), ' '), lambda w: upper(left(w, 1)) || substr(w, 2)), ' ')"
+S.TABLES["moves_t"] = f"""
+SELECT coalesce(c.company_id, p.company_id) AS company_id, m.report_id, current_risk_id, previous_risk_id,
+  CASE WHEN p.risk_id IS NULL THEN 'NEW_RISK' WHEN c.risk_id IS NULL THEN 'REMOVED_RISK' WHEN {_step("c.severity", "p.severity")} > 0 THEN 'ESCALATED_RISK'
+       WHEN {_step("c.severity", "p.severity")} < 0 THEN 'REDUCED_RISK' ELSE 'UNCHANGED_RISK' END AS evolution_type,
+  coalesce(round_even((c.confidence_score + p.confidence_score) / 2.0, 3), c.confidence_score, p.confidence_score) AS confidence_score,
+  CASE WHEN p.risk_id IS NULL THEN 'New ' || {_CATEGORY.format(c="c.category")} || ' risk disclosed (''' || c.risk_name || ''') with ' || c.severity || ' severity.'
+       WHEN c.risk_id IS NULL THEN 'Risk related to ' || {_CATEGORY.format(c="p.category")} || ' (''' || p.risk_name || ''') has been removed from disclosures.'
+       ELSE 'Risk ''' || c.risk_name || ''' ' || CASE WHEN {_step("c.severity", "p.severity")} > 0 THEN 'escalated from ' || p.severity || ' to ' || c.severity
+            WHEN {_step("c.severity", "p.severity")} < 0 THEN 'reduced from ' || p.severity || ' to ' || c.severity ELSE 'remained unchanged at ' || c.severity END || ' severity.' END AS explanation,
+  match_type, match_score
+FROM filed_matches m LEFT JOIN risks_t c ON c.risk_id = current_risk_id LEFT JOIN risks_t p ON p.risk_id = previous_risk_id"""
+
+
+@query("risk_evolution", S.with_tables("SELECT * FROM moves_t"))
+def risk_evolution(spark, sf):
+    return risks.risk_evolution(cut_lineage(_risks(spark, sf)), derive.filing_reports(spark, sf), unique_names=True)
+
+
 @query("risk_severity_moves", S.with_tables(f"""
 SELECT m.*, CASE WHEN {_step("c.severity", "p.severity")} > 0 THEN 'ESCALATED_RISK' WHEN {_step("c.severity", "p.severity")} < 0 THEN 'REDUCED_RISK' ELSE 'UNCHANGED_RISK' END AS evolution_type,
        round_even((c.confidence_score + p.confidence_score) / 2.0, 3) AS confidence_score
@@ -199,11 +214,11 @@ def risk_severity_moves(spark, sf):
 
 @query("risk_summary", S.with_tables("""
 SELECT company_id, 'category' AS kind, category AS label, count(*) AS n FROM risks_t GROUP BY 1, 2, 3
-UNION ALL SELECT company_id, 'severity', severity, count(*) FROM risks_t GROUP BY 1, 2, 3"""))
+UNION ALL SELECT company_id, 'severity', severity, count(*) FROM risks_t GROUP BY 1, 2, 3
+UNION ALL SELECT company_id, 'evolution', evolution_type, count(*) FROM moves_t GROUP BY 1, 2, 3"""))
 def risk_summary(spark, sf):
-    r = _risks(spark, sf)
-    none = r.limit(0).select("company_id", F.lit("x").alias("evolution_type"))
-    return summaries.risk_summary(r, none)
+    r = cut_lineage(_risks(spark, sf))
+    return summaries.risk_summary(r, risks.risk_evolution(r, derive.filing_reports(spark, sf), unique_names=True))
 
 
 @query("risk_severity_buckets", S.with_tables("""

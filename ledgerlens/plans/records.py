@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 
 from pyspark.sql import functions as F
 
@@ -11,7 +10,7 @@ from ledgerlens.operators import analytics, evaluation, extract, memo, periods,
 from ledgerlens.plans import cohorts, filings  # noqa: F401  (their SQL tables are used below)
 from ledgerlens.plans import sql as S
 from ledgerlens.plans.registry import query
-from ledgerlens.session import cut_lineage
+from ledgerlens.session import cut_lineage, shared_folder
 from ledgerlens.sources import derive, ingest, sinks
 from ledgerlens.streaming import streams
 
@@ -285,7 +284,7 @@ def _events(spark, sf):
 
 
 def _finished(spark, df, mode):
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    base = shared_folder(spark)
     folder = f"{base.rstrip('/')}/stream-{spark.sparkContext.applicationId}-{spark.sql('select uuid()').first()[0]}"
     streams.run_to_table(df, f"{folder}/out", f"{folder}/state", mode=mode).awaitTermination()
     return streams.read_version(spark, f"{folder}/out") if mode != "append" else spark.read.schema(df.schema).parquet(f"{folder}/out")

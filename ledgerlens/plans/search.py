@@ -181,12 +181,12 @@ def embedding_cost(spark, sf):
     return chunks.embedding_cost(_stored(spark, sf))
 
 
-@query("embedding_batches", S.with_tables("""
-SELECT section, batch, count(*) AS items FROM (SELECT section, (row_number() OVER (PARTITION BY section ORDER BY vec_id) - 1) // 20 AS batch FROM stored_t WHERE stored IS NULL) GROUP BY 1, 2"""))
+@query("embedding_batches", S.with_tables(f"""
+SELECT section, batch, count(*) AS items FROM (SELECT section, (row_number() OVER (PARTITION BY section ORDER BY vec_id) - 1) // {vocab.EMBED_BATCH} AS batch FROM stored_t WHERE stored IS NULL) GROUP BY 1, 2"""))
 def embedding_batches(spark, sf):
     todo = _stored(spark, sf).filter("embedding is null").select("section", "vec_id")
     numbered = number_rows(todo, ["section"], [F.col("vec_id")], "n")
-    return numbered.groupBy("section", F.floor((F.col("n") - 1) / 20).alias("batch")).agg(F.count(F.lit(1)).alias("items"))
+    return numbered.groupBy("section", F.floor((F.col("n") - 1) / vocab.EMBED_BATCH).alias("batch")).agg(F.count(F.lit(1)).alias("items"))
 
 
 @query("hashed_vectors")
@@ -200,13 +200,13 @@ def hashed_vectors(spark, sf):
 _ASK = [
     "What is the revenue guidance and outlook?", "Which supply chain risk may hurt?", "How did management tone change?",
     "Give a company overview.", "Is there a breach or lawsuit?", "Hello there.", "What did the CEO say on margins?"]
-_ASKED = f"(SELECT conv_id, turn, {S.pick(_ASK, 'conv_id + turn')} || ' ' || left(text, 60) AS query FROM conversations)"
+_ASKED = f"(SELECT conv_id, turn, {S.pick(_ASK, 'conv_id + turn')} || ' ' || text AS query FROM conversations)"
 
 
 def _asked(spark, sf):
     c = derive.table(spark, sf, "conversations")
     return c.select("conv_id", "turn", F.concat_ws(
-        " ", derive.pick(_ASK, F.col("conv_id") + F.col("turn")), F.substring("text", 1, 60)).alias("query"))
+        " ", derive.pick(_ASK, F.col("conv_id") + F.col("turn")), F.col("text")).alias("query"))
 
 
 def _hits(words, weight):

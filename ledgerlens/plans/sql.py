@@ -209,6 +209,44 @@ SELECT vec_id, embedding, {pick(vocab.SECTIONS, "label")} AS section, label,
 FROM embeddings"""
 
 
+def matched_risks(prefix: str, risks: str, steps: str) -> None:
+    """Defines {prefix}_matches: every current and previous risk of a report once, paired or alone.
+
+    Equal names pair first.  The others choose in order of their ids, one step of the
+    recursion each, from the previous risks of their category that are still free and whose
+    names share enough words, the best first.
+    """
+    words = f"list_filter(list_distinct(regexp_extract_all(lower(risk_name), '[\\p{{L}}\\p{{N}}_]+')), lambda w: w NOT IN {in_list(vocab.RISK_STOP_WORDS)})"
+    TABLES[f"{prefix}_now"] = f"SELECT r.*, {words} AS words FROM {risks} r JOIN {steps} s ON r.report_id = s.report_id WHERE s.prior_report_id IS NOT NULL"
+    TABLES[f"{prefix}_then"] = f"SELECT r.* REPLACE (s.report_id AS report_id), {words} AS words FROM {risks} r JOIN {steps} s ON r.report_id = s.prior_report_id"
+    TABLES[f"{prefix}_equal"] = f"""
+SELECT c.report_id, c.risk_id AS current_risk_id, p.risk_id AS previous_risk_id FROM {prefix}_now c JOIN {prefix}_then p
+  ON c.report_id = p.report_id AND c.normalized_risk_name = p.normalized_risk_name"""
+    TABLES[f"{prefix}_wishes"] = f"""
+SELECT report_id, category, risk_id, row_number() OVER (PARTITION BY report_id, category ORDER BY risk_id) AS k, wishes FROM (
+  SELECT c.report_id, c.category, c.risk_id, list({{'id': p.risk_id, 'score': score}} ORDER BY score DESC, p.risk_id) AS wishes
+  FROM {prefix}_now c JOIN {prefix}_then p ON c.report_id = p.report_id AND c.category = p.category,
+    LATERAL (SELECT len(list_intersect(c.words, p.words))::DOUBLE / (len(c.words) + len(p.words) - len(list_intersect(c.words, p.words))) AS score)
+  WHERE len(c.words) > 0 AND len(p.words) > 0 AND score >= {vocab.RISK_FUZZY_THRESHOLD}::DOUBLE
+    AND (c.report_id, c.risk_id) NOT IN (SELECT (report_id, current_risk_id) FROM {prefix}_equal)
+    AND (p.report_id, p.risk_id) NOT IN (SELECT (report_id, previous_risk_id) FROM {prefix}_equal)
+  GROUP BY 1, 2, 3)"""
+    free = "list_filter(w.wishes, lambda x: NOT list_contains(s.used, x.id))"
+    TABLES[f"{prefix}_chosen"] = f"""
+SELECT report_id, category, 0::BIGINT AS k, CAST([] AS VARCHAR[]) AS used, CAST(NULL AS VARCHAR) AS current_risk_id, CAST(NULL AS VARCHAR) AS previous_risk_id, CAST(NULL AS DOUBLE) AS score
+FROM {prefix}_wishes GROUP BY 1, 2
+UNION ALL
+SELECT w.report_id, w.category, w.k, CASE WHEN len({free}) > 0 THEN list_append(s.used, {free}[1].id) ELSE s.used END, w.risk_id, {free}[1].id, {free}[1].score
+FROM {prefix}_chosen s JOIN {prefix}_wishes w ON w.report_id = s.report_id AND w.category = s.category AND w.k = s.k + 1"""
+    TABLES[f"{prefix}_paired"] = f"""
+SELECT report_id, current_risk_id, previous_risk_id, 'EXACT' AS match_type, 1.0::DOUBLE AS match_score FROM {prefix}_equal
+UNION ALL SELECT report_id, current_risk_id, previous_risk_id, 'FUZZY', round_even(score, 3) FROM {prefix}_chosen WHERE previous_risk_id IS NOT NULL"""
+    TABLES[f"{prefix}_matches"] = f"""
+SELECT * FROM {prefix}_paired
+UNION ALL SELECT report_id, risk_id, NULL, 'NONE', 0.0::DOUBLE FROM {prefix}_now WHERE (report_id, risk_id) NOT IN (SELECT (report_id, current_risk_id) FROM {prefix}_paired)
+UNION ALL SELECT report_id, NULL, risk_id, 'NONE', 0.0::DOUBLE FROM {prefix}_then WHERE (report_id, risk_id) NOT IN (SELECT (report_id, previous_risk_id) FROM {prefix}_paired)"""
+
+
 def with_tables(body: str) -> str:
     """``body`` preceded by the definitions of every derived table it uses, in order."""
     def needs(sql: str) -> set[str]:
@@ -222,6 +260,7 @@ def with_tables(body: str) -> str:
         return body.strip()
     parts = [f"{t} AS ({TABLES[t].strip()}\n)" for t in TABLES if t in wanted]
     body = body.strip()
+    start = "WITH RECURSIVE " if any(re.search(rf"\b{t}\b", TABLES[t]) for t in wanted) else "WITH "
     if body.upper().startswith("WITH "):
-        return "WITH " + ",\n".join(parts) + ",\n" + body[5:]
-    return "WITH " + ",\n".join(parts) + "\n" + body
+        return start + ",\n".join(parts) + ",\n" + body[5:]
+    return start + ",\n".join(parts) + "\n" + body

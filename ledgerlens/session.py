@@ -1,4 +1,4 @@
-"""Session settings and the two facilities every job shares: lineage cuts and size checks."""
+"""Session settings and what every job shares: lineage cuts and the folder they go to."""
 
 from __future__ import annotations
 
@@ -6,10 +6,6 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Sides at or below this many rows may be broadcast or handed to every task.
-BROADCAST_ROWS = 200_000
-
-
 def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
     """Settings the jobs assume.  Sizing (executors, shuffle partitions) stays with the caller."""
     return (
@@ -27,18 +23,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     The folder comes from the session.  Only where neither the session nor the
     context names one (unit tests, local runs) is a scratch folder chosen.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-            folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
-        sc.setCheckpointDir(folder)
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
-def fits(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """True when ``df`` has at most ``rows`` rows.  Stops reading after ``rows + 1``."""
-    return df.limit(rows + 1).count() <= rows
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir`` of the session; a scratch folder only where nothing is set and the master is local."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+        folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
+    return folder

@@ -73,13 +73,14 @@ def risk_text(i: Column) -> Column:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A stored table.  A text table that is too small to give every core a split is spread
-    out once; at scale a scan has far more splits than cores and stays as it is."""
+    """A stored table, in the splits the scan gives.
+
+    A session may ask for text tables to be dealt out anew by ``spark.ledgerlens.spread``
+    (a number of partitions), as the bench does for its files of a single split.
+    """
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if name in ("documents", "pages", "conversations") and df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
+    spread = spark.conf.get("spark.ledgerlens.spread", None)
+    return df.repartition(int(spread)) if spread and name in ("documents", "pages", "conversations") else df
 
 
 def pick(words: list[str], by: Column) -> Column:

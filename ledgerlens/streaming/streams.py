@@ -30,20 +30,21 @@ def page_chunks(pages: DataFrame) -> DataFrame:
         F.col("page_text").alias("chunk_text"))
 
 
-def write_batch(path: str, rows: DataFrame, keys: DataFrame, batch_id: int, key: str = "report_id") -> None:
+def write_batch(path: str, rows: DataFrame, keys: DataFrame, batch_id: int, key: list[str]) -> None:
     """Idempotent batch sink: the rows of a batch and the keys it replaces, side by side.
 
     A batch that runs again overwrites its own folder.  Nothing older is rewritten, so the
     cost of a batch is the size of the batch; a key that now has no rows is still replaced.
     """
     rows.write.mode("overwrite").parquet(f"{path}/rows/batch={batch_id}")
-    keys.select(key).distinct().write.mode("overwrite").parquet(f"{path}/keys/batch={batch_id}")
+    keys.select(*key).distinct().write.mode("overwrite").parquet(f"{path}/keys/batch={batch_id}")
 
 
-def read_latest(spark: SparkSession, path: str, key: str = "report_id") -> DataFrame:
-    """Rows of the newest batch of each key.  The choice is an aggregate over keys only."""
-    newest = spark.read.parquet(f"{path}/keys").groupBy(key).agg(F.max("batch").alias("batch"))
-    return spark.read.parquet(f"{path}/rows").join(newest, [key, "batch"]).drop("batch")
+def read_latest(spark: SparkSession, path: str, key: list[str] | None = None) -> DataFrame:
+    """Rows of the newest batch of each key (a page of a report).  The choice is an aggregate over keys only."""
+    key = key or PAGE
+    newest = spark.read.parquet(f"{path}/keys").groupBy(*key).agg(F.max("batch").alias("batch"))
+    return spark.read.parquet(f"{path}/rows").join(newest, [*key, "batch"]).drop("batch")
 
 
 def _versions(spark: SparkSession, path: str) -> list[int]:
@@ -63,11 +64,23 @@ def read_version(spark: SparkSession, path: str) -> DataFrame:
 
 
 def stream_pages(pages: DataFrame, tone_path: str, risk_path: str, checkpoint: str) -> StreamingQuery:
-    """Pages as they land become tone and risk rows, replaced per report."""
+    """Pages as they land become tone and risk rows, replaced page by page.
+
+    A report whose pages come in several batches keeps the rows of them all.  Both sinks
+    read the batch, which is persisted for that long.
+    """
     def process(batch: DataFrame, batch_id: int) -> None:
-        chunks = page_chunks(batch)
-        write_batch(tone_path, tone.score_tone(chunks), batch, batch_id)
-        write_batch(risk_path, risks.extract_risks(chunks), batch, batch_id)
+        batch = batch.persist()
+        try:
+            chunks = page_chunks(batch)
+            # a page is a report of one page to the extraction, which keeps one risk per name and report
+            paged = chunks.withColumn("report_id", F.col("chunk_id"))
+            keys = batch.select("report_id", F.concat_ws("|", "report_id", "page_number").alias("source_chunk_id"))
+            for path, made in ((tone_path, tone.score_tone(chunks)), (risk_path, risks.extract_risks(paged))):
+                found = made.drop("report_id").join(keys, "source_chunk_id")
+                write_batch(path, found, keys, batch_id, PAGE)
+        finally:
+            batch.unpersist()
 
     return pages.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint).trigger(
         availableNow=True).start()
@@ -105,4 +118,6 @@ def run_to_table(df: DataFrame, path: str, checkpoint: str, *, mode: str = "appe
         lambda batch, n: batch.write.mode("overwrite").parquet(f"{path}/version={n}")).start()
 
 
+# what a batch of pages replaces: the page, named by its chunk
+PAGE = ["report_id", "source_chunk_id"]
 PAGES_SCHEMA = schemas.TABLES["pages"]

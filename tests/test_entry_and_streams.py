@@ -45,6 +45,21 @@ def test_pages_stream_into_tone_and_risk_tables(spark, tmp_path):
     assert tones.count() == 2 and tones.filter("report_id = 'a'").first()["source_text"] == "No news."
 
 
+def test_pages_of_one_report_in_two_batches_all_stay(spark, tmp_path):
+    src, tone_path, risk_path = (str(tmp_path / n) for n in ("in", "tone", "risk"))
+    schema = streams.PAGES_SCHEMA
+
+    def land(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        streams.stream_pages(streams.read_stream(spark, src, schema), tone_path, risk_path, str(tmp_path / "state")).awaitTermination()
+
+    land([("a", 1, "Supply chain problems are a risk."), ("a", 2, "We are on track.")])
+    land([("a", 3, "A data breach is a risk."), ("a", 2, "We are not on track.")])
+    tones = {r["source_chunk_id"]: r["source_text"] for r in streams.read_latest(spark, tone_path).collect()}
+    assert tones == {"a|1": "Supply chain problems are a risk.", "a|2": "We are not on track.", "a|3": "A data breach is a risk."}
+    assert {r["source_chunk_id"] for r in streams.read_latest(spark, risk_path).collect()} == {"a|1", "a|3"}
+
+
 def test_stream_dedupe_keeps_first(spark, tmp_path):
     src = str(tmp_path / "in")
     spark.createDataFrame([("r", "same"), ("r", " same "), ("r", "other"), ("s", "same")], "report_id string, chunk_text string").withColumn(

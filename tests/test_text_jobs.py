@@ -1,4 +1,3 @@
-import itertools
 import random
 import re
 
@@ -74,54 +73,40 @@ def tokens(s):
     return len(re.findall(r"\w+|[^\w\s]", s))
 
 
-def naive_pieces(body, target, limit, overlap, seps):
-    """Straight reading of the rules on plain strings, for comparison on small texts."""
-    def split(t, level):
-        t = t.strip()
-        if not t:
-            return []
-        if tokens(t) <= limit:
-            return [t]
-        if level == len(seps):
-            out, cur = [], []
-            for w in t.split():
-                cur.append(w)
-                if tokens(" ".join(cur)) >= limit:
-                    out.append(" ".join(cur))
-                    cur = []
-            return out + ([" ".join(cur)] if cur else [])
-        parts = [p for p in t.split(seps[level]) if p.strip()]
-        if len(parts) < 2:
-            return split(t, level + 1)
-        return list(itertools.chain.from_iterable(split(p, level + 1) for p in parts))
-
-    atoms, out, run = split(body, 0), [], []
-    for a in atoms:
-        if run and sum(map(tokens, run)) + tokens(a) > target:
-            out.append("\n\n".join(run))
-            keep, total = [], 0
-            for x in reversed(run):
-                if keep and total + tokens(x) > overlap:
-                    break
-                keep.insert(0, x)
-                total += tokens(x)
-                if total >= overlap:
-                    break
-            run = keep if overlap > 0 and total <= target else []
-        run.append(a)
-    return out + (["\n\n".join(run)] if run else [])
-
-
-def test_chunking_matches_a_naive_reading():
+def sentences(*sizes):
+    """Paragraphs of the given token counts, all words different."""
+    return "\n\n".join(" ".join(f"p{k}w{i}" for i in range(n)) for k, n in enumerate(sizes))
+
+
+@pytest.mark.parametrize("sizes, target, overlap, want", [
+    ((10, 10, 10), 30, 5, [[0, 1, 2]]),               # all fits
+    ((10, 10, 10), 20, 0, [[0, 1], [2]]),             # full at the target
+    ((10, 10, 10), 20, 10, [[0, 1], [1, 2]]),         # the last paragraph comes again
+    ((10, 10, 10), 20, 5, [[0, 1], [1, 2]]),          # even if it is longer than the overlap
+    ((4, 4, 4, 10), 12, 8, [[0, 1, 2], [1, 2, 3]]),   # two of them fit the overlap
+    ((20, 5), 20, 3, [[0], [0, 1]]),                  # a whole piece may come again
+])
+def test_pieces_of_paragraphs(sizes, target, overlap, want):
+    paragraphs = sentences(*sizes).split("\n\n")
+    got = chunking.cut(sentences(*sizes), target, max(sizes), overlap, vocab.PROSE_SEPARATORS)
+    assert got == [("\n\n".join(paragraphs[k] for k in ks), sum(sizes[k] for k in ks)) for ks in want]
+
+
+def test_pieces_cover_the_text_in_order_and_within_bounds():
     rng = random.Random(7)
-    for case in range(300):
-        words = [rng.choice(["alpha", "beta.", "gamma,", "d", "é-f", "12.5%"]) for _ in range(rng.randint(0, 120))]
-        body = "".join(w + rng.choice([" ", " ", "  ", "\n", "\n\n", ". "]) for w in words)
+    for _ in range(300):
+        n = rng.randint(0, 120)
+        body = "".join(f"w{i}{rng.choice(['', '.', ','])}" + rng.choice([" ", " ", "  ", "\n", "\n\n", ". "]) for i in range(n))
         target, limit, overlap = rng.choice([(20, 25, 5), (10, 12, 0), (30, 30, 9), (8, 20, 12)])
-        seps = rng.choice([vocab.PROSE_SEPARATORS, vocab.TABLE_SEPARATORS])
-        got = chunking.cut(body, target, limit, overlap, seps)
-        assert [t for t, _ in got] == naive_pieces(body, target, limit, overlap, seps), case
-        assert all(n == tokens(t) for t, n in got)
+        got = chunking.cut(body, target, limit, overlap, rng.choice([vocab.PROSE_SEPARATORS, vocab.TABLE_SEPARATORS]))
+        spans = [[int(w) for w in re.findall(r"w(\d+)", t)] for t, _ in got]
+        assert all(size == tokens(t) and size <= max(target, limit) + max(overlap, limit) for t, size in got)
+        assert sorted({w for s in spans for w in s}) == list(range(n))   # nothing is lost
+        assert all(s == list(range(s[0], s[-1] + 1)) for s in spans)     # in order, without holes
+        for one, two in zip(spans, spans[1:]):
+            assert one[0] <= two[0] <= one[-1] + 1 and two[-1] > one[-1]  # each goes on where the last ended
+            if overlap == 0:
+                assert two[0] == one[-1] + 1
 
 
 def test_chunk_job_numbers_and_dedupes(spark):
@@ -183,35 +168,7 @@ def two_reports(spark):
     return spark.createDataFrame([("p", "c", 2023, None), ("n", "c", 2024, None)], "report_id string, company_id string, year int, quarter int")
 
 
-def greedy(current, previous, threshold=0.4):
-    """Pairs by brute force: exact names first, then best overlap within a category."""
-    stop = set(vocab.RISK_STOP_WORDS)
-    words = lambda n: {w for w in re.findall(r"\w+", n.lower()) if w not in stop}
-    used, out = set(), {}
-    for c in current:
-        for p in previous:
-            if p[0] not in used and p[4] == c[4]:
-                out[c[0]] = p[0]
-                used.add(p[0])
-                break
-    for c in current:
-        if c[0] in out:
-            continue
-        best, pid = 0.0, None
-        for p in previous:
-            a, b = words(c[3]), words(p[3])
-            if p[0] in used or p[5] != c[5] or not a or not b:
-                continue
-            s = len(a & b) / len(a | b)
-            if s >= threshold and s > best:
-                best, pid = s, p[0]
-        if pid:
-            out[c[0]] = pid
-            used.add(pid)
-    return out
-
-
-def test_risk_matching_equals_brute_force(spark):
+def test_risk_matching_is_one_to_one_and_stable(spark):
     rng = random.Random(3)
     bag = ["supply", "chain", "delay", "cost", "cyber", "threat", "credit", "market", "risk", "of"]
     def side(prefix, rep):
@@ -223,7 +180,20 @@ def test_risk_matching_equals_brute_force(spark):
     current, previous = side("n", "n"), side("p", "p")
     m = risks.match_risks(spark.createDataFrame(current + previous, RISK), two_reports(spark)).collect()
     pairs = {r["current_risk_id"]: r["previous_risk_id"] for r in m if r["current_risk_id"] and r["previous_risk_id"]}
-    assert pairs == greedy(current, previous)
+    now, then = {c[0]: c for c in current}, {p[0]: p for p in previous}
+    words = lambda r: set(r[3].lower().split()) - set(vocab.RISK_STOP_WORDS)
+    overlap = lambda c, p: len(words(c) & words(p)) / max(1, len(words(c) | words(p)))
+    assert len(set(pairs.values())) == len(pairs)  # each previous risk is used once
+    exact = {c for c in pairs if now[c][4] == then[pairs[c]][4]}
+    for name in {r[4] for r in current + previous}:  # as many equal names pair as both sides have
+        assert sum(now[c][4] == name for c in exact) == min(sum(r[4] == name for r in current), sum(r[4] == name for r in previous))
+    fuzzy = {c: p for c, p in pairs.items() if c not in exact}
+    assert all(now[c][5] == then[p][5] and overlap(now[c], then[p]) >= 0.4 for c, p in fuzzy.items())
+    for c in set(now) - exact:  # what was free at its turn was no better than what it took
+        earlier = {p for k, p in fuzzy.items() if k < c}
+        free = [p for p in then if p not in earlier and p not in {pairs[e] for e in exact} and then[p][5] == now[c][5]]
+        best = max((overlap(now[c], then[p]) for p in free), default=0)
+        assert best < 0.4 if c not in fuzzy else overlap(now[c], then[fuzzy[c]]) == best
     assert len(m) == 40 + 40 - len(pairs)      # everything appears once
 
 
