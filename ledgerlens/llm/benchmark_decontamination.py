@@ -34,7 +34,7 @@ CONTAINMENT = 0.8
 BANDS = 32
 # About 40 MB of item shingles and sketches in a task.
 BLOCK_SHINGLES = 1_000_000
-CACHED_WORDS = 400_000
+CACHED_WORDS = 200_000
 STRIPPED = ".,;:!?\"'()[]{}<>#*$%&|«»“”„‘’…–—-_/\\=+~`^@"
 ODD = np.uint64(0x9E3779B97F4A7C15)
 

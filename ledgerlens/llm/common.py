@@ -8,8 +8,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerlens.session import shared_folder
+
 # Text bytes that a Python task takes up at once; a longer text is taken alone.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,15 +48,9 @@ def row_hash(df: DataFrame) -> Column:
 
 def scratch_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder below the cluster's shared ``spark.checkpoint.dir``, as a URI every executor can use."""
-    import tempfile
     import uuid
 
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        root = tempfile.mkdtemp(prefix="spark-shared-")
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/{purpose}-{uuid.uuid4().hex}")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{purpose}-{uuid.uuid4().hex}")
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
 
 
@@ -92,11 +88,15 @@ def text_name(df: DataFrame) -> str:
 
 
 def per_worker(key: str, make):
-    """``make()``, once per Python worker: caches of words outlive a task, for workers run many."""
+    """``make()``, once per Python worker: a cache of words outlives a task, for workers run many.
+
+    A worker holds one at a time; that of another operator is let go.
+    """
     import sys
     from types import SimpleNamespace
 
     held = sys.modules.setdefault("_training_data_worker", SimpleNamespace(made={})).made
     if key not in held:
+        held.clear()
         held[key] = make()
     return held[key]

@@ -118,7 +118,7 @@ def site_posteriors(scored: DataFrame) -> tuple[DataFrame, float, float]:
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, host: Column, path: Column, *, train: Column | None = None, keep: float = KEEP) -> DataFrame:
-    """``doc_id``, ``host``, ``path``, ``evidence``, ``host_posterior``, ``path_posterior``, ``score`` and ``keep``.
+    """``doc_id``, ``host``, ``path``, ``evidence``, ``host_posterior``, ``path_posterior``, ``score`` and ``kept``.
 
     A NULL or empty text is a text without words.  NULL hosts and paths are sites of their
     own.  Without labels all evidence is one half and sites do not differ.  Repeated rows
@@ -134,4 +134,4 @@ def quality_scores(docs: DataFrame, labels: DataFrame, host: Column, path: Colum
     chance = 1 / (1 + F.exp(-score))
     return met.select(
         "doc_id", "host", "path", "evidence", "host_posterior", ((prior + F.col("s")) / (F.lit(weight) + F.col("n"))).alias("path_posterior"),
-        chance.alias("score"), (chance >= keep).alias("keep"))
+        chance.alias("score"), (chance >= keep).alias("kept"))

@@ -55,7 +55,7 @@ FIT_ROWS = 20_000
 LEXICON = 5_000
 PREFIXES = (3, 4, 5, 6, 7, 8)
 PURITY, SURPRISE = 0.9, 16.0
-CACHED_WORDS = 400_000
+CACHED_WORDS = 200_000
 MARKS = ".,;:!?\"'()[]{}<>#*$%&|«»“”„‘’…–—-_/\\=+~`"
 STOPS = frozenset(".;:!?")
 

@@ -127,7 +127,7 @@ def test_site_moves_undecided_documents(spark):
         spark.createDataFrame(docs, "doc_id long, text string, h string, p string"),
         spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), F.col("h"), F.col("p")).collect()}
     assert out[1000]["evidence"] == out[1001]["evidence"] and out[1000]["score"] > out[1001]["score"]
-    assert sum(out[i]["keep"] == (i % 2 == 0) for i in range(400)) >= 396
+    assert sum(out[i]["kept"] == (i % 2 == 0) for i in range(400)) >= 396
 
 
 def test_held_out_accuracy_on_the_tables(spark, sf):
@@ -135,8 +135,8 @@ def test_held_out_accuracy_on_the_tables(spark, sf):
     docs, labels = spark.read.parquet(f"{big}/documents.parquet"), spark.read.parquet(f"{big}/labels.parquet")
     train = F.crc32(F.col("doc_id").cast("string")) % 3 != 1
     rows = site_quality.quality_scores(docs, labels, F.col("source"), F.col("lang"), train=train).join(labels, "doc_id").filter(~train).collect()
-    assert sum(r["keep"] for r in rows if r["quality"]) >= 0.99 * sum(r["quality"] for r in rows)
-    assert sum(not r["keep"] for r in rows if not r["quality"]) >= 0.9 * sum(not r["quality"] for r in rows)
+    assert sum(r["kept"] for r in rows if r["quality"]) >= 0.99 * sum(r["quality"] for r in rows)
+    assert sum(not r["kept"] for r in rows if not r["quality"]) >= 0.9 * sum(not r["quality"] for r in rows)
 
 
 def test_odd_rows_of_quality(spark, odd_docs, no_docs):
