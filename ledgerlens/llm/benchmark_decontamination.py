@@ -13,7 +13,7 @@ of document and item is verified by the exact share of the item's distinct shing
 anywhere in the document.
 
 The items are the stated query set: they go to every task in blocks of at most
-``BLOCK_SHINGLES`` shingles, one pass over the documents per block.
+``BLOCK_ENTRIES`` shingles and minima, one pass over the documents per block.
 """
 
 from __future__ import annotations
@@ -32,8 +32,8 @@ from ledgerlens.session import cut_lineage
 WORDS = 5
 CONTAINMENT = 0.8
 BANDS = 32
-# About 40 MB of item shingles and sketches in a task.
-BLOCK_SHINGLES = 1_000_000
+# At most about 20 MB of item shingles and sketches in a task.
+BLOCK_ENTRIES = 1_000_000
 CACHED_WORDS = 200_000
 STRIPPED = ".,;:!?\"'()[]{}<>#*$%&|«»“”„‘’…–—-_/\\=+~`^@"
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -137,19 +137,20 @@ def _blocks(items: DataFrame, words: int, bands: int, limit: int) -> Iterator[It
         h = np.unique(shingles([row[1]], cache, words)[0])
         if not len(h):
             continue
-        if held and held + len(h) > limit:
+        size = len(h) + bands
+        if held and held + size > limit:
             yield ItemBlock(ids, parts, bands)
             ids, parts, held = [], [], 0
         ids.append(row[0])
         parts.append(h)
-        held += len(h)
+        held += size
     if ids:
         yield ItemBlock(ids, parts, bands)
 
 
 def contained_items(
     docs: DataFrame, items: DataFrame, *, containment: float = CONTAINMENT, words: int = WORDS,
-    bands: int = BANDS, block: int = BLOCK_SHINGLES,
+    bands: int = BANDS, block: int = BLOCK_ENTRIES,
 ) -> DataFrame:
     """Pairs (``doc_id``, ``item_id``, ``item_shingles``, ``shared_shingles``, ``containment``).
 

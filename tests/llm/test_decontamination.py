@@ -42,7 +42,7 @@ def test_edited_items_in_long_documents(spark):
         at = rng.randrange(len(fill))
         docs.append((i, " ".join(fill[:at]) + "\n" + " ".join(w).upper() + ". " + " ".join(fill[at:])))
     got = {(r["doc_id"], r["item_id"]) for r in m.contained_items(
-        spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), block=800).collect()}
+        spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), block=2500).collect()}
     want = set(brute(docs, items))
     assert len(want) >= 40 and len(want & got) >= 0.98 * len(want) and got <= want
 
