@@ -29,7 +29,7 @@ def package(
     reports: DataFrame, companies: DataFrame, metrics: DataFrame, comparisons: DataFrame, analytics: DataFrame,
     risks: DataFrame, tones: DataFrame, chunks: DataFrame, benchmark: DataFrame,
 ) -> DataFrame:
-    """Everything a memo needs, nested under its report.
+    """Everything a memo needs, nested under its report; comparisons are those of the whole company.
 
     Branch arrays hold every row of a report in key order.  The data model bounds them:
     metrics and risks have one row per name, comparisons and signals a few per metric, and
@@ -49,7 +49,7 @@ def package(
     branches = [
         _nest(metrics, "report_id", ["metric_name", F.col("value").cast("double").alias("value"), "unit", "metric_category"],
               ["metric_id"], "metrics"),
-        _nest(comparisons.drop("company_id"), "report_id",
+        _nest(comparisons.drop("report_id"), "company_id",
               ["metric_name", "comparison_type", "current_value", "previous_value", "percentage_change"],
               ["metric_id", "comparison_type"], "comparisons"),
         _nest(analytics, "report_id", ["signal_type", "metric_name", "signal_code", "value", "explanation"],
@@ -66,7 +66,7 @@ def package(
         "company_id", F.struct("overall_score", "financial_score", "risk_score", "tone_score",
                                "capital_allocation_score", "rank").alias("benchmark")), "company_id", "left")
     for branch in branches:
-        out = out.join(branch, "report_id", "left")
+        out = out.join(branch, branch.columns[0], "left")
     return out
 
 
@@ -187,7 +187,7 @@ def numbers_in(body: Column) -> Column:
 
 
 def allowed_values(packages: DataFrame) -> DataFrame:
-    """(memo_id, value): every source number of a package."""
+    """(memo_id, value): every source number of a package, and the same rounded to 0, 1 and 2 places."""
     d = lambda x: x.cast("double")
     empty = F.array().cast("array<double>")
     pull = lambda arr, *fields: F.coalesce(
@@ -200,8 +200,9 @@ def allowed_values(packages: DataFrame) -> DataFrame:
         own, pull("metrics", "value"), pull("comparisons", "current_value", "previous_value", "percentage_change"),
         pull("analytics", "value"), pull("risks", "page_number"), pull("tones", "sentiment_score", "hedging_score"),
         pull("evidence", "page_number"))
-    return packages.select(F.col("report_id").alias("memo_id"), F.explode(everything).alias("value")).filter(
-        "value is not null").distinct()
+    values = packages.select(F.col("report_id").alias("memo_id"), F.explode(everything).alias("_v"))
+    forms = F.array("_v", *[F.bround("_v", places) for places in (0, 1, 2)])
+    return values.select("memo_id", F.explode(F.array_distinct(forms)).alias("value")).filter("value is not null").distinct()
 
 
 def check_grounding(texts: DataFrame, allowed: DataFrame, *, fail_at: int = vocab.GROUNDING_FAIL_AT) -> DataFrame:
@@ -246,10 +247,11 @@ def validate_memos(texts: DataFrame, allowed: DataFrame) -> DataFrame:
 def resolve_citations(raw: DataFrame, chunks: DataFrame, risks: DataFrame, *, threshold: float = 0.05) -> DataFrame:
     """Citations matched to sources: chunk id, risk id, metric label, else most similar chunk.
 
-    Similarity is word overlap within the report.  Snippet and chunk meet on shared words
-    only; words found in more than half of a report's chunks count through set sizes as
-    usual because the comparison is on full word sets.
+    Only the chunks that a memo's package holds as evidence can be cited, the report's first
+    ``MEMO_EVIDENCE_CHUNKS``.  Similarity is word overlap with them, so a citation meets a
+    bounded number of chunks, on the words they share.
     """
+    chunks = top_per(chunks, ["report_id"], [F.col("start_page"), F.col("chunk_index")], vocab.MEMO_EVIDENCE_CHUNKS, "_place").drop("_place")
     c = chunks.select(
         F.col("chunk_id").alias("c_id"), F.col("report_id").alias("c_report"), F.col("start_page").alias("c_page"),
         F.col("section").alias("c_section"), F.substring("chunk_text", 1, 200).alias("c_text"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens import vocab
 from ledgerlens.functions import money
+from ledgerlens.functions.grouped import number_rows, top_per
 
 
 def by_key(df: DataFrame, key: str, value) -> DataFrame:
@@ -121,11 +122,15 @@ def tool_rows(table: DataFrame, reports: DataFrame, *, report_id: str | None = N
 
 
 def thread_history(messages: DataFrame, last: int | None = None) -> DataFrame:
-    """Messages of each thread with their place; optionally only the last ones.
+    """Messages of each thread with their place counted from the end; optionally only the last ones.
 
-    ``turn`` numbers a thread's messages, so the place from the end needs only the
-    thread's last turn, an aggregate, and no thread is sorted in one task.
+    Turns order a thread; they may have gaps and repeat.  The last ones are cut on the map
+    side, and places in whole threads come from a sort of the table, so no thread is
+    sorted in one task.
     """
-    ends = messages.groupBy("conv_id").agg(F.max("turn").alias("_end"), F.count(F.lit(1)).alias("messages"))
-    out = messages.join(ends, "conv_id").withColumn("from_end", F.col("_end") - F.col("turn") + 1).drop("_end")
-    return out if last is None else out.filter(F.col("from_end") <= last)
+    order = [F.col("turn").desc(), F.col("role"), F.col("text")]
+    if last is None:
+        placed = number_rows(messages, ["conv_id"], order, "from_end")
+    else:
+        placed = top_per(messages, ["conv_id"], order, last, "from_end")
+    return placed.join(messages.groupBy("conv_id").agg(F.count(F.lit(1)).alias("messages")), "conv_id")

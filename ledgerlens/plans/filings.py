@@ -395,7 +395,7 @@ def injection_flags(spark, sf):
 
 
 @query("thread_history", """
-SELECT conv_id, turn, role, count(*) OVER (PARTITION BY conv_id) AS messages, max(turn) OVER (PARTITION BY conv_id) - turn + 1 AS from_end FROM conversations""")
+SELECT conv_id, turn, role, count(*) OVER (PARTITION BY conv_id) AS messages, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role, text) AS from_end FROM conversations""")
 def thread_history(spark, sf):
     return reads.thread_history(derive.table(spark, sf, "conversations")).select("conv_id", "turn", "role", "messages", "from_end")
 

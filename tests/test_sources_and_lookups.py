@@ -59,19 +59,21 @@ def test_table_function(spark):
 
 
 def test_citation_falls_back_to_the_most_similar_chunk(spark):
-    c = spark.createDataFrame([("k1", "r", 3, "MD&A", "sales rose in the north"), ("k2", "r", 4, "MD&A", "costs fell in the south"), ("k3", "o", 1, "X", "sales rose")],
-                              "chunk_id string, report_id string, start_page int, section string, chunk_text string")
+    c = spark.createDataFrame([("k1", "r", 3, 0, "MD&A", "sales rose in the north"), ("k2", "r", 4, 1, "MD&A", "costs fell in the south"), ("k3", "o", 1, 0, "X", "sales rose"),
+                               *[(f"late{i:02d}", "r", 9, i, "MD&A", "sales rose") for i in range(30)]],
+                              "chunk_id string, report_id string, start_page int, chunk_index int, section string, chunk_text string")
     k = spark.createDataFrame([("q", "r", "k2", "flood risk")], "risk_id string, report_id string, source_chunk_id string, risk_description string")
     raw = spark.createDataFrame([
         ("1", "r", "note", None, "sales rose", None), ("2", "r", "risk_factor", "q", None, None), ("3", "r", "financial_metric", None, None, "REVENUE"),
-        ("4", "r", "text_chunk", "k3", "costs fell", None)],
+        ("4", "r", "text_chunk", "k3", "costs fell", None), ("5", "r", "text_chunk", "late29", "costs fell", None)],
         "citation_id string, report_id string, source_type string, ref_id string, text_snippet string, metric_name string").withColumn(
             "page_number", F.lit(None).cast("int")).withColumn("section_name", F.lit(None).cast("string"))
     out = {r["citation_id"]: r for r in memo.resolve_citations(raw, c, k).collect()}
-    assert (out["1"]["chunk_id"], out["1"]["page_number"], out["1"]["source_type"]) == ("k1", 3, "text_chunk")
+    assert (out["1"]["chunk_id"][:4], out["1"]["page_number"], out["1"]["source_type"]) == ("late", 9, "text_chunk")
     assert (out["2"]["chunk_id"], out["2"]["section_name"]) == ("k2", "Risk Factors")
     assert out["3"]["text_snippet"] == "Financial Metric: REVENUE"
     assert out["4"]["chunk_id"] == "k2"          # k3 belongs to another report
+    assert out["5"]["chunk_id"] == "k2"          # and late29 is not among the evidence of its package
 
 
 def test_reads(spark, rows):
@@ -80,3 +82,12 @@ def test_reads(spark, rows):
     assert [r["k"] for r in reads.sort_by(df, "v", descending=True).collect()] == [3, 2, 1]
     assert [r["k"] for r in reads.sort_by(df, "v").collect()] == [2, 3, 1]
     assert [(r["k"], r["total"]) for r in reads.page(df, [F.col("k")], limit=1, offset=1).collect()] == [(2, 3)]
+
+
+def test_thread_history_with_gaps_and_repeated_turns(spark):
+    rows_ = [("a", t, "user", f"t{t}") for t in (1, 2, 5, 9)] + [("a", 9, "user", "again"), ("b", 3, "user", "x")]
+    df = spark.createDataFrame(rows_, "conv_id string, turn int, role string, text string")
+    last = reads.thread_history(df, last=3).collect()
+    assert sorted((r["conv_id"], r["text"], r["from_end"], r["messages"]) for r in last) == [
+        ("a", "again", 1, 5), ("a", "t5", 3, 5), ("a", "t9", 2, 5), ("b", "x", 1, 1)]
+    assert sorted(r["from_end"] for r in reads.thread_history(df).collect()) == [1, 1, 2, 3, 4, 5]
