@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import keyed_by_id, per_worker, row_hash, text_slices, unused
+from ledgerlens.llm.common import keyed_by_id, per_worker, row_hash, sent_if_small, text_slices, unused
 from ledgerlens.session import cut_lineage
 
 WORDS = 5
@@ -197,7 +197,7 @@ def without_items(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
     none, key, row = unused(docs, "_none", "_key", "_row")
     columns = [F.col(f"`{c}`") for c in docs.columns]
     clean = keyed_by_id(docs, [none, key]).join(
-        hit.filter("doc_id IS NOT NULL").select(F.lit(False).alias(none), F.col("doc_id").alias(key)), [none, key], "left_anti").select(*columns)
+        sent_if_small(hit.filter("doc_id IS NOT NULL").select(F.lit(False).alias(none), F.col("doc_id").alias(key))), [none, key], "left_anti").select(*columns)
     if hit.filter("doc_id IS NULL").isEmpty():
         return clean
     # rows without an id are told apart by their whole content

@@ -65,6 +65,15 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+# Rows of ids or sources, some dozen bytes each, that every task may hold.
+BROADCAST_ROWS = 200_000
+
+
+def sent_if_small(side: DataFrame) -> DataFrame:
+    """``side``, broadcast if it has at most ``BROADCAST_ROWS`` rows; counted, for a checkpoint has no size to plan by."""
+    return F.broadcast(side) if side.count() <= BROADCAST_ROWS else side
+
+
 def keyed_by_id(df: DataFrame, names: list[str]) -> DataFrame:
     """Adds (is the id NULL, the id or else a hash of the row): a join key without a hot NULL."""
     none, key = names

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import keyed_by_id, text_slices, unused
+from ledgerlens.llm.common import keyed_by_id, sent_if_small, text_slices, unused
 from ledgerlens.session import cut_lineage
 
 RADIUS = 4
@@ -406,7 +406,7 @@ def keep_one(docs: DataFrame, **how) -> DataFrame:
     ).filter("_drop OR _repeated"))
     none, key, drop, repeated = unused(docs, "_none", "_key", "_drop", "_repeated")
     acts = acts.select(F.lit(False).alias(none), F.col("doc_id").alias(key), F.col("_drop").alias(drop), F.col("_repeated").alias(repeated))
-    marked = keyed_by_id(docs, [none, key]).join(acts, [none, key], "left").filter(~F.coalesce(F.col(drop), F.lit(False)))
+    marked = keyed_by_id(docs, [none, key]).join(sent_if_small(acts), [none, key], "left").filter(~F.coalesce(F.col(drop), F.lit(False)))
     again = F.coalesce(F.col(repeated), F.lit(False))
     plain = marked.filter(~again).select(*[F.col(f"`{c}`") for c in docs.columns])
     if acts.filter(F.col(repeated)).isEmpty():

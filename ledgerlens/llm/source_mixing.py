@@ -8,7 +8,7 @@ until their prefix sum reaches the rest.  The last one is cut to the words that
 Prefix sums need no group in one task: the rows are range-sorted by source and key and each
 partition adds the totals before it (``functions.grouped.running_total``).  They only serve
 to find each source's cut, after which a document's share follows from its own key and its
-source's row, so texts are never shuffled.
+source's row; texts are not shuffled unless the sources are too many to broadcast.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import grouped
-from ledgerlens.llm.common import unused
+from ledgerlens.llm.common import sent_if_small, unused
 from ledgerlens.session import cut_lineage
 
 SHARES = (5, 2, 1)
@@ -84,7 +84,7 @@ def source_cuts(units: DataFrame, *, shares: tuple[int, ...] = SHARES, cap: int
     last = summed.join(rests, F.col("source").eqNullSafe(F.col("_s"))).filter(
         (F.col("upto") - F.col("all") < F.col("rest")) & (F.col("rest") <= F.col("upto"))).select(
         "_s", F.struct("key", "doc_id", "size").alias("last"), F.floor((F.col("rest") - F.col("upto") + F.col("all")) / F.col("n")).cast("long").alias("part"))
-    return goal.drop("rest").join(last, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
+    return cut_lineage(goal.drop("rest").join(last, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s"))
 
 
 def _units(docs: DataFrame, quality: Column | None, seed: int, names: list[str]) -> DataFrame:
@@ -113,7 +113,7 @@ def mixture(
     slim = cut_lineage(_units(docs, quality, seed, ["_size", "_key"]).select(
         F.col("doc_id").cast("long").alias("doc_id"), "source", F.col("_size").alias("size"), F.col("_key").alias("key")))
     cuts = source_cuts(slim, shares=shares, cap=cap).select(F.col("source").alias("_s"), F.struct("epochs", "last", "part").alias("cut"), "source_size", "target")
-    return slim.join(cuts, F.col("source").eqNullSafe(F.col("_s"))).select(
+    return slim.join(sent_if_small(cuts), F.col("source").eqNullSafe(F.col("_s"))).select(
         "doc_id", "source", "size", "source_size", "target", _taken(F.col("size"), F.col("key"), F.col("doc_id"), "cut").alias("taken"))
 
 
@@ -135,7 +135,7 @@ def mixed_documents(
     units = _units(docs, quality, seed, [size, key])
     slim = cut_lineage(units.select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.col(size).alias("size"), F.col(key).alias("key")))
     cuts = source_cuts(slim, shares=shares, cap=cap).select(F.col("source").alias(source), F.struct("epochs", "last", "part").alias(cut))
-    drawn = units.join(cuts, F.col("source").eqNullSafe(F.col(source))).withColumn(
+    drawn = units.join(sent_if_small(cuts), F.col("source").eqNullSafe(F.col(source))).withColumn(
         taken, _taken(F.col(size), F.col(key), F.col("doc_id").cast("long"), cut)).filter(F.col(taken) > 0)
     rows = drawn.withColumn(copy, F.explode(F.sequence(F.lit(1), F.ceil(F.col(taken) / F.col(size)).cast("int"))))
     part = F.col(taken) - (F.col(copy) - 1) * F.col(size)
