@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import keyed_by_id, sent_if_small, text_slices, unused
+from ledgerlens.llm.common import text_slices
 from ledgerlens.session import cut_lineage
 
 RADIUS = 4
@@ -393,22 +393,12 @@ def duplicate_classes(
     return marked.select("doc_id", "f0").join(classes, "f0").select("doc_id", F.col("f0").alias("fingerprint"), "component_id")
 
 
+def keep_one(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, tables: int | None = None, radius: int | None = None) -> DataFrame:
+    """One row of each class of texts with Jaccard ``similarity``: see ``shingle_links.keep_least``.
 
-def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs`` whose ``doc_id`` is the smallest of its class; all their columns.
-
-    NULL and wordless texts are one class.  Of rows that repeat an id one stays, and rows
-    with a NULL id stay.  Texts are shuffled only if the ids to drop are too many to broadcast.
+    Fingerprint bits no longer decide here, so ``tables`` and ``radius`` have no effect: at
+    0.8 the distance of two fingerprints spreads evenly around any limit put there.
     """
-    classes = cut_lineage(duplicate_classes(docs.filter("doc_id IS NOT NULL"), **how))
-    acts = cut_lineage(classes.groupBy("doc_id").agg(
-        F.bool_and(F.col("doc_id") != F.col("component_id")).alias("_drop"), (F.count(F.lit(1)) > 1).alias("_repeated")
-    ).filter("_drop OR _repeated"))
-    none, key, drop, repeated = unused(docs, "_none", "_key", "_drop", "_repeated")
-    acts = acts.select(F.lit(False).alias(none), F.col("doc_id").alias(key), F.col("_drop").alias(drop), F.col("_repeated").alias(repeated))
-    marked = keyed_by_id(docs, [none, key]).join(sent_if_small(acts), [none, key], "left").filter(~F.coalesce(F.col(drop), F.lit(False)))
-    again = F.coalesce(F.col(repeated), F.lit(False))
-    plain = marked.filter(~again).select(*[F.col(f"`{c}`") for c in docs.columns])
-    if acts.filter(F.col(repeated)).isEmpty():
-        return plain
-    return plain.unionByName(marked.filter(again).select(*[F.col(f"`{c}`") for c in docs.columns]).dropDuplicates(["doc_id"]))
+    from ledgerlens.llm.shingle_links import keep_least
+
+    return keep_least(docs, words=words, similarity=similarity)
