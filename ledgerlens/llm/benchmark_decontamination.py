@@ -12,6 +12,9 @@ A window whose minimum agrees with an item's in any band is a candidate.  A cand
 of document and item is verified by the exact share of the item's distinct shingles found
 anywhere in the document.
 
+An item of fewer words than a shingle is its whole word sequence, looked up among the
+document's runs of as many words.
+
 The items are the stated query set: they go to every task in blocks of at most
 ``BLOCK_ENTRIES`` shingles and minima, one pass over the documents per block.
 """
@@ -26,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import keyed_by_id, per_worker, row_hash, sent_if_small, text_slices, unused
+from ledgerlens.llm.common import map_rows, per_worker, text_name, text_slices
 from ledgerlens.session import cut_lineage
 
 WORDS = 5
@@ -77,14 +80,17 @@ def band_hash(h: np.ndarray, band: int) -> np.ndarray:
 
 
 class ItemBlock:
-    """Sketches and shingles of one block of items, as sent to the tasks."""
+    """Sketches and shingles of one block of items, as sent to the tasks; ``runs`` has the words of an item's shingles."""
 
-    def __init__(self, ids: list[int], parts: list[np.ndarray], bands: int) -> None:
-        self.ids, self.parts = np.array(ids, np.int64), parts
+    def __init__(self, ids: list[int], parts: list[np.ndarray], runs: list[int], words: int, bands: int) -> None:
+        self.ids, self.parts, self.words, self.bands = np.array(ids, np.int64), parts, words, bands
         self.classes: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-        sizes = np.array([len(p) for p in parts])
-        level = np.array([int(n).bit_length() - 1 for n in sizes])
-        for k in np.unique(level).tolist():
+        self.short: dict[int, dict[int, list[int]]] = {}
+        for i, run in enumerate(runs):
+            if run < words:
+                self.short.setdefault(run, {}).setdefault(int(parts[i][0]), []).append(i)
+        level = np.array([len(p).bit_length() - 1 if run == words else -1 for p, run in zip(parts, runs, strict=True)])
+        for k in np.unique(level[level >= 0]).tolist():
             member = np.flatnonzero(level == k)
             made = []
             for band in range(bands):
@@ -128,24 +134,46 @@ class ItemBlock:
         return found
 
 
+    def hits(self, texts: list[bytes], cache: dict, containment: float) -> Iterator[tuple[int, int, int, int]]:
+        """(document, item) positions, the item's shingles and how many of them the document has."""
+        plain = [t.decode("utf-8", "replace") for t in texts]
+        if self.classes:
+            h, counts = shingles(plain, cache, self.words)
+            ends = np.cumsum(counts)
+            for d, i in sorted(self.candidates(h, counts, self.bands)):
+                own, item = h[ends[d] - counts[d]:ends[d]], self.parts[i]
+                shared = int(np.isin(item, own).sum())
+                if shared >= containment * len(item) - 1e-9:
+                    yield d, i, len(item), shared
+        for run, wanted in self.short.items():
+            h, counts = shingles(plain, cache, run)
+            at = np.flatnonzero(np.isin(h, np.fromiter(wanted, np.uint64, len(wanted))))
+            owner = np.repeat(np.arange(len(texts)), counts)[at]
+            for d, found in sorted(set(zip(owner.tolist(), h[at].tolist(), strict=True))):
+                for i in wanted[found]:
+                    yield d, i, 1, 1
+
+
 def _blocks(items: DataFrame, words: int, bands: int, limit: int) -> Iterator[ItemBlock]:
     """Items in id order, cut into blocks; only one block is held at a time."""
-    cache, ids, parts, held = _Words(), [], [], 0
+    cache, ids, parts, runs, held = _Words(), [], [], [], 0
     ordered = items.select(F.col("item_id").cast("long"), F.col("text").cast("string")).filter(
         "item_id IS NOT NULL AND text IS NOT NULL").orderBy("item_id", "text")
     for row in ordered.toLocalIterator():
-        h = np.unique(shingles([row[1]], cache, words)[0])
-        if not len(h):
+        run = min(words, len(shingles([row[1]], cache, 1)[0]))
+        if not run:
             continue
+        h = np.unique(shingles([row[1]], cache, run)[0])
         size = len(h) + bands
         if held and held + size > limit:
-            yield ItemBlock(ids, parts, bands)
-            ids, parts, held = [], [], 0
+            yield ItemBlock(ids, parts, runs, words, bands)
+            ids, parts, runs, held = [], [], [], 0
         ids.append(row[0])
         parts.append(h)
+        runs.append(run)
         held += size
     if ids:
-        yield ItemBlock(ids, parts, bands)
+        yield ItemBlock(ids, parts, runs, words, bands)
 
 
 def contained_items(
@@ -155,9 +183,10 @@ def contained_items(
     """Pairs (``doc_id``, ``item_id``, ``item_shingles``, ``shared_shingles``, ``containment``).
 
     Words are lower-cased and freed of the punctuation around them; punctuation alone is no
-    word.  An item of fewer than ``words`` words, or NULL, has no shingle and is found
-    nowhere; neither is anything in a NULL, empty or shorter document.  Documents with a
-    NULL id are searched and reported with it.  Repeated rows give one pair; an item id
+    word.  An item of fewer than ``words`` words counts as one shingle, its whole word
+    sequence.  A NULL or wordless item is found nowhere, and one without an id is not
+    reported, for the pair would have no name (``without_items`` finds it all the same).
+    Documents with a NULL id are searched and reported with it.  Repeated rows give one pair; an item id
     that repeats with other text is reported with its best match.
     """
     out: DataFrame | None = None
@@ -168,14 +197,7 @@ def contained_items(
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             part, cache = sent.value, per_worker("bare words", _Words)
             for batch, texts in text_slices(batches):
-                h, counts = shingles([t.decode("utf-8", "replace") for t in texts], cache, words)
-                ends = np.cumsum(counts)
-                rows = []
-                for d, i in sorted(part.candidates(h, counts, bands)):
-                    own, item = h[ends[d] - counts[d]:ends[d]], part.parts[i]
-                    shared = int(np.isin(item, own).sum())
-                    if shared >= containment * len(item) - 1e-9:
-                        rows.append((d, int(part.ids[i]), len(item), shared))
+                rows = [(d, int(part.ids[i]), size, shared) for d, i, size, shared in part.hits(texts, cache, containment)]
                 if rows:
                     at, ids, sizes, shared = zip(*rows, strict=True)
                     yield pa.RecordBatch.from_arrays(
@@ -191,16 +213,26 @@ def contained_items(
         "doc_id", "item_id", "_m.*").withColumn("containment", share)
 
 
-def without_items(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs`` that contain no item; all their columns.  A NULL id is matched as an id."""
-    hit = contained_items(docs, items, **how).select("doc_id").distinct()
-    none, key, row = unused(docs, "_none", "_key", "_row")
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    clean = keyed_by_id(docs, [none, key]).join(
-        sent_if_small(hit.filter("doc_id IS NOT NULL").select(F.lit(False).alias(none), F.col("doc_id").alias(key))), [none, key], "left_anti").select(*columns)
-    if hit.filter("doc_id IS NULL").isEmpty():
-        return clean
-    # rows without an id are told apart by their whole content
-    nameless = docs.filter("doc_id IS NULL").withColumn(row, row_hash(docs))
-    again = contained_items(nameless.select(F.col(row).alias("doc_id"), "text"), items, **how).select(F.col("doc_id").alias(row)).distinct()
-    return clean.filter("doc_id IS NOT NULL").unionByName(nameless.join(again, row, "left_anti").select(*columns))
+def without_items(
+    docs: DataFrame, items: DataFrame, *, containment: float = CONTAINMENT, words: int = WORDS,
+    bands: int = BANDS, block: int = BLOCK_ENTRIES,
+) -> DataFrame:
+    """The rows of ``docs`` that contain no item; all their columns.
+
+    Each row is judged by its own text, whatever its id, and each item by its text, with
+    or without an id.  The blocks of items follow one another in one pass; nothing is shuffled.
+    """
+    texts = items.select(F.lit(0).cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
+    column, left = text_name(docs), docs
+    for made in _blocks(texts, words, bands, block):
+        sent = docs.sparkSession.sparkContext.broadcast(made)
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            part, cache = sent.value, per_worker("bare words", _Words)
+            for batch, slice_ in text_slices(batches, column):
+                clean = np.ones(batch.num_rows, bool)
+                clean[[d for d, *_ in part.hits(slice_, cache, containment)]] = False
+                yield batch.filter(pa.array(clean))
+
+        left = map_rows(left, run, [])
+    return left

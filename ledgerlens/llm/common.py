@@ -74,12 +74,6 @@ def sent_if_small(side: DataFrame) -> DataFrame:
     return F.broadcast(side) if side.count() <= BROADCAST_ROWS else side
 
 
-def keyed_by_id(df: DataFrame, names: list[str]) -> DataFrame:
-    """Adds (is the id NULL, the id or else a hash of the row): a join key without a hot NULL."""
-    none, key = names
-    return df.withColumn(none, F.col("doc_id").isNull()).withColumn(key, F.coalesce(F.col("doc_id").cast("long"), row_hash(df)))
-
-
 def map_rows(df: DataFrame, run, fields: list) -> DataFrame:
     """``mapInArrow`` over all columns of ``df``, whatever their names; ``run`` sees them as c0, c1, ...
 
