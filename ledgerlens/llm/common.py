@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +14,14 @@ from ledgerlens.session import shared_folder
 SLICE_BYTES = 2 << 20
 
 
+# A tokenizer file: its path, or what gives the path on the machine that asks.
+Vocabulary = str | Callable[[], str]
+
+
+def local_path(vocabulary: Vocabulary) -> str:
+    return vocabulary() if callable(vocabulary) else vocabulary
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import per_worker, text_slices
+from ledgerlens.llm.common import Vocabulary, local_path, per_worker, text_slices
 
 MARK = "▁"
 LIMIT = 4096
@@ -78,7 +78,7 @@ def segments(text: str) -> list[str]:
     return out
 
 
-def token_counts(docs: DataFrame, model: str, *, limit: int = LIMIT) -> DataFrame:
+def token_counts(docs: DataFrame, model: Vocabulary, *, limit: int = LIMIT) -> DataFrame:
     """``doc_id``, ``n_bytes``, ``n_tokens``, ``over_limit`` of every whole text.
 
     A NULL text counts as empty: no bytes, no tokens.  Repeated rows are counted each, and
@@ -88,7 +88,8 @@ def token_counts(docs: DataFrame, model: str, *, limit: int = LIMIT) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = None
         for batch, texts in text_slices(batches):
-            counter = counter or per_worker(f"counter {model}", lambda: Counter(model))
+            path = local_path(model)
+            counter = counter or per_worker(f"counter {path}", lambda: Counter(path))
             sizes = np.fromiter(map(len, texts), np.int64, len(texts))
             counts = np.array(counter.count([t.decode("utf-8", "replace") for t in texts]), np.int64)
             yield pa.RecordBatch.from_arrays(

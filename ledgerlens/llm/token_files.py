@@ -1,23 +1,22 @@
 """Token ids in flat binary files: one run of unsigned integers per part, with 64-bit document offsets.
 
-A part is three files: ``.ids`` (little-endian unsigned 16- or 32-bit ids, documents one
+A run is three files: ``.ids`` (little-endian unsigned 16- or 32-bit ids, documents one
 after the other), ``.offsets`` (signed 64-bit, one more than there are documents) and
 ``.docs`` (signed 64-bit document ids; a NULL id is stored as -2^63).  The manifest, one row
-per part, names the files and gives each part's base: the tokens and documents before it,
-prefix sums over the parts in order of document id.  A reader maps the files into memory.
+per run, names the files and gives each run's base: the tokens and documents before it,
+prefix sums over the runs in order of document id; a task begins a new one every 256 MB.
+A reader maps the files into memory, or reads them by ranges where the store has none to map.
 
 Parts are written by whichever attempt of a task succeeds.  Every attempt has its own file
 names and reports them with its counts, so what a lost executor left behind is never read.
 
-Texts are encoded through a cache of space-separated segments.  The byte-level pattern has
-no token that runs from a character that is no white space into a space, so a text may be
-cut there without changing its ids; a segment not seen before is encoded by the library.
+Texts are encoded through a cache of words (``cached_words``, which states where a text may be
+cut); a word not seen lately is encoded by the library.
 """
 
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -26,106 +25,47 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import per_worker, text_slices
+from ledgerlens.llm.cached_words import CachedWords
+from ledgerlens.llm.common import Vocabulary, local_path, per_worker, text_slices
 
 END_ID = 0
-CACHED_SEGMENTS = 300_000
-CACHED_LENGTH = 64
 NO_ID = -(1 << 63)
-# white space before a space: no safe place to cut
-UNSAFE = re.compile(r"\s ")
-INNER = re.compile(r"(?!^ )\s")
-MARKS = ".,;:!?*#$%&|"
-LINE = re.compile(r"(?<=\S)\n(?=\S)")
+# Text bytes that are cut into words at once: more repeat, so fewer are looked up.
+SLICE = 6 << 20
+# Bytes of ids after which a task begins a new file.
+FILE_BYTES = 256 << 20
+LINES = 500
+# Documents whose offsets a reader takes up at once.
+READ_DOCUMENTS = 10_000
 
 
-class SegmentEncoder:
-    """Ids of whole texts by a ``tokenizers`` file, as bytes of the given width."""
+class LibraryWords(CachedWords):
+    """Words go to the library by the hundred, one a line; a line break is a token of its own there."""
 
     def __init__(self, path: str) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        super().__init__(path)
+        self.newline = self._library("\n")[0]
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.newline = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
-        self.known: dict[str, bytes] = {}
+    def _library(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
-    def _ids(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _many(self, segments: list[str]) -> dict[str, bytes]:
-        """Ids of distinct segments.  Those without inner white space go in by the hundred, one a line."""
-        lines = [s for s in segments if s and not INNER.search(s)]
+    def fresh(self, words: list[str]) -> list[bytes]:
         made: dict[str, bytes] = {}
-        for at in range(0, len(lines), 500):
-            some = lines[at:at + 500]
-            ids = np.array(self._ids(["\n".join(some)])[0], self.kind)
+        lines = [w for w in words if "\n" not in w]
+        for at in range(0, len(lines), LINES):
+            some = lines[at:at + LINES]
+            ids = np.array(self._library("\n".join(some)), self.kind)
             bound = np.flatnonzero(ids == self.newline)
-            if len(bound) != len(some) - 1:
+            if len(bound) != len(some) - 1:  # white space next to the break: these go in one by one
                 continue
             raw, width = ids.tobytes(), self.kind.itemsize
             ends = [*(bound * width).tolist(), len(raw)]
             starts = [0, *((bound + 1) * width).tolist()]
-            made.update((s, raw[a:b]) for s, a, b in zip(some, starts, ends, strict=True))
-        rest = [s for s in segments if s not in made]
-        made.update((s, np.array(ids, self.kind).tobytes()) for s, ids in zip(rest, self._ids(rest), strict=True))
-        return made
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text."""
-        if len(self.known) > CACHED_SEGMENTS:
-            self.known = {}
-        cut = [safe_segments(t) for t in texts]
-        need: set[str] = set()
-        for segments in cut:
-            need.update(segments)
-        missing = [s for s in need if s not in self.known]
-        # put together from parts that meet at a token's border: lines, and words with the marks behind them
-        made: dict[str, list[str]] = {}
-        for s in missing:
-            if "\n" in s:
-                made[s] = [p for part in LINE.split(s) for p in ("\n", *trimmed(part))][1:]
-            elif s[-1] in MARKS:
-                made[s] = trimmed(s)
-        pieces = {p for parts in made.values() for p in parts}
-        pieces.update(s for s in missing if s not in made)
-        self.known.update(self._many([p for p in pieces if p not in self.known]))
-        for s, parts in made.items():
-            if len(parts) > 1:
-                self.known[s] = b"".join([self.known[p] for p in parts])
-        out = [b"".join(map(self.known.__getitem__, segments)) for segments in cut]
-        for s in (*missing, *pieces):  # what spans lines is rare, and long ones cost memory
-            if len(s) > CACHED_LENGTH or "\n" in s[1:]:
-                self.known.pop(s, None)
-        return out
-
-
-def trimmed(segment: str) -> list[str]:
-    """The segment, cut before the marks at its end if a letter or digit stands there."""
-    word = segment.rstrip(MARKS)
-    return [word, segment[len(word):]] if word and len(word) < len(segment) and word[-1].isalnum() else [segment]
-
-
-def safe_segments(text: str) -> list[str]:
-    """``text`` cut before every space that follows a character other than white space."""
-    if not text:
-        return []
-    if UNSAFE.search(text) is None:
-        head, *rest = text.split(" ")
-        out = [" " + s for s in rest]
-        if head:
-            out.insert(0, head)
-        return out
-    out, start = [], 0
-    at = text.find(" ", 1)
-    while at >= 0:
-        if not text[at - 1].isspace():
-            out.append(text[start:at])
-            start = at
-        at = text.find(" ", at + 1)
-    out.append(text[start:])
-    return out
+            made.update((w, raw[a:b]) for w, a, b in zip(some, starts, ends, strict=True))
+        rest = [w for w in words if w not in made]
+        for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            made[w] = np.array(e.ids, self.kind).tobytes()
+        return [made[w] for w in words]
 
 
 def _files(folder: str):
@@ -134,7 +74,9 @@ def _files(folder: str):
     return fs.FileSystem.from_uri(folder)
 
 
-def write_tokens(docs: DataFrame, folder: str, tokenizer: str, *, end_id: int = END_ID, parts: int | None = None) -> DataFrame:
+def write_tokens(
+    docs: DataFrame, folder: str, tokenizer: Vocabulary, *, end_id: int = END_ID, parts: int | None = None, file_bytes: int = FILE_BYTES,
+) -> DataFrame:
     """Write ``docs`` in ascending ``doc_id`` order below ``folder`` (a URI); returns the manifest.
 
     NULL ids come first.  Rows that share an id are ordered by a hash of their text.  A NULL
@@ -146,7 +88,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, *, end_id: int =
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("tie"))
     # the tie is part of the range, so that one id with a large share of the rows still spreads
     ordered = keyed.repartitionByRange(parts, F.asc_nulls_first("doc_id"), "tie").sortWithinPartitions(F.asc_nulls_first("doc_id"), "tie")
-    schema = "part int, name string, width int, documents long, tokens long"
+    schema = "part int, file int, name string, width int, documents long, tokens long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import uuid
@@ -154,49 +96,79 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, *, end_id: int =
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        store, root = _files(folder)
         name = f"part-{part:05d}-{uuid.uuid4().hex}"
-        encoder, offsets, ids, total = None, [np.zeros(1, np.int64)], [], 0
-        out = None
-        for batch, texts in text_slices(batches):
-            if encoder is None:
-                store.create_dir(root, recursive=True)
-                encoder, out = per_worker(f"encoder {tokenizer}", lambda: SegmentEncoder(tokenizer)), store.open_output_stream(f"{root}/{name}.ids")
-                end = np.array([end_id], encoder.kind).tobytes()
-            made = encoder.encode([t.decode("utf-8", "replace") for t in texts])
-            sizes = np.fromiter(map(len, made), np.int64, len(made)) // encoder.kind.itemsize + 1
-            out.write(b"".join(b + end for b in made))
-            offsets.append(total + np.cumsum(sizes))
-            total = int(offsets[-1][-1])
-            ids.append(batch.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False).astype("<i8"))
-        if encoder is None:
-            return
-        out.close()
-        for kind, arrays in (("offsets", offsets), ("docs", ids)):
-            with store.open_output_stream(f"{root}/{name}.{kind}") as f:
-                f.write(np.concatenate(arrays).astype("<i8").tobytes())
-        n = sum(map(len, ids))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([part], pa.int32()), pa.array([name]), pa.array([encoder.kind.itemsize], pa.int32()), pa.array([n]), pa.array([total])],
-            names=["part", "name", "width", "documents", "tokens"])
-
-    written = ordered.mapInArrow(run, schema).collect()  # a row per part
+        out, done = None, []
+        for batch, texts in text_slices(batches, size=SLICE):
+            path = local_path(tokenizer)
+            encoder = per_worker(f"encoder {path}", lambda: LibraryWords(path))
+            if out is None:
+                out = _Run(folder, f"{name}-{len(done):04d}", encoder.kind, end_id)
+            out.add(batch.column(0), encoder.encode([t.decode("utf-8", "replace") for t in texts]))
+            if out.bytes >= file_bytes:
+                done.append(out.close())
+                out = None
+        if out is not None:
+            done.append(out.close())
+        if done:
+            names, widths, documents, tokens = zip(*done, strict=True)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([part] * len(done), pa.int32()), pa.array(range(len(done)), pa.int32()), pa.array(names), pa.array(widths, pa.int32()),
+                 pa.array(documents, pa.int64()), pa.array(tokens, pa.int64())], names=["part", "file", "name", "width", "documents", "tokens"])
+
+    written = ordered.mapInArrow(run, schema).collect()  # a row per file
     rows, first_doc, first_token = [], 0, 0
-    for r in sorted(written, key=lambda r: r["part"]):
-        rows.append((r["part"], r["name"], r["width"], r["documents"], r["tokens"], first_doc, first_token))
+    for r in sorted(written, key=lambda r: (r["part"], r["file"])):
+        rows.append((*r, first_doc, first_token))
         first_doc, first_token = first_doc + r["documents"], first_token + r["tokens"]
     manifest = spark.createDataFrame(rows, schema + ", first_document long, first_token long").coalesce(1)
     manifest.write.mode("overwrite").parquet(f"{folder}/manifest.parquet")
     return spark.read.parquet(f"{folder}/manifest.parquet")
 
 
-def _mapped(store, path: str, kind: str) -> np.ndarray:
-    from pyarrow import fs
+class _Run:
+    """One run of documents on its way into its three files."""
+
+    def __init__(self, folder: str, name: str, kind: np.dtype, end_id: int) -> None:
+        self.store, self.root = _files(folder)
+        self.store.create_dir(self.root, recursive=True)
+        self.name, self.kind, self.end = name, kind, np.array([end_id], kind).tobytes()
+        self.ids = self.store.open_output_stream(f"{self.root}/{name}.ids")
+        self.offsets, self.docs, self.bytes = [np.zeros(1, np.int64)], [], 0
+
+    def add(self, doc_ids: pa.Array, made: list[bytes]) -> None:
+        sizes = np.fromiter(map(len, made), np.int64, len(made)) + len(self.end)
+        self.ids.write(self.end.join([*made, b""]))
+        ends = self.bytes + np.cumsum(sizes)
+        self.offsets.append(ends // self.kind.itemsize)
+        self.bytes = int(ends[-1])
+        self.docs.append(doc_ids.fill_null(NO_ID).to_numpy(zero_copy_only=False).astype("<i8"))
+
+    def close(self) -> tuple[str, int, int, int]:
+        """Name, width, documents and tokens."""
+        self.ids.close()
+        for kind, arrays in (("offsets", self.offsets), ("docs", self.docs)):
+            with self.store.open_output_stream(f"{self.root}/{self.name}.{kind}") as f:
+                f.write(np.concatenate(arrays).astype("<i8").tobytes())
+        return self.name, self.kind.itemsize, sum(map(len, self.docs)), self.bytes // self.kind.itemsize
+
+
+class _Mapped:
+    """A file as an array: mapped where the store is local, else read by ranges."""
+
+    def __init__(self, store, path: str, kind: str) -> None:
+        from pyarrow import fs
+
+        self.kind, self.file = np.dtype(kind), None
+        if isinstance(store, fs.LocalFileSystem):
+            self.array = np.memmap(path, kind, "r") if os.path.getsize(path) else np.zeros(0, kind)
+        else:
+            self.file = store.open_input_file(path)
 
-    if isinstance(store, fs.LocalFileSystem):
-        return np.memmap(path, kind, "r") if os.path.getsize(path) else np.zeros(0, kind)
-    with store.open_input_file(path) as f:  # a store without files to map is read by its buffers
-        return np.frombuffer(f.read_buffer(), kind)
+    def __getitem__(self, part: slice) -> np.ndarray:
+        if self.file is None:
+            return self.array[part]
+        width = self.kind.itemsize
+        return np.frombuffer(self.file.read_at((part.stop - part.start) * width, part.start * width), self.kind)
 
 
 def read_documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -212,11 +184,11 @@ def read_documents(spark: SparkSession, folder: str) -> DataFrame:
         store, root = _files(folder)
         for batch in batches:
             for row in batch.to_pylist():
-                ids = _mapped(store, f"{root}/{row['name']}.ids", f"<u{row['width']}")
-                offsets = _mapped(store, f"{root}/{row['name']}.offsets", "<i8")
-                docs = _mapped(store, f"{root}/{row['name']}.docs", "<i8")
-                for at in range(0, len(docs), 10_000):
-                    own = docs[at:at + 10_000]
+                ids = _Mapped(store, f"{root}/{row['name']}.ids", f"<u{row['width']}")
+                offsets = _Mapped(store, f"{root}/{row['name']}.offsets", "<i8")
+                docs = _Mapped(store, f"{root}/{row['name']}.docs", "<i8")
+                for at in range(0, row["documents"], READ_DOCUMENTS):
+                    own = docs[at:min(at + READ_DOCUMENTS, row["documents"])]
                     bound = offsets[at:at + len(own) + 1].tolist()
                     sums = [zlib.crc32(ids[a:b].astype("<u4")) for a, b in zip(bound, bound[1:], strict=False)]
                     yield pa.RecordBatch.from_arrays(
@@ -224,5 +196,5 @@ def read_documents(spark: SparkSession, folder: str) -> DataFrame:
                          pa.array(np.diff(bound)), pa.array(sums, pa.int64())],
                         names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return manifest.select("name", "width", "first_token").repartition(parts).mapInArrow(
+    return manifest.select("name", "width", "documents", "first_token").repartition(parts).mapInArrow(
         run, "doc_id long, start long, n_tokens long, ids_crc32 long")

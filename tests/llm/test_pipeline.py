@@ -54,7 +54,7 @@ def test_stages_against_plain_readings(spark, sf, documents, labels, tmp_path):
     own = {r["doc_id"]: r["text"] for r in untouched}
     assert all(own[r["doc_id"]].startswith(r["text"]) for r in mixed)
 
-    tokenizer = token_files.SegmentEncoder(vocabulary("byte_bpe_50k.json")).tokenizer
+    tokenizer = token_files.LibraryWords(vocabulary("byte_bpe_50k.json")()).tokenizer
     want = sorted((r["doc_id"], len(ids) + 1, zlib.crc32(np.array([*ids, 0], "<u4").tobytes()))
                   for r in mixed for ids in [tokenizer.encode(r["text"], add_special_tokens=False).ids])
     assert sorted((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in tokens) == want

@@ -17,7 +17,7 @@ def mixed_texts(n=400):
 
 
 def test_segments_encode_as_the_whole(documents):
-    encoder = token_files.SegmentEncoder(vocabulary("byte_bpe_50k.json"))
+    encoder = token_files.LibraryWords(vocabulary("byte_bpe_50k.json")())
     texts = mixed_texts() + [r["text"] for r in documents.limit(60).collect()]
     want = [e.ids for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
     for _ in range(2):  # the second time from the cache
@@ -25,7 +25,7 @@ def test_segments_encode_as_the_whole(documents):
 
 
 def test_counts_equal_the_library(documents):
-    counter = token_counts.Counter(vocabulary("piece_bpe_32k.model"))
+    counter = token_counts.Counter(vocabulary("piece_bpe_32k.model")())
     texts = mixed_texts() + [r["text"] for r in documents.limit(60).collect()]
     want = [len(x) for x in counter.model.encode(texts)]
     assert counter.count(texts) == want and counter.count(texts) == want
@@ -48,7 +48,7 @@ def test_files_round_trip(spark, odd_docs, tmp_path, parts):
     manifest = token_files.write_tokens(odd_docs, folder, path, parts=parts).orderBy("part").collect()
     assert sum(r["documents"] for r in manifest) == odd_docs.count()
     out = sorted(token_files.read_documents(spark, folder).collect(), key=lambda r: r["start"])
-    encoder = token_files.SegmentEncoder(path)
+    encoder = token_files.LibraryWords(path())
     texts = [(r["doc_id"], r["text"] or "") for r in odd_docs.collect()]
     want = sorted(((i is not None, i or 0), [*encoder.tokenizer.encode(t, add_special_tokens=False).ids, 0]) for i, t in texts)
     assert [r["doc_id"] for r in out] == [i if there else None for (there, i), _ in want]
