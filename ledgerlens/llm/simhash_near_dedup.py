@@ -393,11 +393,12 @@ def duplicate_classes(
     return marked.select("doc_id", "f0").join(classes, "f0").select("doc_id", F.col("f0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, tables: int | None = None, radius: int | None = None) -> DataFrame:
-    """One row of each class of texts with Jaccard ``similarity``: see ``shingle_links.keep_least``.
+def keep_one(docs: DataFrame, *, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row of each class of texts with Jaccard ``similarity``: MinHash finds, see ``shingle_links.keep_least``.
 
-    Fingerprint bits no longer decide here, so ``tables`` and ``radius`` have no effect: at
-    0.8 the distance of two fingerprints spreads evenly around any limit put there.
+    Fingerprint bits do not decide here: at 0.8 the distance of two fingerprints spreads
+    evenly around any limit put there, and a radius that finds nearly all pairs cannot be
+    probed by pigeonhole.
     """
     from ledgerlens.llm.shingle_links import keep_least
 

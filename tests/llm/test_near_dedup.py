@@ -88,11 +88,11 @@ def test_odd_rows(odd_docs, no_docs):
     assert empty == {100}  # NULL, empty and blank texts are one class
     assert {r["component_id"] for r in out if r["doc_id"] in (103, 104)} == {103}
     assert m.duplicate_classes(no_docs).count() == 0
-    kept = m.keep_one(odd_docs, words=5, tables=4, similarity=0.8)
+    kept = m.keep_one(odd_docs, words=5, similarity=0.8)
     assert kept.columns == odd_docs.columns
     ids = sorted((r["doc_id"] for r in kept.collect()), key=str)
     assert ids.count(0) == 1 and ids.count(None) == 2 and 101 not in ids and 100 in ids and 104 not in ids and 107 not in ids
-    assert m.keep_one(no_docs, words=5, tables=4, similarity=0.8).count() == 0
+    assert m.keep_one(no_docs, words=5, similarity=0.8).count() == 0
 
 
 def test_wide_fingerprints_catch_edited_copies(spark):
