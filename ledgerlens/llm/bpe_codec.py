@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.cached_words import CachedWords
+from ledgerlens.llm.cached_words import CachedWords, byte_characters
 from ledgerlens.llm.common import Vocabulary, local_path, per_worker, text_slices
 
 
@@ -32,20 +32,6 @@ from ledgerlens.llm.common import Vocabulary, local_path, per_worker, text_slice
 SLICE = 6 << 20
 
 
-def byte_characters() -> list[str]:
-    """The character that stands for each byte in a byte-level vocabulary.
-
-    Bytes with a visible Latin-1 character stand for themselves; the others take the
-    characters from U+0100 on, in order.
-    """
-    visible = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-    out, more = [], 0
-    for b in range(256):
-        out.append(chr(b if b in visible else 0x100 + more))
-        more += b not in visible
-    return out
-
-
 class PairQueue:
     """Merges of one vocabulary: ``vocab`` gives each symbol's id, ``merges`` the pairs in order of rank."""
 

@@ -32,6 +32,20 @@ PLAIN = 0x250
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?[{L}]+| ?[{N}]+| ?[{M}]+|[{S}]+(?![{L}{N}{M}])|[{S}]+"
 
 
+def byte_characters() -> list[str]:
+    """The character that stands for each byte in a byte-level vocabulary.
+
+    Bytes with a visible Latin-1 character stand for themselves; the others take the
+    characters from U+0100 on, in order.
+    """
+    visible = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    out, more = [], 0
+    for b in range(256):
+        out.append(chr(b if b in visible else 0x100 + more))
+        more += b not in visible
+    return out
+
+
 class CachedWords:
     """Ids of texts as bytes, two or four a token; ``fresh`` gives those of distinct pre-tokens."""
 

@@ -18,14 +18,16 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
+from sys import byteorder
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.cached_words import CachedWords
+from ledgerlens.llm.cached_words import CachedWords, byte_characters
 from ledgerlens.llm.common import Vocabulary, local_path, per_worker, text_slices
 
 END_ID = 0
@@ -34,38 +36,25 @@ NO_ID = -(1 << 63)
 SLICE = 6 << 20
 # Bytes of ids after which a task begins a new file.
 FILE_BYTES = 256 << 20
-LINES = 500
 # Documents whose offsets a reader takes up at once.
 READ_DOCUMENTS = 10_000
 
 
 class LibraryWords(CachedWords):
-    """Words go to the library by the hundred, one a line; a line break is a token of its own there."""
+    """Words go to the library's model one by one, as the characters that stand for their bytes."""
 
     def __init__(self, path: str) -> None:
         super().__init__(path)
-        self.newline = self._library("\n")[0]
-
-    def _library(self, text: str) -> list[int]:
-        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+        self.model = self.tokenizer.model
+        self.characters = str.maketrans({b: c for b, c in enumerate(byte_characters()) if ord(c) != b})
 
     def fresh(self, words: list[str]) -> list[bytes]:
-        made: dict[str, bytes] = {}
-        lines = [w for w in words if "\n" not in w]
-        for at in range(0, len(lines), LINES):
-            some = lines[at:at + LINES]
-            ids = np.array(self._library("\n".join(some)), self.kind)
-            bound = np.flatnonzero(ids == self.newline)
-            if len(bound) != len(some) - 1:  # white space next to the break: these go in one by one
-                continue
-            raw, width = ids.tobytes(), self.kind.itemsize
-            ends = [*(bound * width).tolist(), len(raw)]
-            starts = [0, *((bound + 1) * width).tolist()]
-            made.update((w, raw[a:b]) for w, a, b in zip(some, starts, ends, strict=True))
-        rest = [w for w in words if w not in made]
-        for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            made[w] = np.array(e.ids, self.kind).tobytes()
-        return [made[w] for w in words]
+        tokens, characters, code = self.model.tokenize, self.characters, "H" if self.kind.itemsize == 2 else "I"
+        made = [array(code, [t.id for t in tokens(w.encode().decode("latin-1").translate(characters))]) for w in words]
+        if byteorder == "big":
+            for a in made:
+                a.byteswap()
+        return [a.tobytes() for a in made]
 
 
 def _files(folder: str):
