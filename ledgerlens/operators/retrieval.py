@@ -552,18 +552,26 @@ def compare_runs(runs: DataFrame, base: str = "vector", other: str = "hybrid") -
     return latest.agg(*[F.bround(pick(other, m) - pick(base, m), 6).alias(f"delta_{m}") for m in measures])
 
 
-def retrieve_and_assemble(
-    requests: DataFrame, chunks: DataFrame, embed: Callable[[Column], Column], *, strategy: str = "GENERAL_ANALYSIS",
-    top_k: int | None = None, scorer: Callable[[Column, Column], Column] = lexical_score,
-) -> tuple[DataFrame, DataFrame]:
-    """Whole request table in one job: understand, search, fuse, rerank, assemble.
+def _strategy(name: str, top_k: int | None) -> tuple[tuple, int]:
+    spec = vocab.STRATEGIES.get(name.upper(), vocab.STRATEGIES["GENERAL_ANALYSIS"])
+    return spec, max(vocab.TOP_K_MIN, min(top_k or spec[2], vocab.TOP_K_MAX))
 
-    Returns (context per query, ranked results).  ``chunks`` carry chunk_id, chunk_text,
-    token_count, embedding, section, year, start_page and the filter columns.
-    """
-    rewrite, passage, depth, reranked, budget, profile = vocab.STRATEGIES.get(
-        strategy.upper(), vocab.STRATEGIES["GENERAL_ANALYSIS"])
-    k = max(vocab.TOP_K_MIN, min(top_k or depth, vocab.TOP_K_MAX))
+
+def _profiled(subs: DataFrame, pinned: list[str], profile: str) -> tuple[DataFrame, tuple[str, ...]]:
+    """Requests with the sections of a profile asked for, and the filters to apply."""
+    preferred, filters = vocab.PROFILES[profile], list(pinned)
+    if preferred:
+        wanted = F.array(*[F.lit(s) for s in preferred])
+        if "section" in subs.columns:
+            wanted = F.when(F.col("section").isNotNull(), F.array("section")).otherwise(wanted)
+        subs = subs.withColumn("section", wanted)
+        filters = [*dict.fromkeys([*filters, "section"])]
+    return subs, tuple(filters)
+
+
+def _merged(requests: DataFrame, chunks: DataFrame, embed: Callable[[Column], Column], spec: tuple) -> DataFrame:
+    """What a strategy finds, before any reranking: the best score of each query and chunk."""
+    rewrite, passage, depth, _, _, profile = spec
     q = F.col("query")
     base = requests.withColumn("_cls", classify_query(q)["query_class"])
     rewritten = rewrite_query(q, F.col("_cls")) if rewrite else q
@@ -572,33 +580,61 @@ def retrieve_and_assemble(
     subs = base.select(
         F.col("query_id").alias("_root"), F.posexplode(asked).alias("_i", "_text"), *pinned
     ).withColumn("query_id", F.concat_ws("#", "_root", "_i")).withColumn("vector", embed(F.col("_text")))
-    preferred = vocab.PROFILES[profile]
-    filters = list(pinned)
-    if preferred:
-        wanted = F.array(*[F.lit(s) for s in preferred])
-        if "section" in subs.columns:
-            wanted = F.when(F.col("section").isNotNull(), F.array("section")).otherwise(wanted)
-        subs = subs.withColumn("section", wanted)
-        filters = [*dict.fromkeys([*filters, "section"])]
-    found = knn(subs, chunks.withColumnRenamed("chunk_id", "vec_id"), depth, filters=tuple(filters))
-    merged = cut_lineage(fuse(found.select(
+    subs, filters = _profiled(subs, pinned, profile)
+    found = knn(subs, chunks.withColumnRenamed("chunk_id", "vec_id"), depth, filters=filters)
+    return cut_lineage(fuse(found.select(
         F.regexp_replace("query_id", "#[0-9]+$", "").alias("query_id"), F.col("vec_id").alias("chunk_id"), "score")))
+
+
+def _ranked(
+    merged: DataFrame, requests: DataFrame, chunks: DataFrame, k: int, reranked: bool, scorer: Callable[[Column, Column], Column]
+) -> DataFrame:
+    """The final list of each query."""
     asked_by = requests.select(F.col("query_id").cast("string").alias("query_id"), "query")
-    best = [F.col("score").desc(), F.col("chunk_id")]
     if not reranked:
-        ranked = top_per(merged, ["query_id"], best, k)
-    elif scorer is lexical_score:
+        return top_per(merged, ["query_id"], [F.col("score").desc(), F.col("chunk_id")], k)
+    if scorer is lexical_score:
         # word sets are built once per chunk and per query, not once per pair
         wanted = merged.select("chunk_id").distinct()
         chunk_words = chunks.join(wanted, "chunk_id", "left_semi").select(
             "chunk_id", text.word_set(F.col("chunk_text")).alias("_cw"))
         query_words = asked_by.select("query_id", text.word_set(F.col("query")).alias("_qw"))
         pairs = merged.join(chunk_words, "chunk_id").join(query_words, "query_id")
-        ranked = _rerank(pairs, k, lexical_set_score(F.col("_qw"), F.col("_cw"))).drop("_qw", "_cw")
-    else:
-        pairs = merged.join(chunks.select("chunk_id", "chunk_text"), "chunk_id").join(asked_by, "query_id")
-        ranked = rerank(pairs, k, scorer).drop("chunk_text", "query")
+        return _rerank(pairs, k, lexical_set_score(F.col("_qw"), F.col("_cw"))).drop("_qw", "_cw")
+    pairs = merged.join(chunks.select("chunk_id", "chunk_text"), "chunk_id").join(asked_by, "query_id")
+    return rerank(pairs, k, scorer).drop("chunk_text", "query")
+
+
+def retrieve_and_assemble(
+    requests: DataFrame, chunks: DataFrame, embed: Callable[[Column], Column], *, strategy: str = "GENERAL_ANALYSIS",
+    top_k: int | None = None, scorer: Callable[[Column, Column], Column] = lexical_score,
+) -> tuple[DataFrame, DataFrame]:
+    """Whole request table in one job: understand, search, fuse, rerank, assemble.
+
+    Returns (context per query, ranked results).  ``chunks`` carry chunk_id, chunk_text,
+    token_count, embedding, section, year, start_page and the filter columns.
+    """
+    spec, k = _strategy(strategy, top_k)
+    merged = _merged(requests, chunks, embed, spec)
+    ranked = _ranked(merged, requests, chunks, k, spec[3], scorer)
     # texts join the few rows that stay
     facts = chunks.select("chunk_id", "chunk_text", "token_count", "report_id", "section", "year", "start_page")
     detail = ranked.join(facts, "chunk_id")
-    return assemble(detail, budget), detail
+    return assemble(detail, spec[4]), detail
+
+
+def staged_results(
+    requests: DataFrame, chunks: DataFrame, embed: Callable[[Column], Column], *, strategy: str = "GENERAL_ANALYSIS",
+    top_k: int | None = None, scorer: Callable[[Column, Column], Column] = lexical_score,
+) -> DataFrame:
+    """The lists of a strategy by stage (see ``strategies``): plain search, all that was found, final order."""
+    from ledgerlens.operators import strategies
+
+    spec, k = _strategy(strategy, top_k)
+    pinned = [c for c in FILTERS if c in requests.columns]
+    plain, filters = _profiled(requests.withColumn("vector", embed(F.col("query"))), pinned, spec[5])
+    first = knn(plain, chunks.withColumnRenamed("chunk_id", "vec_id"), k, filters=filters).withColumnRenamed("vec_id", "chunk_id")
+    merged = _merged(requests, chunks, embed, spec)
+    final = _ranked(merged, requests, chunks, k, spec[3], scorer)
+    lists = [strategies.tagged(s, r) for s, r in zip(strategies.STAGES, (first, merged, final), strict=True)]
+    return lists[0].unionByName(lists[1]).unionByName(lists[2])

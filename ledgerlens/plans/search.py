@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from ledgerlens import vocab
 from ledgerlens.functions import text
 from ledgerlens.functions.grouped import number_rows
-from ledgerlens.operators import chunks, retrieval
+from ledgerlens.operators import chunks, retrieval, strategies
 from ledgerlens.plans import sql as S
 from ledgerlens.plans.registry import query
+from ledgerlens.session import cut_lineage
 from ledgerlens.sources import derive
 
 _COS = "round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6)"
@@ -271,6 +272,82 @@ def lexical_rerank(spark, sf):
     return j.select("conv_id", "turn", "doc_id", retrieval.lexical_score(F.col("query"), F.col("text")).alias("text_score"))
 
 
+# --- strategies --------------------------------------------------------------------------------
+# A strategy that asks the vectors of a pair for both of its members, and reranks by the words of section, report and year.
+_ABOUT = "section || ' ' || report_id || ' ' || year"
+S.TABLES["others_t"] = "SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM knn_t WHERE vec_id <> query_id"
+S.TABLES["merged_t"] = """
+SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (
+  SELECT v.vec_id AS query_id, k.vec_id, max(k.score) AS score FROM vectors_t v JOIN knn_t k ON k.query_id // 2 = v.vec_id // 2 WHERE k.vec_id <> v.vec_id GROUP BY 1, 2)"""
+S.TABLES["about_t"] = f"SELECT vec_id, section, {_ABOUT} AS about FROM vectors_t"
+S.TABLES["blended_t"] = f"""
+SELECT * FROM (SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, CAST(vec_id AS VARCHAR)) AS rank FROM (
+  SELECT query_id, vec_id, round_even(0.3::DOUBLE * score + 0.7::DOUBLE * round_even(least(1.0::DOUBLE, s / (a + b - s) + least(s * 0.05::DOUBLE, 0.5::DOUBLE)), 4), 6) AS score
+  FROM (SELECT m.query_id, m.vec_id, m.score, len(list_intersect(qw, dw)) AS s, len(qw) AS a, len(dw) AS b
+        FROM merged_t m JOIN (SELECT vec_id AS query_id, {_set("about")} AS qw FROM about_t) USING (query_id) JOIN (SELECT vec_id, {_set("about")} AS dw FROM about_t) USING (vec_id)))) WHERE rank <= 8"""
+_STAGE = """SELECT l.query_id, '{stage}' AS stage, l.rank, v.section = q.section AS relevant FROM {table} l JOIN about_t v ON v.vec_id = l.vec_id JOIN about_t q ON q.vec_id = l.query_id"""
+S.TABLES["staged_t"] = " UNION ALL ".join(_STAGE.format(stage=s, table=t) for s, t in zip(strategies.STAGES, ("others_t", "merged_t", "blended_t"), strict=True))
+_NDCG = ("CASE WHEN h_{s} > 0 THEN round_even(d_{s}, 9) / list_sum(list_transform(range(1, h_{s} + 1), lambda i: 1.0::DOUBLE / log2(i + 1))) ELSE 0.0::DOUBLE END")
+_B, _F, _R = (_NDCG.format(s=s) for s in strategies.STAGES)
+S.TABLES["stage_scores_t"] = f"""
+SELECT t.query_id, t.category, coalesce(returned, 0) AS returned, total_relevant, coalesce(candidates, 0) AS candidates,
+  round_even(coalesce(h_reranked, 0) / total_relevant, 6) AS recall, round_even(CASE WHEN returned > 0 THEN h_reranked / returned ELSE 0.0::DOUBLE END, 6) AS precision,
+  round_even(coalesce(1.0::DOUBLE / first_hit, 0), 6) AS mrr, CASE WHEN h_reranked > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS hit_rate, round_even({_R}, 6) AS ndcg,
+  round_even(greatest(0.0::DOUBLE, 1 - coalesce(candidates, 0) / n) * 100, 2) AS candidate_reduction_pct,
+  round_even({_R} - {_F}, 6) AS reranking_gain, round_even({_F} - {_B}, 6) AS query_rewriting_gain, 0.0::DOUBLE AS hyde_gain
+FROM (SELECT CAST(vec_id AS VARCHAR) AS query_id, vec_id, section AS category FROM vectors_t) t
+LEFT JOIN (SELECT query_id AS vec_id, count(*) FILTER (stage = 'reranked' AND rank <= 5) AS returned, count(*) FILTER (stage = 'retrieved') AS candidates,
+  min(rank) FILTER (stage = 'reranked' AND relevant) AS first_hit,
+  {", ".join(f"count(*) FILTER (stage = '{s}' AND relevant AND rank <= 5) AS h_{s}, coalesce(sum(1.0::DOUBLE / log2(rank + 1)) FILTER (stage = '{s}' AND relevant AND rank <= 5), 0) AS d_{s}" for s in strategies.STAGES)}
+  FROM staged_t GROUP BY 1) USING (vec_id)
+JOIN (SELECT section AS category, count(*) AS total_relevant FROM vectors_t GROUP BY 1) USING (category), (SELECT count(*) AS n FROM vectors_t)"""
+
+
+def _stage_scores(spark, sf):
+    v = derive.vectors(spark, sf)
+    words = F.concat_ws(" ", "section", "report_id", F.col("year").cast("string"))
+    found = _knn(spark, sf).withColumnRenamed("vec_id", "chunk_id")
+    own = found.filter(F.col("chunk_id") != F.col("query_id"))
+    asks = v.select(F.col("vec_id").alias("query_id"), F.floor(F.col("vec_id") / 2).alias("pair"))
+    both = found.select(F.floor(F.col("query_id") / 2).alias("pair"), "chunk_id", "score").join(asks, "pair").filter(F.col("chunk_id") != F.col("query_id"))
+    merged = cut_lineage(retrieval.fuse(both))
+    about = v.select("vec_id", words.alias("about"))
+    pairs = merged.join(about.toDF("chunk_id", "chunk_text"), "chunk_id").join(about.toDF("query_id", "query"), "query_id")
+    final = retrieval.rerank(pairs.withColumn("chunk_id", F.col("chunk_id").cast("string")), 8)
+    lists = strategies.tagged("baseline", own).unionByName(strategies.tagged("retrieved", merged)).unionByName(
+        strategies.tagged("reranked", final.select("query_id", "chunk_id", "score")))
+    strings = F.lit(None).cast("array<string>")
+    truth = v.select(
+        F.col("vec_id").cast("string").alias("query_id"), F.col("section").alias("category"), strings.alias("expected_chunk_ids"),
+        F.array("section").alias("expected_sections"), strings.alias("expected_report_ids"))
+    corpus = v.agg(F.count(F.lit(1)).alias("corpus_size"))
+    return truth, strategies.query_scores(
+        lists, v.withColumnRenamed("vec_id", "chunk_id"), truth, retrieval.total_relevant(truth, v), corpus, rewrite=True, passage=False, k=5)
+
+
+@query("strategy_gains", S.with_tables("SELECT * FROM stage_scores_t"))
+def strategy_gains(spark, sf):
+    return _stage_scores(spark, sf)[1]
+
+
+_RUN_MEAN = "round_even(coalesce(CAST(avg(CAST({c} AS DECIMAL(14,6))) FILTER (ok) AS DOUBLE), 0), 6)"
+
+
+@query("strategy_run", S.with_tables(f"""
+SELECT category, CAST(grouping(category) AS INTEGER) AS is_total, count(*) FILTER (ok) AS num_queries, count(*) FILTER (NOT ok) AS failures,
+  {", ".join(f"{_RUN_MEAN.format(c=m)} AS {m if m.endswith('gain') or m == 'hit_rate' else 'mean_' + m}" for m in strategies.MEASURES)},
+  round_even(CAST(avg(CAST(CAST(query_id AS BIGINT) % 90 AS DECIMAL(14,6))) FILTER (ok) AS DOUBLE), 6) AS mean_latency_ms
+FROM (SELECT *, CAST(query_id AS BIGINT) % 17 <> 0 AS ok FROM stage_scores_t) GROUP BY GROUPING SETS ((), (category))"""))
+def strategy_run(spark, sf):
+    truth, scores = _stage_scores(spark, sf)
+    i = F.col("query_id").cast("bigint")
+    none = F.lit(None).cast("string")
+    asked = truth.select("query_id", "category", F.when(i % 17 == 0, F.lit(" ")).otherwise(F.lit("q")).alias("query"), F.lit(10).alias("top_k"),
+                         F.lit(2020).alias("year"), F.lit(None).cast("int").alias("quarter"), none.alias("report_type"), none.alias("section"))
+    timed = asked.join(retrieval.check_requests(asked), "query_id").withColumn("latency_ms", (i % 90).cast("double"))
+    return strategies.strategy_run(scores, timed)
+
+
 S.TABLES["costed_t"] = f"""
 SELECT k.query_id, k.vec_id, k.score, v.year, len(regexp_extract_all(d.text, '{S.TOKEN}')) AS tokens FROM knn_t k JOIN vectors_t v USING (vec_id) JOIN documents d ON d.doc_id = k.vec_id"""
 
