@@ -1,13 +1,15 @@
 """Sharding by a hierarchical weighted hash tree: region, rack, shard.
 
-At every level a row draws -ln(u) / weight for each child, u being a hash of the key, the
-child and the attempt, and descends into the smallest draw; so a child is chosen in
-proportion to its weight, and changing one weight moves rows only into or out of that
-child's subtree.  The tree is laid out once with the places shards may take later
-(``Tree``).  A draw that ends at a place not in use yet starts again from the root with the
-next attempt.  A new shard takes up such a place: rows that met it before the place they
-had settled in move into it, no other row moves.  After ``ATTEMPTS`` failures, a row draws
-among all places in use at once, which has the same property.
+Every shard in use races for every key with the draw -ln(u) / weight, u being a hash of the
+key and the shard.  The draw of a rack is the smallest of its shards', that of a region the
+smallest of its racks'; a row descends into the region, then the rack, then the shard of
+the smallest draw.  The smallest of exponential draws is itself one whose rate is the sum of
+theirs, so every node is chosen in proportion to the weight below it.
+
+All draws but those of a changed shard stay as they are.  So a shard that is added or gains
+weight only takes rows, one that loses weight or goes only gives rows away, and no row moves
+between two shards that are not changed: movement is confined to the changed subtrees, however
+many of the tree's places are in use.  There is no upper number of shards.
 
 Only the key and the tree decide; no row needs another, and only DataFrame functions run.
 """
@@ -20,75 +22,64 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import grouped
+from ledgerlens.llm.common import unused
 
-ATTEMPTS = 16
 SHARDS = 40
 
 
 @dataclass(frozen=True)
 class Tree:
-    """Places in three levels.  Shard s takes place (s % regions, s // regions % racks, s // (regions * racks)).
+    """Shard s stands in region s % regions and there in rack s // regions % racks.
 
-    ``weights`` gives places a weight other than 1, by shard; a rack weighs the sum of its
-    places, a region that of its racks.
+    ``weights`` gives shards a weight other than 1; a rack weighs the sum of its shards, a
+    region that of its racks.
     """
 
     regions: int = 4
     racks: int = 4
-    places: int = 4
     weights: tuple[tuple[int, float], ...] = ()
 
-    @property
-    def capacity(self) -> int:
-        return self.regions * self.racks * self.places
-
-    def shard(self, region: int, rack: int, place: int) -> int:
-        return place * self.regions * self.racks + rack * self.regions + region
+    def __post_init__(self) -> None:
+        if self.regions < 1 or self.racks < 1 or any(not w > 0 for _, w in self.weights):
+            raise ValueError("a tree has regions, racks and positive weights")
 
-    def levels(self) -> tuple[list[float], list[float], list[float]]:
-        """Weights of regions, of racks (region by region) and of places (rack by rack)."""
-        given = dict(self.weights)
-        leaf = [float(given.get(self.shard(g, r, p), 1.0)) for g in range(self.regions) for r in range(self.racks) for p in range(self.places)]
-        rack = [sum(leaf[i:i + self.places]) for i in range(0, len(leaf), self.places)]
-        return [sum(rack[i:i + self.racks]) for i in range(0, len(rack), self.racks)], rack, leaf
 
+def _draw(key: Column, shard: Column, tree: Tree) -> Column:
+    u = (F.shiftrightunsigned(F.xxhash64(key, shard), 11).cast("double") + 0.5) * F.lit(2.0**-53)
+    weight = F.lit(1.0)
+    if tree.weights:
+        given = F.create_map(*[F.lit(x) for s, w in tree.weights for x in (int(s), float(w))])
+        weight = F.coalesce(F.try_element_at(given, shard), weight)
+    return F.struct((-F.log(u) / weight).alias("draw"), shard.alias("shard"))
 
-def _draw(key: Column, level: int, node: Column, attempt: Column, weight: Column) -> Column:
-    u = (F.shiftrightunsigned(F.xxhash64(key, F.lit(level), node, attempt), 11).cast("double") + 0.5) * F.lit(2.0**-53)
-    return -F.log(u) / weight
 
+def _descent(key: Column, shards: int, tree: Tree) -> Column:
+    """Smallest draw of the tree and its shard: of racks first, then of regions, then of all."""
+    if shards < 1:
+        raise ValueError("at least one shard is needed")
+    step = tree.regions * tree.racks
 
-def _let(value: Column, then) -> Column:
-    """``then`` of a value that is computed once."""
-    return F.transform(F.array(value), then)[0]
+    def smallest(nodes: list[Column]) -> Column:
+        return F.array_min(F.array(*nodes)) if len(nodes) > 1 else nodes[0]
 
+    def rack(region: int, number: int) -> Column | None:
+        first = number * tree.regions + region
+        if first >= shards:
+            return None
+        own = F.sequence(F.lit(first), F.lit(shards - 1), F.lit(step))
+        return F.array_min(F.transform(own, lambda s: _draw(key, s, tree)))
 
-def _child(key: Column, level: int, first: Column, n: int, attempt: Column, weights: Column) -> Column:
-    """Number of the child with the smallest draw among ``n`` from ``first`` on."""
-    each = F.transform(F.sequence(first, first + (n - 1)), lambda c: F.struct(
-        _draw(key, level, c, attempt, F.get(weights, c)).alias("draw"), c.alias("child")))
-    return F.array_min(each)["child"]
+    regions = []
+    for g in range(tree.regions):
+        racks = [r for r in (rack(g, k) for k in range(tree.racks)) if r is not None]
+        if racks:
+            regions.append(smallest(racks))
+    return smallest(regions)
 
 
 def shard_of(key: Column, shards: int, tree: Tree = Tree()) -> Column:
     """The shard of a key, 0 to ``shards`` - 1; a NULL key has a shard like any other."""
-    if not 0 < shards <= tree.capacity:
-        raise ValueError(f"the tree has places for 1 to {tree.capacity} shards, not {shards}")
-    regions, racks, leaves = (F.array(*[F.lit(w) for w in ws]) for ws in tree.levels())
-    used = tree.regions * tree.racks
-
-    def descend(attempt: Column) -> Column:
-        return _let(_child(key, 0, F.lit(0), tree.regions, attempt, regions), lambda g: _let(
-            _child(key, 1, g * tree.racks, tree.racks, attempt, racks), lambda r: _let(
-                _child(key, 2, r * tree.places, tree.places, attempt, leaves),
-                lambda p: (p % tree.places) * used + (r % tree.racks) * tree.regions + g)))
-
-    found = F.aggregate(F.sequence(F.lit(0), F.lit(ATTEMPTS - 1)), F.lit(-1), lambda at, attempt: F.when(
-        at >= 0, at).otherwise(_let(descend(attempt), lambda s: F.when(s < shards, s).otherwise(-1))))
-    given = dict(tree.weights)
-    flat = F.array(*[F.lit(float(given.get(s, 1.0))) for s in range(shards)])
-    rest = _child(key, 3, F.lit(0), shards, F.lit(ATTEMPTS), flat)
-    return _let(found, lambda s: F.when(s >= 0, s).otherwise(rest)).cast("int")
+    return _descent(key, shards, tree)["shard"]
 
 
 def sharded(docs: DataFrame, *, shards: int = SHARDS, tree: Tree = Tree()) -> DataFrame:
@@ -96,22 +87,28 @@ def sharded(docs: DataFrame, *, shards: int = SHARDS, tree: Tree = Tree()) -> Da
 
     Columns: ``doc_id``, ``size`` (UTF-8 bytes of the text plus 16), ``text_crc32``, ``law``
     (``key``: the id and the shard count decide), ``shard``, ``slot`` (gapless from 0 in its
-    shard, in order of a hash) and ``grown_shard`` (with one shard more; NULL when the tree
-    is full).  A NULL text counts as empty.  Rows with the same id share a shard, NULL ids
+    shard, in order of a hash) and ``grown_shard`` (with one shard more).  A NULL text counts as empty.  Rows with the same id share a shard, NULL ids
     too; equal rows have slots of their own.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    key = F.col("doc_id")
     slim = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.lit("key").alias("law"), shard_of(F.col("doc_id").cast("long"), shards, tree).alias("shard"),
-        (shard_of(F.col("doc_id").cast("long"), shards + 1, tree) if shards < tree.capacity else F.lit(None).cast("int")).alias("grown_shard"))
+        key.cast("long").alias("doc_id"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.lit("key").alias("law")).withColumn("_best", _descent(key, shards, tree))
+    # with one shard more only that one's draw is new
+    grown = F.least(F.col("_best"), _draw(key, F.lit(shards), tree))["shard"]
+    slim = slim.select("doc_id", "size", "text_crc32", "law", F.col("_best.shard").alias("shard"), grown.alias("grown_shard"))
     order = [F.xxhash64("doc_id", "text_crc32", "size"), F.asc_nulls_first("doc_id"), F.col("text_crc32"), F.col("size")]
     placed = grouped.number_rows(slim, ["shard"], order, "slot")
     return placed.withColumn("slot", F.col("slot").cast("long") - 1)
 
 
 def write_shards(docs: DataFrame, folder: str, *, shards: int = SHARDS, tree: Tree = Tree(), files: int = 8) -> None:
-    """Write whole rows below ``folder``, a subfolder per shard of about ``files`` files each."""
-    placed = docs.withColumn("shard", shard_of(F.col("doc_id").cast("long"), shards, tree))
+    """Write whole rows below ``folder``, a subfolder ``shard=N`` per shard of about ``files`` files each.
+
+    Where ``docs`` has a column named ``shard``, it stays and the folders are named ``shard_=N``.
+    """
+    (name,) = unused(docs, "shard")
+    placed = docs.withColumn(name, shard_of(F.col("doc_id").cast("long"), shards, tree))
     salt = F.pmod(F.xxhash64("doc_id", "text"), F.lit(files))
-    placed.repartition(shards * files, "shard", salt).write.partitionBy("shard").parquet(folder)
+    placed.repartition(shards * files, name, salt).write.partitionBy(name).parquet(folder)

@@ -1,8 +1,11 @@
+import math
 import re
+import struct
 import zlib
 from collections import Counter, defaultdict
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import hash_tree_sharding as shards
@@ -27,7 +30,7 @@ def test_shards_slots_and_checksums(documents):
     assert sorted(out) == sorted(shards.sharded(documents.repartition(7)).collect())
 
 
-@pytest.mark.parametrize("n", [1, 2, 15, 16, 17, 39, 63])
+@pytest.mark.parametrize("n", [1, 2, 15, 16, 17, 39, 64, 100])
 def test_a_new_shard_only_takes(spark, n):
     ids = spark.range(4000)
     rows = ids.select(shards.shard_of(F.col("id"), n).alias("a"), shards.shard_of(F.col("id"), n + 1).alias("b")).collect()
@@ -36,18 +39,48 @@ def test_a_new_shard_only_takes(spark, n):
     assert abs(moved - 4000 / (n + 1)) < 6 * (4000 / (n + 1)) ** 0.5 + 1
 
 
-def test_shares_follow_weights_and_movement_stays_in_the_subtrees(spark):
-    ids = spark.range(20_000)
-    tree = shards.Tree(2, 2, 2)
-    heavy = shards.Tree(2, 2, 2, weights=((5, 3.0),))  # place 1 of region 1, rack 0
-    assert heavy.shard(1, 0, 1) == 5
-    rows = ids.select(shards.shard_of(F.col("id"), 8, tree).alias("a"), shards.shard_of(F.col("id"), 8, heavy).alias("b")).collect()
-    counts = Counter(r["b"] for r in rows)
+def test_shares_follow_weights(spark):
+    heavy = shards.Tree(2, 2, weights=((5, 3.0),))
+    counts = Counter(r["s"] for r in spark.range(20_000).select(shards.shard_of(F.col("id"), 8, heavy).alias("s")).collect())
     assert abs(counts[5] - 6000) < 400 and all(abs(counts[s] - 2000) < 300 for s in range(8) if s != 5)
-    region = lambda s: s % 2
-    assert not any(region(r["a"]) == 1 and region(r["b"]) == 0 for r in rows)  # only the grown region gains
-    other = [r for r in rows if region(r["a"]) == region(r["b"]) == 0]
-    assert all(r["a"] == r["b"] for r in other)
+
+
+@pytest.mark.parametrize("weight", [0.2, 3.0])
+def test_a_weight_moves_rows_of_its_own_shard_only(spark, weight):
+    """With 40 shards on a grid of 16 racks, no row moves between two shards whose weights stay."""
+    changed = shards.Tree(weights=((5, weight),))
+    rows = spark.range(40_000).select(
+        shards.shard_of(F.col("id"), 40).alias("a"), shards.shard_of(F.col("id"), 40, changed).alias("b")).filter("a <> b").collect()
+    assert len(rows) > 400 and {r["b"] if weight > 1 else r["a"] for r in rows} == {5}
+
+
+def descent(key, n, regions, racks, weights):
+    """Region, rack and shard one after the other, from the same hashes, in plain Python."""
+    def chain(*parts):
+        seed = 42
+        for p in parts:
+            seed = xxhash.xxh64_intdigest(p, seed)
+        return seed
+
+    def draw(s):
+        u = ((chain(*([] if key is None else [struct.pack("<q", key)]), struct.pack("<i", s)) >> 11) + 0.5) * 2.0**-53
+        return -math.log(u) / weights.get(s, 1.0)
+
+    left = list(range(n))
+    for part in (lambda s: s % regions, lambda s: s // regions % racks, lambda s: s):
+        nodes = defaultdict(list)
+        for s in left:
+            nodes[part(s)].append(s)
+        left = min(nodes.values(), key=lambda below: min((draw(s), s) for s in below))
+    return left[0]
+
+
+@pytest.mark.parametrize("n,tree", [(40, shards.Tree()), (1, shards.Tree()), (100, shards.Tree(3, 5, ((7, 4.0), (98, 0.5)))), (7, shards.Tree(8, 2))])
+def test_descent_by_hand(spark, n, tree):
+    keys = [None, 0, -1, 5, 2**62, *range(1000, 1300)]
+    df = spark.createDataFrame([(k,) for k in keys], "k long")
+    got = [(r["k"], r["s"]) for r in df.select("k", shards.shard_of(F.col("k"), n, tree).alias("s")).collect()]
+    assert got == [(k, descent(k, n, tree.regions, tree.racks, dict(tree.weights))) for k in keys]
 
 
 def test_odd_rows_of_shards(odd_docs, no_docs, tmp_path):
@@ -58,10 +91,10 @@ def test_odd_rows_of_shards(odd_docs, no_docs, tmp_path):
     assert len({(r["shard"], r["slot"]) for r in out}) == len(out)
     assert shards.sharded(no_docs).count() == 0
     with pytest.raises(ValueError):
-        shards.sharded(no_docs, shards=65)
-    plain = odd_docs.select("doc_id", "text")
-    shards.write_shards(plain, f"{tmp_path}/out")
-    assert odd_docs.sparkSession.read.parquet(f"{tmp_path}/out").count() == odd_docs.count()
+        shards.sharded(no_docs, shards=0)
+    shards.write_shards(odd_docs, f"{tmp_path}/out")  # has a column named shard, which stays
+    back = odd_docs.sparkSession.read.parquet(f"{tmp_path}/out")
+    assert back.count() == odd_docs.count() and {r["shard"] for r in back.collect()} == {"x"} and "shard_" in back.columns
 
 
 # ---- mixing -----------------------------------------------------------------------------
