@@ -52,7 +52,6 @@ PRIOR = np.array([-4.0, 4.0, 5.0, 4.5, 1.0, 0.5, 0.5])
 PRIOR_SPREAD = np.array([3.0, 2.0, 2.0, 2.0, 1.0, 1.0, 1.0])
 
 FIT_ROWS = 20_000
-LEXICON = 5_000
 PREFIXES = (3, 4, 5, 6, 7, 8)
 PURITY, SURPRISE = 0.9, 16.0
 CACHED_WORDS = 200_000
@@ -157,14 +156,19 @@ def in_training(doc_id: Column) -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
-    """Text and label of at most about ``rows`` labelled training documents, chosen by a hash of the id."""
+    """Text and label of at most about ``rows`` labelled training documents, chosen by a hash of the id.
+
+    Of rows that share an id one counts, that with the least hash of its text; so rows are
+    bounded, not only ids.
+    """
     known = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").filter(in_training(F.col("doc_id"))).groupBy(
         F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     n = known.count()
     if n > rows:
         known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * rows / n))
     # bounded by ``rows``, so every task may hold it
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id").select("text", "toxic")
+    found = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id")
+    return found.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic")
 
 
 def _shared_key(words: list[str]) -> int:
@@ -173,8 +177,11 @@ def _shared_key(words: list[str]) -> int:
     return min((xxhash.xxh64_intdigest(" ".join(words[i:i + 5])) for i in range(max(1, len(words) - 4))), default=0) >> 1
 
 
-def learn_terms(train: DataFrame, limit: int = LEXICON) -> list[str]:
-    """Words (``=word``) and beginnings (``^begin``) that almost only toxic training texts hold."""
+def learn_terms(train: DataFrame) -> list[str]:
+    """All words (``=word``) and beginnings (``^begin``) that almost only toxic training texts hold.
+
+    The training rows bound their number.
+    """
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_slices(batches):
@@ -206,7 +213,7 @@ def learn_terms(train: DataFrame, limit: int = LEXICON) -> list[str]:
 
     counts = weighted.mapInArrow(count, "term string, bad double, good double").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     pure = counts.filter((F.col("bad") * float(log(1 / base)) >= SURPRISE) & (F.col("bad") >= PURITY * (F.col("bad") + F.col("good"))))
-    return [r["term"] for r in pure.orderBy(F.desc("bad"), "term").limit(limit).collect()]
+    return [r["term"] for r in pure.orderBy(F.desc("bad"), "term").collect()]
 
 
 def fit_weights(groups: list[tuple[tuple[int, ...], float, float]]) -> np.ndarray:
