@@ -39,10 +39,15 @@ S.TABLES["yoy_t"] = "SELECT company_id, " + ", ".join(
  AND report_id IN (SELECT report_id FROM latest_t) GROUP BY 1"""
 
 # the same text jobs as for filings, over chunks attached to supplier companies
-_NEWEST = """(SELECT company_id, report_id, row_number() OVER (PARTITION BY company_id ORDER BY year DESC, quarter DESC NULLS FIRST) AS n FROM reports_t)"""
-S.TABLES["held_reports"] = f"""
+S.TABLES["newest_t"] = """
+SELECT company_id, report_id, row_number() OVER (PARTITION BY company_id ORDER BY year DESC, quarter DESC NULLS FIRST) AS n FROM reports_t"""
+S.TABLES["holders_t"] = """
+SELECT company_id, row_number() OVER (ORDER BY CAST(company_id AS BIGINT)) AS c, count(*) OVER () AS holders, reports
+FROM (SELECT company_id, count(*) AS reports FROM reports_t GROUP BY 1)"""
+S.TABLES["held_reports"] = """
 SELECT CAST(doc_id AS VARCHAR) AS chunk_id, r.company_id, r.report_id FROM documents
-JOIN {_NEWEST} r ON r.company_id = CAST(doc_id // 10 AS VARCHAR) AND r.n = doc_id % 5 + 1"""
+JOIN holders_t h ON h.c = doc_id % (SELECT count(*) FROM holders_t) + 1
+JOIN newest_t r ON r.company_id = h.company_id AND r.n = doc_id // h.holders % h.reports + 1"""
 S.TABLES["held_tones"] = "SELECT t.* REPLACE (h.company_id AS company_id, h.report_id AS report_id) FROM tones_t t JOIN held_reports h ON t.report_id = h.chunk_id"
 S.TABLES["held_risks"] = """
 SELECT h.report_id || '|' || normalized_risk_name AS risk_id, h.company_id, h.report_id, c.normalized_risk_name, c.kw_title || ' Risk' AS risk_name, c.category, c.severity
@@ -116,7 +121,7 @@ def _profile(spark, sf):
     # each stage that several branches read is written once
     reports = cut_lineage(derive.reports(spark, sf))
     metrics = cut_lineage(derive.metrics(spark, sf))
-    text = derive.company_chunks(spark, sf)
+    text = derive.company_chunks(spark, sf, reports)
     found = cut_lineage(risks.extract_risks(text))
     comparisons = periods.compare_periods(metrics, deduped=True, carry=("report_id",))
     moves = risks.risk_evolution(found, reports, unique_names=True)
@@ -156,11 +161,12 @@ def cohort_benchmark(spark, sf):
 
 
 def _latest_values(spark, sf):
-    m = derive.metrics(spark, sf).filter("normalized_metric_name = 'CAPEX' and fiscal_quarter is null")
-    return m.select(F.col("fiscal_year").alias("cohort"), "company_id", F.floor(F.col("value") / 1000).cast("double").alias("value"))
+    """All companies with one metric of one period are a cohort."""
+    period = F.concat_ws("-", "normalized_metric_name", "fiscal_year", F.coalesce(F.concat(F.lit("Q"), "fiscal_quarter"), F.lit("FY")))
+    return derive.metrics(spark, sf).select(period.alias("cohort"), "company_id", F.floor(F.col("value") / 1000).cast("double").alias("value"))
 
 
-_VALUES = "(SELECT fiscal_year AS cohort, company_id, CAST(floor(value / 1000) AS DOUBLE) AS value FROM metrics_t WHERE normalized_metric_name = 'CAPEX' AND fiscal_quarter IS NULL)"
+_VALUES = "(SELECT normalized_metric_name || '-' || fiscal_year || '-' || coalesce('Q' || fiscal_quarter, 'FY') AS cohort, company_id, CAST(floor(value / 1000) AS DOUBLE) AS value FROM metrics_t)"
 _RANKS = {
     "min": "CAST(rank() OVER w AS DOUBLE)", "dense": "CAST(dense_rank() OVER w AS DOUBLE)",
     "average": "rank() OVER w + (count(*) OVER (PARTITION BY cohort, value) - 1) / 2.0::DOUBLE",

@@ -169,15 +169,15 @@ def reconciled_risks(spark, sf):
 
 
 @query("metric_agreement_scores", S.with_tables("""
-WITH e AS (SELECT metric_id, value, metric_category FROM metrics_t WHERE fiscal_quarter IS NULL),
-p AS (SELECT metric_id, CASE WHEN fiscal_year % 2 = 0 THEN value ELSE CAST(value + 1 AS DECIMAL(22,6)) END AS value, metric_category FROM metrics_t WHERE fiscal_quarter IS NULL AND normalized_metric_name <> 'CAPEX')
+WITH e AS (SELECT metric_id, value, metric_category FROM metrics_t),
+p AS (SELECT metric_id, CASE WHEN fiscal_year % 2 = 0 THEN value ELSE CAST(value + 1 AS DECIMAL(22,6)) END AS value, metric_category FROM metrics_t WHERE normalized_metric_name <> 'CAPEX')
 SELECT metric_category, count(e.metric_id) AS expected, count(p.metric_id) AS produced, count(p.metric_id) AS matched, count(*) FILTER (e.value = p.value) AS correct,
        CASE WHEN count(p.metric_id) > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS precision, round_even(count(p.metric_id) / count(e.metric_id), 4) AS recall,
        round_even(CASE WHEN count(p.metric_id) > 0 THEN count(*) FILTER (e.value = p.value) / count(p.metric_id) ELSE 0 END, 4) AS value_accuracy,
        round_even((count(e.metric_id) - count(p.metric_id)) / count(e.metric_id), 4) AS failure_rate
 FROM e LEFT JOIN p USING (metric_id, metric_category) GROUP BY 1"""))
 def metric_agreement_scores(spark, sf):
-    m = derive.metrics(spark, sf).filter("fiscal_quarter is null")
+    m = derive.metrics(spark, sf)  # the producer under test misses one metric name and is off in odd years
     shifted = F.when(F.col("fiscal_year") % 2 == 0, F.col("value")).otherwise(F.col("value") + 1).cast("decimal(22,6)")
     produced = m.filter("normalized_metric_name <> 'CAPEX'").withColumn("value", shifted)
     return evaluation.gold_scores(m, produced, ["metric_id"], ["value"], group="metric_category")
@@ -189,7 +189,7 @@ def _packages(spark, sf):
     metrics = cut_lineage(derive.metrics(spark, sf))
     comparisons = periods.compare_periods(metrics, deduped=True, carry=("report_id",))
     rows = cut_lineage(analytics.build_analytics(metrics, comparisons))
-    chunk = derive.company_chunks(spark, sf).withColumn("start_page", F.lit(1))
+    chunk = derive.company_chunks(spark, sf, reports).withColumn("start_page", F.lit(1))
     bench = derive.companies(spark, sf).select(
         "company_id", F.lit("all").alias("cohort_id"), *[
             (F.pmod(F.col("company_id").cast("int"), F.lit(n)) * 1.5).alias(c) for n, c in
@@ -228,8 +228,9 @@ def evidence_tables(spark, sf):
 
 
 S.TABLES["claims_t"] = r"""
-SELECT report_id AS memo_id, 'Sales of ' || CAST(floor(value * CASE WHEN fiscal_year % 3 = 0 THEN 1.01 WHEN fiscal_year % 3 = 1 THEN 1.05 ELSE 1 END) AS BIGINT) || ' in 2015, up 12 from 77, 555 and 1,234.5%.' AS body
-FROM metrics_t WHERE normalized_metric_name = 'REVENUE'"""
+SELECT report_id AS memo_id, string_agg(normalized_metric_name || ' of ' || CAST(floor(value * CASE WHEN fiscal_year % 3 = 0 THEN 1.01 WHEN fiscal_year % 3 = 1 THEN 1.05 ELSE 1 END) AS BIGINT), '; ' ORDER BY metric_id)
+  || ' in 2015, up 12 from 77, 555 and 1,234.5%.' AS body
+FROM metrics_t GROUP BY 1"""
 
 
 @query("number_grounding", S.with_tables(r"""
@@ -242,9 +243,9 @@ def number_grounding(spark, sf):
     m = cut_lineage(derive.metrics(spark, sf))
     y = F.col("fiscal_year") % 3
     factor = F.when(y == 0, F.lit("1.01")).when(y == 1, F.lit("1.05")).otherwise(F.lit("1.00")).cast("decimal(3,2)")
-    texts = m.filter("normalized_metric_name = 'REVENUE'").select(
-        F.col("report_id").alias("memo_id"),
-        F.concat(F.lit("Sales of "), F.floor(F.col("value") * factor).cast("bigint"), F.lit(" in 2015, up 12 from 77, 555 and 1,234.5%.")).alias("body"))
+    said = F.concat("normalized_metric_name", F.lit(" of "), F.floor(F.col("value") * factor).cast("bigint"))
+    texts = m.groupBy(F.col("report_id").alias("memo_id")).agg(F.sort_array(F.collect_list(F.struct("metric_id", said.alias("said")))).alias("_said")).select(
+        "memo_id", F.concat(F.array_join("_said.said", "; "), F.lit(" in 2015, up 12 from 77, 555 and 1,234.5%.")).alias("body"))
     return memo.check_grounding(texts, m.select(F.col("report_id").alias("memo_id"), "value"))
 
 

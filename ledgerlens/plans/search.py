@@ -261,14 +261,25 @@ def _set(c):
     return f"list_distinct(list_filter(string_split_regex(lower({c}), '{S.WS}+'), lambda w: length(w) > 0))"
 
 
+def _dealt(left, a, right, b):
+    """Both sides joined by their ids modulo the lower count of ids, so that every row of either is read."""
+    n = left.agg(F.max(a).alias("x")).unionByName(right.agg(F.max(b).alias("x"))).agg(F.min("x") + 1)
+    return left.withColumn("_slot", F.pmod(a, n.scalar())).join(right.withColumn("_slot", F.pmod(b, n.scalar())), "_slot").drop("_slot")
+
+
+_DEALT = "{a} % {n} = {b} % {n}"
+_FEWER = "(SELECT least((SELECT max(conv_id) FROM conversations), (SELECT max(doc_id) FROM documents)) + 1)"
+
+
 @query("lexical_rerank", f"""
-SELECT conv_id, turn, doc_id, round_even(least(1.0::DOUBLE, s / (a + b - s) + least(s * 0.05::DOUBLE, 0.5::DOUBLE)), 4) AS text_score
+SELECT conv_id, turn, doc_id, CAST(floor(d) + CASE WHEN d - floor(d) > 0.5 OR (d - floor(d) = 0.5 AND floor(d) % 2 = 1) THEN 1 ELSE 0 END AS DOUBLE) / 10000.0::DOUBLE AS text_score
+FROM (SELECT *, CAST(CAST(CASE WHEN a + b > s THEN least(1.0::DOUBLE, s / (a + b - s) + least(s * 0.05::DOUBLE, 0.5::DOUBLE)) ELSE 0.0::DOUBLE END AS VARCHAR) AS DECIMAL(20,18)) * 10000 AS d
 FROM (SELECT conv_id, turn, doc_id, len(list_intersect(qw, dw)) AS s, len(qw) AS a, len(dw) AS b
-      FROM (SELECT conv_id, turn, doc_id, {_set("c.text")} AS qw, {_set("d.text")} AS dw FROM conversations c JOIN documents d ON d.doc_id = c.conv_id))""")
+      FROM (SELECT conv_id, turn, doc_id, {_set("c.text")} AS qw, {_set("d.text")} AS dw FROM conversations c JOIN documents d ON {_DEALT.format(a="conv_id", b="doc_id", n=_FEWER)})))""")  # rounded by the digits of the double, as its text shows them
 def lexical_rerank(spark, sf):
     c = derive.table(spark, sf, "conversations").withColumnRenamed("text", "query")
     d = derive.table(spark, sf, "documents").select("doc_id", "text")
-    j = c.join(d, d.doc_id == c.conv_id)
+    j = _dealt(c, "conv_id", d, "doc_id")
     return j.select("conv_id", "turn", "doc_id", retrieval.lexical_score(F.col("query"), F.col("text")).alias("text_score"))
 
 
@@ -349,18 +360,20 @@ def strategy_run(spark, sf):
 
 
 S.TABLES["costed_t"] = f"""
-SELECT k.query_id, k.vec_id, k.score, v.year, len(regexp_extract_all(d.text, '{S.TOKEN}')) AS tokens FROM knn_t k JOIN vectors_t v USING (vec_id) JOIN documents d ON d.doc_id = k.vec_id"""
+SELECT k.query_id, d.doc_id, k.score, v.year, d.tokens FROM knn_t k JOIN vectors_t v USING (vec_id) JOIN (
+  SELECT e.vec_id, doc_id, len(regexp_extract_all(text, '{S.TOKEN}')) AS tokens FROM documents JOIN embeddings e
+  ON {_DEALT.format(a="e.vec_id", b="doc_id", n="(SELECT least((SELECT max(vec_id) FROM embeddings), (SELECT max(doc_id) FROM documents)) + 1)")}) d USING (vec_id)"""
 
 
 @query("budget_admission", S.with_tables("""
-SELECT query_id, vec_id AS chunk_id, CAST(row_number() OVER w AS INTEGER) AS citation_id FROM (
-  SELECT *, sum(tokens) OVER (PARTITION BY query_id ORDER BY score DESC, year DESC, vec_id ROWS UNBOUNDED PRECEDING) AS used FROM costed_t)
-WHERE used <= 4000 WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, year DESC, vec_id)"""))
+SELECT query_id, doc_id AS chunk_id, CAST(row_number() OVER w AS INTEGER) AS citation_id FROM (
+  SELECT *, sum(tokens) OVER (PARTITION BY query_id ORDER BY score DESC, year DESC, doc_id ROWS UNBOUNDED PRECEDING) AS used FROM costed_t)
+WHERE used <= 4000 WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, year DESC, doc_id)"""))
 def budget_admission(spark, sf):
     v = derive.vectors(spark, sf).select("vec_id", "year")
-    d = derive.table(spark, sf, "documents").select(
-        F.col("doc_id").alias("vec_id"), text.token_count(F.col("text")).alias("token_count"))
-    r = _knn(spark, sf).join(v, "vec_id").join(d, "vec_id").withColumnRenamed("vec_id", "chunk_id")
+    d = derive.table(spark, sf, "documents").select("doc_id", text.token_count(F.col("text")).alias("token_count"))
+    chunks = _dealt(v, "vec_id", d, "doc_id").withColumnRenamed("doc_id", "chunk_id")
+    r = _knn(spark, sf).join(chunks, "vec_id")
     return retrieval.admit(r, vocab.BUDGETS["SMALL"]).select("query_id", "chunk_id", "citation_id")
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens import vocab
+from ledgerlens.session import cut_lineage
 
 RISK_SENTENCES = [
     "Our supply chain depends on a single source supplier and any failure to deliver could disrupt production.",
@@ -264,21 +265,26 @@ def document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def company_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Document chunks attached to the five newest reports of the supplier companies.
+def company_chunks(spark: SparkSession, sf_dir: str, filed: DataFrame | None = None) -> DataFrame:
+    """Document chunks dealt to the companies that have reports, and to each one's reports from the newest.
 
-    A company has at most one report per period, so numbering them is bounded.
+    Every document finds a report, whatever the numbers of both.  A company has at most one
+    report per period, so numbering them is bounded.  ``filed`` are the reports, if they are
+    written already.
     """
     from ledgerlens.functions.grouped import number_rows
 
-    newest = number_rows(
-        reports(spark, sf_dir), ["company_id"],
+    filed = cut_lineage(reports(spark, sf_dir)) if filed is None else filed
+    numbered = number_rows(
+        filed, ["company_id"],
         [F.col("year").desc(), F.col("quarter").desc_nulls_first()], "_n", bounded=True,
-    ).filter("_n <= 5").select("company_id", "report_id", "_n")
-    i = F.col("doc_id")
-    docs = document_chunks(spark, sf_dir).drop("company_id", "report_id").withColumn(
-        "company_id", F.floor(i / 10).cast("string")).withColumn("_n", (F.pmod(i, F.lit(5)) + 1).cast("int"))
-    return docs.join(newest, ["company_id", "_n"]).drop("_n")
+    ).select("company_id", "report_id", "_n")
+    held = filed.groupBy("company_id").agg(F.count(F.lit(1)).alias("_reports"))
+    holders = number_rows(held, [], [F.col("company_id").cast("bigint")], "_c")
+    n, i = held.agg(F.count(F.lit(1))).scalar(), F.col("doc_id")
+    docs = document_chunks(spark, sf_dir).drop("company_id", "report_id").withColumn("_c", F.pmod(i, n) + 1).withColumn("_turn", F.floor(i / n))
+    placed = docs.join(holders, "_c").withColumn("_n", F.col("_turn") % F.col("_reports") + 1)
+    return placed.join(numbered, ["company_id", "_n"]).drop("_n", "_c", "_turn", "_reports")
 
 
 # --- vectors --------------------------------------------------------------------------------
