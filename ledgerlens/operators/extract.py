@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ledgerlens import vocab
 from ledgerlens.functions import money, text
 from ledgerlens.functions.grouped import first_per
+from ledgerlens.operators import dictionaries
 from ledgerlens.operators.risks import risk_confidence
 from ledgerlens.operators.tone import tone_confidence
 
@@ -55,8 +56,7 @@ def _grade(m: re.Match) -> int:
     return 2 if _YEAR.fullmatch(raw) and 1900 <= int(float(num)) <= 2100 else 1
 
 
-def _hit(body: str, start: int, end: int, metric: str, window: int) -> dict | None:
-    wants_percent = vocab.METRICS[metric][1] == "percent"
+def _hit(body: str, start: int, end: int, metric: str, wants_percent: bool, window: int) -> dict | None:
     best = min(
         (m for m in _VALUE.finditer(body[end:end + window]) if bool(m.group(7)) == wants_percent),
         key=_grade, default=None,
@@ -77,12 +77,27 @@ def _hit_finder(window: int):
     @F.pandas_udf(_HITS)
     def find(body: pd.Series) -> pd.Series:
         return pd.Series([
-            [h for s, e, m in alias_spans(b) if (h := _hit(b, s, e, m, window))] for b in body
+            [h for s, e, m in alias_spans(b) if (h := _hit(b, s, e, m, vocab.METRICS[m][1] == "percent", window))] for b in body
         ])
 
     return find
 
 
+def _dictionary_hits(chunks: DataFrame, taxonomy: DataFrame, window: int) -> DataFrame:
+    """Chunks with ``_h``, a value bound to an alias of the table, and ``_t``, the entry of that alias."""
+    @F.pandas_udf("array<struct<h:" + _HITS[len("array<"):-1] + ",at:int>>")
+    def bind(body: pd.Series, spans: pd.Series) -> pd.Series:
+        return pd.Series([
+            [{"h": h, "at": i} for i, s in enumerate(row) if (h := _hit(b, s["start"], s["end"], s["metric"], bool(s["percent"]), window))]
+            for b, row in zip(body, spans)])
+
+    keyed = chunks.withColumn("_key", F.concat_ws("\x01", "report_id", "chunk_id"))
+    claims = dictionaries.word_claims(keyed, "_key", "chunk_text", taxonomy)
+    bare = F.transform("spans", lambda s: F.struct(*[s[c].alias(c) for c in ("start", "end", "metric", "percent")]))
+    return keyed.join(claims, "_key").withColumn("_b", F.explode(bind("chunk_text", bare))).withColumn(
+        "_h", F.col("_b.h")).withColumn("_t", F.get("spans", F.col("_b.at")))
+
+
 def metric_confidence(
     method: Column, section_match: Column, marked: Column, external: Column | None = None,
     disagreement: Column | None = None,
@@ -109,29 +124,35 @@ def _expected(metric: Column, section: Column) -> Column:
     return money.mapping(flat)[F.concat(metric, F.lit("|"), section)].isNotNull()
 
 
-def metric_candidates(chunks: DataFrame, *, window: int = 90) -> DataFrame:
+def metric_candidates(chunks: DataFrame, *, window: int = 90, taxonomy: DataFrame | None = None) -> DataFrame:
     """Rule candidates: every alias with the value bound to it.
 
-    Chunks without any alias never leave the JVM; the rest go through Arrow once.
+    Chunks without any alias never leave the JVM; the rest go through Arrow once.  With a
+    ``taxonomy``, a table like :func:`dictionaries.metric_terms` of any size, its aliases are
+    found by joins instead; chunk_id must then be unique in its report.
     """
-    found = chunks.filter(
-        text.contains_any(F.lower("chunk_text"), [a for a, _ in _ALIASES])
-    ).withColumn(
-        "_h", F.explode(_hit_finder(window)(F.col("chunk_text")))
-    )
     h = F.col("_h")
+    if taxonomy is None:
+        found = chunks.filter(
+            text.contains_any(F.lower("chunk_text"), [a for a, _ in _ALIASES])
+        ).withColumn("_h", F.explode(_hit_finder(window)(F.col("chunk_text"))))
+        category = money.mapping({m: s[0] for m, s in vocab.METRICS.items()})[h["metric"]]
+        expected = _expected(h["metric"], F.coalesce("section", F.lit("")))
+    else:
+        found = _dictionary_hits(chunks, taxonomy, window)
+        category = F.col("_t.category")
+        expected = F.coalesce(F.array_contains("_t.sections", F.col("section")), F.lit(False))
     label = F.when(~h["percent"], money.mapping(vocab.TEXT_SCALES)[h["scale"]])
     number = (h["number"].try_cast("decimal(22,6)") * money.scale_factor(label)).cast("decimal(28,6)")
-    category = money.mapping({m: s[0] for m, s in vocab.METRICS.items()})
     rows = found.select(
         "company_id", "report_id", "chunk_id", "chunk_index", "fiscal_year", "fiscal_quarter",
         h["metric"].alias("normalized_metric_name"), h["surface"].alias("metric_name"),
-        category[h["metric"]].alias("metric_category"), h["pos"].alias("pos"),
+        category.alias("metric_category"), h["pos"].alias("pos"),
         F.when(h["negative"], -number).otherwise(number).alias("value"),
         F.when(~h["percent"], money.currency_code(h["currency"])).alias("currency"),
         F.when(h["percent"], F.lit("PERCENT")).otherwise(F.coalesce(label, F.lit("ABSOLUTE"))).alias("unit"),
         h["snippet"].alias("source_text"), h["marked"].alias("marked"),
-        _expected(h["metric"], F.coalesce("section", F.lit(""))).alias("section_match"),
+        expected.alias("section_match"),
     )
     bonus = F.when(F.col("marked"), F.lit(0.10)).otherwise(F.lit(0.0)) + F.when(
         F.col("section_match"), F.lit(0.05)).otherwise(F.lit(0.0))
@@ -183,9 +204,11 @@ def resolve_metrics(rule: DataFrame, external: DataFrame, tolerance: str = vocab
     )
 
 
-def extract_metrics(chunks: DataFrame, external: DataFrame | None = None, *, window: int = 90) -> DataFrame:
+def extract_metrics(
+    chunks: DataFrame, external: DataFrame | None = None, *, window: int = 90, taxonomy: DataFrame | None = None,
+) -> DataFrame:
     """Metrics per (report, metric, period), scored."""
-    rule = metric_candidates(chunks, window=window)
+    rule = metric_candidates(chunks, window=window, taxonomy=taxonomy)
     if external is None:
         external = rule.limit(0)
     return resolve_metrics(rule, external).withColumn(

@@ -9,6 +9,7 @@ import pandas as pd
 from ledgerlens import vocab
 from ledgerlens.functions import money, text
 from ledgerlens.functions.grouped import first_per, number_rows, top_per
+from ledgerlens.operators import dictionaries
 from ledgerlens.operators.periods import prior_report
 
 
@@ -143,12 +144,23 @@ def risk_sentences(chunks: DataFrame) -> DataFrame:
     )
 
 
-def risk_candidates(chunks: DataFrame) -> DataFrame:
-    """Sentence x category candidates, before the best one per name is kept."""
+def _sentence_keywords(sentences: DataFrame, taxonomy: DataFrame | None) -> DataFrame:
+    """Each sentence with one ``_h`` (place, category, keyword) per category found in it."""
+    if taxonomy is None:
+        return sentences.withColumn("_h", F.explode(keyword_hits(F.lower("sentence"))))
+    keyed = sentences.withColumn("_key", F.concat_ws("\x01", "report_id", "chunk_id", "pos")).withColumn("_low", F.lower("sentence"))
+    hits = dictionaries.keyword_categories(keyed, "_key", "_low", taxonomy)
+    return keyed.join(hits.select("_key", F.struct("place", "category", "keyword").alias("_h")), "_key")
+
+
+def risk_candidates(chunks: DataFrame, taxonomy: DataFrame | None = None) -> DataFrame:
+    """Sentence x category candidates, before the best one per name is kept.
+
+    With a ``taxonomy``, a table like :func:`dictionaries.risk_terms` of any size, its keywords
+    are found by joins; chunk_id must then be unique in its report.
+    """
     name = F.concat(F.initcap(F.col("_h.keyword")), F.lit(" Risk"))
-    found = risk_sentences(chunks).withColumn(
-        "_h", F.explode(keyword_hits(F.lower("sentence")))
-    )
+    found = _sentence_keywords(risk_sentences(chunks), taxonomy)
     described = found.select(
         "company_id", "report_id", "chunk_id", "chunk_index", "pos", "section_match",
         F.col("_h.place").alias("place"), F.col("_h.category").alias("category"),
@@ -163,13 +175,13 @@ def risk_candidates(chunks: DataFrame) -> DataFrame:
     )
 
 
-def extract_risks(chunks: DataFrame) -> DataFrame:
+def extract_risks(chunks: DataFrame, taxonomy: DataFrame | None = None) -> DataFrame:
     """Best candidate per (report, normalized name), scored.
 
     Highest confidence wins; on a tie the first in (chunk, sentence, keyword) order.
     """
     best = first_per(
-        risk_candidates(chunks), ["company_id", "report_id", "normalized_risk_name"],
+        risk_candidates(chunks, taxonomy), ["company_id", "report_id", "normalized_risk_name"],
         [-F.col("raw_confidence"), F.col("chunk_index"), F.col("chunk_id"), F.col("pos"), F.col("place")],
     )
     return best.select(

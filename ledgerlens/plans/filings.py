@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens import vocab
 from ledgerlens.functions import money, text
-from ledgerlens.operators import chunks, extract, quality, reads, risks, sections, summaries, tone
+from ledgerlens.operators import chunks, dictionaries, extract, quality, reads, risks, sections, summaries, tone
 from ledgerlens.plans import sql as S
 from ledgerlens.plans.registry import query
 from ledgerlens.session import cut_lineage
@@ -150,6 +150,30 @@ def risk_extraction(spark, sf):
     return _risks(spark, sf).select(*_RISK)
 
 
+@query("taxonomy_risks", S.with_tables(f"SELECT {', '.join(_RISK)} FROM risks_t"))
+def taxonomy_risks(spark, sf):
+    """The same risks with their keywords as a table."""
+    return risks.extract_risks(derive.document_chunks(spark, sf), dictionaries.risk_terms(spark)).select(*_RISK)
+
+
+# a dictionary that grows with the benchmark: the first one, two and three words of each of its items
+S.TABLES["grams_t"] = r"""
+SELECT src, id, i, unnest([w[i], CASE WHEN i < len(w) THEN w[i] || g[i + 1] || w[i + 1] END, CASE WHEN i + 1 < len(w) THEN w[i] || g[i + 1] || w[i + 1] || g[i + 2] || w[i + 2] END]) AS gram
+FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM (
+  SELECT src, id, regexp_extract_all(t, '[\p{L}\p{N}_]+') AS w, string_split_regex(t, '[\p{L}\p{N}_]+') AS g
+  FROM (SELECT 'd' AS src, doc_id AS id, lower(text) AS t FROM documents UNION ALL SELECT 'b', item_id, lower(text) FROM benchmark)))"""
+
+
+@query("taxonomy_matches", S.with_tables("""
+SELECT gram AS alias, count(*) AS places, count(DISTINCT id) AS documents FROM grams_t
+WHERE src = 'd' AND gram IN (SELECT gram FROM grams_t WHERE src = 'b' AND i = 1) GROUP BY 1"""))
+def taxonomy_matches(spark, sf):
+    openings = F.array(*[F.regexp_extract(F.lower("text"), r"([\p{L}\p{N}_]+(?:[^\p{L}\p{N}_]+[\p{L}\p{N}_]+){%d})" % n, 1) for n in range(3)])
+    terms = derive.table(spark, sf, "benchmark").select(F.explode(openings).alias("alias")).filter("alias <> ''").distinct()
+    found = dictionaries.word_matches(derive.table(spark, sf, "documents"), "doc_id", "text", terms)
+    return found.groupBy("alias").agg(F.count(F.lit(1)).alias("places"), F.countDistinct("doc_id").alias("documents"))
+
+
 @query("risk_trigger_sentences", S.with_tables("""
 SELECT report_id, section_match, count(*) AS sentences FROM risk_sentences_t GROUP BY 1, 2"""))
 def risk_trigger_sentences(spark, sf):
