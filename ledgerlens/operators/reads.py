@@ -39,6 +39,11 @@ def sort_by(df: DataFrame, column: str, *, descending: bool = False, tie: str |
     return df.orderBy(first, *([F.col(tie)] if tie else []))
 
 
+def listed(df: DataFrame, per: list[str], keys: list[str], *, tie: str, bounded: bool = False) -> DataFrame:
+    """Every row with its ``place`` in the list of its owner, by several keys up, NULLs last."""
+    return number_rows(df, per, [*[F.col(k).asc_nulls_last() for k in keys], F.col(tie)], "place", bounded=bounded)
+
+
 def with_report(df: DataFrame, reports: DataFrame) -> DataFrame:
     """Facts with their report's company and period (company history)."""
     facts = reports.select("report_id", "company_id", "year", "quarter", "report_type")

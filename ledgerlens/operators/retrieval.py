@@ -27,6 +27,7 @@ from ledgerlens.session import cut_lineage
 QUERY_BLOCK = 20_000
 VECTOR_BLOCK = 200_000
 _EMBED_TOKEN = re.compile(r"[a-z0-9]+")
+REPORT_FILTERS = ["company_id", "year", "quarter", "report_type"]  # held by reports, not by chunks
 FILTERS = ["report_id", "company_id", "year", "quarter", "report_type", "section"]
 
 
@@ -237,6 +238,27 @@ def knn(
     return top_per(partial, ["query_id"], [F.col("score").desc(), F.col("vec_id")], k)
 
 
+def report_base(queries: DataFrame, vectors: DataFrame, reports: DataFrame, filters: tuple[str, ...]) -> DataFrame:
+    """Vectors with the report columns that filters ask for; as they are when they have them all.
+
+    Only then are reports joined (inner), and only those that some query accepts: the
+    different sets of accepted values of the queries and each report's values, each also
+    as "any", meet in a semi-join, so vectors of other reports never reach the search.
+    """
+    needed = [f for f in filters if f in REPORT_FILTERS and f not in vectors.columns]
+    if not needed:
+        return vectors
+    anything, nothing = F.lit("\x00any"), F.lit("\x00null")
+    wanted = _request_columns(queries, needed).select(*[f"want_{f}" for f in needed]).distinct()
+    cells = reports.select("report_id", *needed, *[F.col(f).cast("string").alias(f"want_{f}") for f in needed])
+    for f in needed:
+        w = f"want_{f}"
+        wanted = wanted.withColumn(w, F.explode(F.coalesce(w, F.array(anything))))
+        cells = cells.withColumn(w, F.explode(F.array(F.coalesce(w, nothing), anything)))
+    accepted = cells.join(wanted, [f"want_{f}" for f in needed], "left_semi").select("report_id", *needed).distinct()
+    return vectors.join(accepted, "report_id")
+
+
 def candidate_counts(queries: DataFrame, vectors: DataFrame, filters: tuple[str, ...]) -> DataFrame:
     """Vectors that pass each query's filters, and the share of the corpus they spare."""
     names = list(filters)

@@ -64,6 +64,15 @@ def tone_summary(spark, sf):
     return tone.tone_summary(_tones(spark, sf))
 
 
+@query("tone_list", S.with_tables("""
+SELECT t.tone_id, t.company_id, CAST(row_number() OVER (PARTITION BY t.company_id ORDER BY c.fiscal_year, c.fiscal_quarter NULLS LAST, t.source_type, t.tone_id) AS INTEGER) AS place
+FROM tones_t t JOIN chunks_t c ON c.chunk_id = t.report_id"""))
+def tone_list(spark, sf):
+    periods = derive.document_chunks(spark, sf).select("report_id", "fiscal_year", "fiscal_quarter")
+    tones = _tones(spark, sf).select("tone_id", "company_id", "report_id", "source_type").join(periods, "report_id")
+    return reads.listed(tones, ["company_id"], ["fiscal_year", "fiscal_quarter", "source_type"], tie="tone_id").select("tone_id", "company_id", "place")
+
+
 @query("sentiment_profile", S.with_tables("""
 SELECT company_id, count(*) AS records, min_by(sentiment, -n * 10 + CASE sentiment WHEN 'NEGATIVE' THEN 0 WHEN 'NEUTRAL' THEN 1 ELSE 2 END) AS dominant_sentiment,
        CAST(floor(count(*) FILTER (sentiment = 'NEUTRAL') * 100 / count(*) + 0.5) AS INTEGER) AS neutral_pct,

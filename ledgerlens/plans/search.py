@@ -59,6 +59,24 @@ def filtered_vector_search(spark, sf):
     return retrieval.knn(_requests(spark, sf), derive.vectors(spark, sf), 10, filters=("year", "section"))
 
 
+# year and type belong to the report; two years are asked for, a third of the questions names a type
+S.TABLES["filed_t"] = f"SELECT DISTINCT report_id, year, {S.pick(vocab.REPORT_TYPES, 'vec_id // 20')} AS report_type FROM vectors_t"
+
+
+@query("report_filtered_search", S.with_tables(f"""
+SELECT query_id, vec_id, score, CAST(rn AS INTEGER) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rn
+  FROM (SELECT q.vec_id AS query_id, v.vec_id, {_COS} AS score FROM embeddings q
+        JOIN (vectors_t v JOIN filed_t r USING (report_id)) ON r.year = 2020 + q.vec_id % 2 AND (q.vec_id % 3 <> 0 OR r.report_type = '10-K'))) WHERE rn <= 10"""))
+def report_filtered_search(spark, sf):
+    v, i = derive.vectors(spark, sf), F.col("vec_id")
+    filed = v.select("report_id", "year", derive.pick(vocab.REPORT_TYPES, F.floor(i / 20)).alias("report_type")).distinct()
+    asked = _queries(v).withColumn("year", (F.lit(2020) + F.col("query_id") % 2).cast("int")).withColumn(
+        "report_type", F.when(F.col("query_id") % 3 == 0, F.lit("10-K")))
+    filters = ("year", "report_type")
+    return retrieval.knn(asked, retrieval.report_base(asked, v.drop("year"), filed, filters), 10, filters=filters)
+
+
 @query("candidate_counts", S.with_tables(f"""
 SELECT q.query_id, count(v.vec_id) AS candidates, round_even(greatest(0, 1 - count(v.vec_id) / (SELECT count(*) FROM vectors_t)) * 100, 2) AS reduction_pct
 FROM requests_t q LEFT JOIN vectors_t v ON {_PASS} GROUP BY 1"""))

@@ -204,3 +204,39 @@ def test_display_values(spark):
                                "v decimal(22,6), u string, c string")
     shown = [r[0] for r in df.select(reads.display_amount(F.col("v"), F.col("u"), F.col("c"))).collect()]
     assert shown == ["$1.25B", "EUR 96.7B", "$-1.5K", "—"]
+
+
+def test_reports_are_joined_only_where_a_filter_needs_them(spark):
+    v = spark.createDataFrame([(i, f"r{i % 4}" if i else None, "s0") for i in range(12)], "vec_id long, report_id string, section string")
+    reports = spark.createDataFrame(
+        [("r0", "c1", 2020, None), ("r1", "c1", 2021, 1), ("r2", "c2", 2020, 2), ("r3", "c2", None, 3)],
+        "report_id string, company_id string, year int, quarter int")
+    q = spark.createDataFrame([(1, [1.0], 2020, "c1"), (2, [1.0], 2020, None)], "query_id long, vector array<double>, year int, company_id string")
+    assert retrieval.report_base(q, v, reports, ("section",)) is v
+    joined = retrieval.report_base(q, v, reports, ("section", "year", "company_id"))
+    assert joined.columns == ["report_id", "vec_id", "section", "year", "company_id"]
+    # the second question takes any company of 2020; vectors of 2021 and without a year or a report go
+    assert sorted(r["vec_id"] for r in joined.collect()) == [2, 4, 6, 8, 10]
+    one = retrieval.report_base(q.filter("query_id = 1"), v, reports, ("year", "company_id"))
+    assert sorted(r["vec_id"] for r in one.collect()) == [4, 8]
+    open_ = retrieval.report_base(q.drop("year", "company_id"), v, reports, ("quarter",))
+    assert open_.count() == 11
+    assert retrieval.report_base(q.limit(0), v, reports, ("year",)).count() == 0
+
+
+def test_lists_by_several_keys_have_nulls_last(spark):
+    from ledgerlens.operators import reads
+
+    df = spark.createDataFrame([("a", 2020, None, 1), ("a", 2020, 4, 2), ("a", None, 1, 3), ("a", 2019, None, 4), ("a", 2020, 4, 5), ("b", 1, 1, 6)],
+                               "who string, year int, quarter int, id int")
+    for bounded in (True, False):
+        got = reads.listed(df, ["who"], ["year", "quarter"], tie="id", bounded=bounded).collect()
+        assert {r["id"]: r["place"] for r in got} == {4: 1, 2: 2, 5: 3, 1: 4, 3: 5, 6: 1}
+
+
+def test_every_document_finds_a_report_of_a_company(spark, sf):
+    from ledgerlens.sources import derive
+
+    documents, held = derive.table(spark, sf, "documents"), derive.company_chunks(spark, sf)
+    assert held.count() == documents.count() == held.select("doc_id").distinct().count()
+    assert held.join(derive.reports(spark, sf), ["report_id", "company_id"]).count() == held.count()
