@@ -1,8 +1,8 @@
 """Filtered nearest-neighbour search, fusion, reranking, context and evaluation.
 
-Search is exact.  Vectors stay where they are; a bounded block of queries travels to
-every task, each task keeps its k best per query, and only those rows are shuffled.
-No (query, vector) pair is materialized and nothing is cross-joined.
+Search is exact.  Blocks of queries meet blocks of vectors in one task each, a task keeps
+its k best per query while vectors stream past, and only those rows are merged.  No
+(query, vector) pair is materialized and nothing passes through the driver.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,9 +25,11 @@ from ledgerlens.functions import money, text
 from ledgerlens.functions.grouped import number_rows, running_total, top_per
 from ledgerlens.session import cut_lineage
 
-# Largest query block handed to every task (rows); a 768-dim block stays below 130 MB.
+# Queries a task holds (a 768-dim block stays below 130 MB), vectors that stream past them, and the
+# tile of scores computed at once (16 MB).
 QUERY_BLOCK = 20_000
-VECTOR_BLOCK = 200_000
+VECTOR_BLOCK = 500_000
+QUERY_TILE, VECTOR_TILE = 512, 4096
 _EMBED_TOKEN = re.compile(r"[a-z0-9]+")
 REPORT_FILTERS = ["company_id", "year", "quarter", "report_type"]  # held by reports, not by chunks
 FILTERS = ["report_id", "company_id", "year", "quarter", "report_type", "section"]
@@ -111,82 +115,117 @@ def embed_batches(df: DataFrame, embed: Callable[[list[str]], list[list[float]]]
 
 
 # --- search ---------------------------------------------------------------------------------
-class _Block:
-    """A bounded set of queries with their filters, ready to meet batches of vectors."""
-
-    def __init__(self, rows: pd.DataFrame, k: int, filters: list[str]):
-        q = np.vstack([np.asarray(v, dtype=np.float64) for v in rows["vector"]])
-        self.q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-        self.ids, self.k, self.filters = rows["query_id"].to_numpy(), k, filters
-        self.allowed = {
-            f: [None if v is None else {str(x) for x in v} for v in rows[f"want_{f}"]] for f in filters
-        }
-
-    def mask(self, batch: pd.DataFrame) -> np.ndarray | None:
-        out = None
-        for name in self.filters:
-            codes, values = pd.factorize(batch[name], use_na_sentinel=False)
-            names = ["" if pd.isna(v) else str(int(v) if isinstance(v, float) else v) for v in values]
-            table = np.array([
-                [w is None or (n != "" and n in w) for n in names] for w in self.allowed[name]], dtype=bool)
-            part = table[:, codes]
-            out = part if out is None else out & part
+class _Best:
+    """The k best vectors of each query of a block, kept while vectors stream past in tiles.
+
+    A query's bound is its k-th best score so far; only scores that reach it are looked at.
+    Scores are rounded to six places, and equal ones rank by id, so candidates are taken
+    from one last place below the bound and rounded afterwards.
+    """
+
+    SLACK = 1e-6
+
+    def __init__(self, batches: list[pa.RecordBatch], k: int, filters: list[str], own: bool):
+        block = pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
+        self.q, self.k = _unit_rows(block.column("_v")), k
+        self.query_ids = block.column("query_id")
+        self.own = block.column("_own").to_numpy(zero_copy_only=False) if own else None
+        self.wanted = {}
+        for f in filters:  # queries ask for few different sets of values
+            asked = [None if w is None else frozenset(w) for w in block.column(f"want_{f}").to_pylist()]
+            sets = list(dict.fromkeys(asked))
+            place = {w: i for i, w in enumerate(sets)}
+            self.wanted[f] = np.array([place[w] for w in asked]), sets
+        self.bound = np.full(len(self.q), -np.inf)
+        self.rows, self.scores, self.ids = np.empty(0, np.int64), np.empty(0), None
+
+    def _masks(self, batch: pa.RecordBatch) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Per filter: the queries' set, the vectors' value, and which set accepts which value."""
+        out = []
+        for f, (asked, sets) in self.wanted.items():
+            held = batch.column(f).dictionary_encode(null_encoding="encode")
+            values = held.dictionary.to_pylist()
+            accepts = np.array([[w is None or (x is not None and x in w) for x in values] for w in sets], dtype=bool)
+            out.append((asked, held.indices.to_numpy(zero_copy_only=False), accepts))
         return out
 
-    def scores(self, batch: pd.DataFrame) -> np.ndarray:
-        v = np.vstack([np.asarray(x, dtype=np.float64) for x in batch["embedding"]])
-        v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-        s = np.round(self.q @ v.T, 6) + 0.0
-        keep = self.mask(batch)
-        return s if keep is None else np.where(keep, s, -np.inf)
-
-    def best(self, s: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """k best columns per row by (score down, id up); ``ids`` ascending, so a stable sort does."""
-        if s.shape[1] > self.k:
-            cut = -np.partition(-s, self.k - 1, axis=1)[:, self.k - 1:self.k]
-            live = np.flatnonzero((s >= cut).any(axis=0) )
-            s, ids = s[:, live], ids[live]
-        at = np.argsort(-s, axis=1, kind="stable")[:, :self.k]
-        return np.take_along_axis(s, at, axis=1), ids[at]
-
-    def search(self, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Running k best of one partition, emitted once at its end."""
-        top_s = np.full((len(self.ids), 0), -np.inf)
-        top_i = None
-        for batch in frames:
-            if batch.empty:
+    def add(self, batch: pa.RecordBatch) -> None:
+        v, ids, masks = _unit_rows(batch.column("_v")), batch.column("vec_id").to_numpy(zero_copy_only=False), self._masks(batch)
+        if v.shape[1] != self.q.shape[1]:
+            raise ValueError(f"queries have {self.q.shape[1]} dimensions, vectors {v.shape[1]}")
+        for at in range(0, len(v), VECTOR_TILE):
+            cols = slice(at, at + VECTOR_TILE)
+            found = [(self.rows, self.ids, self.scores)] if self.ids is not None else []
+            for start in range(0, len(self.q), QUERY_TILE):
+                r, c, s = self._hits(slice(start, start + QUERY_TILE), v[cols], ids[cols], [(a, h[cols], t) for a, h, t in masks])
+                found.append((r + start, ids[cols][c], s))
+            self._settle(*(np.concatenate(x) for x in zip(*found, strict=True)))
+
+    def _hits(self, queries: slice, v: np.ndarray, ids: np.ndarray, masks: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        s = self.q[queries] @ v.T
+        for asked, held, accepts in masks:
+            s[~accepts[asked[queries]][:, held]] = -np.inf
+        if self.own is not None:
+            s[self.own[queries][:, None] == ids[None, :]] = -np.inf
+        bound = self.bound[queries]
+        if s.shape[1] > self.k and not np.isfinite(bound).all():
+            bound = np.maximum(bound, -np.partition(-s, self.k - 1, axis=1)[:, self.k - 1])
+        r, c = np.nonzero((s >= bound[:, None] - self.SLACK) & np.isfinite(s))
+        return r, c, np.round(s[r, c], 6) + 0.0
+
+    def _settle(self, rows: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        order = np.argsort(ids, kind="stable")
+        order = order[np.argsort(-scores[order], kind="stable")]
+        order = order[np.argsort(rows[order], kind="stable")]
+        rows = rows[order]
+        place = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left")
+        keep = place < self.k
+        full = place == self.k - 1
+        self.bound[rows[full]] = scores[order][full]
+        self.rows, self.ids, self.scores = rows[keep], ids[order][keep], scores[order][keep]
+
+    def results(self, id_type: pa.DataType) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [self.query_ids.take(pa.array(self.rows)), pa.array(self.ids, type=id_type), pa.array(self.scores, type=pa.float64())],
+            names=["query_id", "vec_id", "score"])
+
+
+def _unit_rows(vectors: pa.ListArray) -> np.ndarray:
+    """One row per vector, of length 1 (a zero vector stays zero); all must have one dimension."""
+    size = pc.unique(pc.list_value_length(vectors)).to_pylist()
+    if len(size) != 1:
+        raise ValueError(f"vectors of different dimensions: {sorted(size)}")
+    m = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), size[0])
+    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+
+
+def _search(batches: Iterator[pa.RecordBatch], k: int, filters: list[str], own: bool) -> Iterator[pa.RecordBatch]:
+    """Cells of one partition, each its queries first and then its vectors, which only stream past."""
+    cell, asked, best, id_type = None, [], None, None
+    for batch in batches:
+        id_type = batch.schema.field("vec_id").type
+        keys = batch.column("_cell").to_numpy()
+        vector = batch.column("_vector").to_numpy(zero_copy_only=False)
+        cuts = [0, *(np.flatnonzero((np.diff(keys) != 0) | (vector[1:] != vector[:-1])) + 1).tolist(), batch.num_rows]
+        for start, end in zip(cuts, cuts[1:], strict=False):
+            if start == end:
                 continue
-            batch = batch.sort_values("vec_id", kind="stable")
-            for at in range(0, len(batch), 4096):
-                part = batch.iloc[at:at + 4096]
-                s, ids = self.best(self.scores(part), part["vec_id"].to_numpy())
-                if top_i is None:
-                    top_s, top_i = s, ids
-                else:
-                    top_s, top_i = self.merge(top_s, top_i, s, ids)
-        if top_i is not None:
-            rows, cols = np.nonzero(np.isfinite(top_s))
-            yield pd.DataFrame({
-                "query_id": self.ids[rows], "vec_id": top_i[rows, cols], "score": top_s[rows, cols]})
-
-    def merge(self, s1, i1, s2, i2):
-        s, i = np.hstack([s1, s2]), np.hstack([i1, i2])
-        by_id = np.argsort(i, axis=1, kind="stable")
-        s, i = np.take_along_axis(s, by_id, 1), np.take_along_axis(i, by_id, 1)
-        at = np.argsort(-s, axis=1, kind="stable")[:, :self.k]
-        return np.take_along_axis(s, at, 1), np.take_along_axis(i, at, 1)
-
-    def count(self, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(len(self.ids), dtype=np.int64)
-        for batch in frames:
-            if len(batch):
-                keep = self.mask(batch)
-                total += len(batch) if keep is None else keep.sum(axis=1)
-        yield pd.DataFrame({"query_id": self.ids, "candidates": total})
-
-
-def _request_columns(queries: DataFrame, filters: list[str]) -> DataFrame:
-    """query_id, vector and one array of accepted values per filter (NULL accepts all)."""
+            part = batch.slice(start, end - start)
+            if keys[start] != cell:
+                if best is not None and best.ids is not None:
+                    yield best.results(id_type)
+                cell, asked, best = keys[start], [], None
+            if not vector[start]:
+                asked.append(part)
+            elif asked:
+                best = best or _Best(asked, k, filters, own)
+                best.add(part)
+    if best is not None and best.ids is not None:
+        yield best.results(id_type)
+
+
+def _request_columns(queries: DataFrame, filters: list[str], *more: str) -> DataFrame:
+    """query_id, vector, ``more`` and one array of accepted values per filter (NULL accepts all)."""
     have = {c: t for c, t in queries.dtypes}
     def want(name: str) -> Column:
         if name not in have:
@@ -195,46 +234,58 @@ def _request_columns(queries: DataFrame, filters: list[str]) -> DataFrame:
             return F.when(F.size(name) > 0, F.col(name).cast("array<string>"))
         return F.when(F.col(name).isNotNull(), F.array(F.col(name).cast("string")))
 
-    return queries.select("query_id", "vector", *[want(f).alias(f"want_{f}") for f in filters])
+    return queries.select("query_id", "vector", *more, *[want(f).alias(f"want_{f}") for f in filters])
 
 
 def knn(
     queries: DataFrame, vectors: DataFrame, k: int = vocab.TOP_K_DEFAULT, *, filters: tuple[str, ...] = (),
-    query_block: int = QUERY_BLOCK, vector_block: int = VECTOR_BLOCK,
+    own: str | None = None, query_block: int = QUERY_BLOCK, vector_block: int = VECTOR_BLOCK,
 ) -> DataFrame:
     """Exact cosine top-k of every query: query_id, vec_id, score (6 places), rank.
 
     ``queries`` has query_id, vector and optionally one column per filter, a value or an
     array of accepted values; NULL accepts everything.  Filters apply before ranking.
-
-    Up to ``query_block`` queries (checked) are shipped to the tasks.  Beyond that both
-    sides are cut into hash blocks and every pair of blocks meets in its own task, so no
-    task holds more than one block of each, and again only k rows per query leave it.
+    ``own`` names a column of ``queries`` with the id of a vector that its query must not
+    find (judged questions that were made from a stored chunk).  Rows of either side
+    without an id or a vector take no part; a repeated vector is found as often as it
+    occurs.  All vectors must have one dimension.
+
+    One plan at every size, and nothing but two counts reaches the driver.  Queries and
+    vectors are dealt by hash into blocks, and each pair of blocks is a cell of its own
+    partition.  A task holds the queries of its cell, at most about ``query_block``, while
+    the vectors stream past in tiles against each query's k-th best score so far; k rows
+    per query leave a cell, and Spark cuts them to k per task again before it merges them.
     """
     filters = list(filters)
-    requests = _request_columns(queries, filters)
-    pool = vectors.filter(F.col("embedding").isNotNull()).select("vec_id", "embedding", *filters)
-    types = dict(requests.dtypes), dict(pool.dtypes)
-    schema = f"query_id {types[0]['query_id']}, vec_id {types[1]['vec_id']}, score double"
-    rows = requests.limit(query_block + 1).toPandas()
-    if len(rows) <= query_block:
-        if rows.empty:
-            partial = requests.sparkSession.createDataFrame([], schema)
-        else:
-            partial = pool.mapInPandas(_Block(rows, k, filters).search, schema)
-    else:
-        nq = -(-requests.count() // query_block)
-        nv = max(1, -(-pool.count() // vector_block))
-
-        def meet(key, q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
-            out = list(_Block(q, k, filters).search(iter([v]))) if len(q) and len(v) else []
-            return out[0] if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-
-        qs = requests.withColumn("_q", F.pmod(F.xxhash64("query_id"), F.lit(nq))).withColumn(
-            "_v", F.explode(F.sequence(F.lit(0), F.lit(nv - 1))))
-        vs = pool.withColumn("_v", F.pmod(F.xxhash64("vec_id"), F.lit(nv)).cast("int")).withColumn(
-            "_q", F.explode(F.sequence(F.lit(0), F.lit(nq - 1)).cast("array<bigint>")))
-        partial = qs.groupBy("_q", "_v").cogroup(vs.groupBy("_q", "_v")).applyInPandas(meet, schema)
+    spark = queries.sparkSession
+    wants = [f"want_{f}" for f in filters]
+    own_id = F.lit(None).cast(dict(vectors.dtypes)["vec_id"]) if own is None else F.col(own).cast(dict(vectors.dtypes)["vec_id"])
+    requests = _request_columns(queries.withColumn("_own", own_id), filters, "_own").filter(
+        F.col("query_id").isNotNull() & F.col("vector").isNotNull())
+    pool = vectors.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull())
+    counts = {r["s"]: r["n"] for r in requests.select(F.lit("q").alias("s")).unionAll(pool.select(F.lit("v"))).groupBy("s").agg(
+        F.count(F.lit(1)).alias("n")).collect()}
+    nq = max(1, -(-counts.get("q", 0) // query_block))
+    fewest = -(-spark.sparkContext.defaultParallelism // nq)  # cells for every core, if each has a tile to do
+    nv = max(1, -(-counts.get("v", 0) // vector_block), min(fewest, -(-counts.get("v", 0) // QUERY_TILE)))
+
+    types = dict(requests.dtypes)["vector"], dict(pool.dtypes)["embedding"]
+    kind = types[0] if types[0] == types[1] else "array<double>"
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    none = lambda t: F.lit(None).cast(t)
+    asked = requests.select(
+        F.explode(F.sequence(F.lit(0), F.lit(nv - 1))).alias("_b"), block("query_id", nq).alias("_a"), F.lit(False).alias("_vector"),
+        "query_id", none(dict(pool.dtypes)["vec_id"]).alias("vec_id"), F.col("vector").cast(kind).alias("_v"), "_own", *wants,
+        *[none("string").alias(f) for f in filters])
+    held = pool.select(
+        block("vec_id", nv).alias("_b"), F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("_a"), F.lit(True).alias("_vector"),
+        none(dict(requests.dtypes)["query_id"]).alias("query_id"), "vec_id", F.col("embedding").cast(kind).alias("_v"),
+        none(dict(pool.dtypes)["vec_id"]).alias("_own"), *[none("array<string>").alias(w) for w in wants],
+        *[F.col(f).cast("string").alias(f) for f in filters])
+    cells = asked.unionByName(held).withColumn("_cell", F.col("_a") * nv + F.col("_b")).drop("_a", "_b")
+    schema = f"query_id {dict(requests.dtypes)['query_id']}, vec_id {dict(pool.dtypes)['vec_id']}, score double"
+    partial = cells.repartitionById(nq * nv, "_cell").sortWithinPartitions("_cell", "_vector").mapInArrow(
+        lambda batches: _search(batches, k, filters, own is not None), schema)
     return top_per(partial, ["query_id"], [F.col("score").desc(), F.col("vec_id")], k)
 
 

@@ -240,3 +240,45 @@ def test_every_document_finds_a_report_of_a_company(spark, sf):
     documents, held = derive.table(spark, sf, "documents"), derive.company_chunks(spark, sf)
     assert held.count() == documents.count() == held.select("doc_id").distinct().count()
     assert held.join(derive.reports(spark, sf), ["report_id", "company_id"]).count() == held.count()
+
+
+def test_knn_leaves_out_own_vectors_and_rows_without_id_or_vector(spark):
+    data, v = vectors(spark)
+    odd = v.unionByName(v.filter("vec_id = 3")).unionByName(v.limit(1).withColumn("vec_id", F.lit(None).cast("long"))).unionByName(
+        v.limit(1).withColumn("vec_id", F.lit(-1).cast("long")).withColumn("embedding", F.lit(None).cast(dict(v.dtypes)["embedding"])))
+    q = v.filter("vec_id < 6").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"), F.col("vec_id").alias("made_from"))
+    q = q.unionByName(q.limit(1).withColumn("query_id", F.lit(99).cast("long")).withColumn("vector", F.lit(None).cast(dict(q.dtypes)["vector"])))
+    got = retrieval.knn(q, odd, 4, own="made_from", query_block=3, vector_block=50).collect()
+    want = set()
+    for qid, a, *_ in data[:6]:
+        a, scored = np.array(a), []
+        for vid, b, *_ in [*data, data[3]]:
+            if vid != qid:
+                b = np.array(b)
+                scored.append((-round(float(a @ b / np.linalg.norm(a) / np.linalg.norm(b)), 6), vid))
+        want |= {(qid, vid, i + 1) for i, (_, vid) in enumerate(sorted(scored)[:4])}
+    assert {(r["query_id"], r["vec_id"], r["rank"]) for r in got} == want and len(got) == 24
+
+
+def test_knn_of_no_queries_no_vectors_and_text_ids(spark):
+    _, v = vectors(spark)
+    q = v.limit(3).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    assert retrieval.knn(q.limit(0), v, 3).count() == 0
+    assert retrieval.knn(q, v.limit(0), 3).count() == 0
+    named = v.withColumn("vec_id", F.concat(F.lit("chunk-"), F.col("vec_id")))
+    asked = q.withColumn("query_id", F.concat(F.lit("q"), F.col("query_id")))
+    got = {(r["query_id"][1:], r["vec_id"][6:]) for r in retrieval.knn(asked, named, 1).collect()}
+    assert got == {(str(r["query_id"]),) * 2 for r in q.collect()}
+
+
+def test_knn_sends_one_plan_at_every_size(spark):
+    """Queries reach the tasks by the same exchange, in one block or many, and equal scores rank by id."""
+    v = spark.createDataFrame([(i, [1.0, float(i % 3)]) for i in range(90)], "vec_id long, embedding array<double>")
+    q = v.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    plans, answers = [], []
+    for block in (20_000, 10):
+        out = retrieval.knn(q, v, 4, query_block=block, vector_block=30)
+        plans.append([line.split("(")[0] for line in out._jdf.queryExecution().optimizedPlan().toString().split("\n") if "MapInArrow" in line or "Repartition" in line])
+        answers.append({(r["query_id"], r["vec_id"], r["rank"]) for r in out.collect()})
+    assert len(plans[0]) == len(plans[1]) == 2
+    assert answers[0] == answers[1] == {(i, i % 3 + 3 * j, j + 1) for i in range(90) for j in range(4)}
