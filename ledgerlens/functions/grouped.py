@@ -58,7 +58,8 @@ def _spread(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     ).drop("_gid")
 
 
-def _null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """Join on keys of which NULL equals NULL; the keys are those of ``left``."""
     marked = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys],
                           *[c for c in right.columns if c not in keys])
     cond = None
@@ -85,7 +86,7 @@ def number_rows(
     # a group has at most one row per range partition here
     before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = parts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    joined = _null_safe(frozen, offsets, [*keys, "_part"], "inner")
+    joined = null_safe_join(frozen, offsets, [*keys, "_part"], "inner")
     position = F.col("_before") + F.col("_at") - F.col("_first") + 1
     return joined.withColumn(name, position.cast("int")).drop("_part", "_at", "_first", "_before")
 
@@ -102,7 +103,7 @@ def running_total(
     parts = frozen.groupBy(*keys, "_part").agg(F.sum(value).alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = parts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    joined = _null_safe(frozen, offsets, [*keys, "_part"], "inner")
+    joined = null_safe_join(frozen, offsets, [*keys, "_part"], "inner")
     local = (
         Window.partitionBy(*keys, "_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
     )

@@ -263,7 +263,8 @@ def knn(
     requests = _request_columns(queries.withColumn("_own", own_id), filters, "_own").filter(
         F.col("query_id").isNotNull() & F.col("vector").isNotNull())
     pool = vectors.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull())
-    counts = {r["s"]: r["n"] for r in requests.select(F.lit("q").alias("s")).unionAll(pool.select(F.lit("v"))).groupBy("s").agg(
+    # all rows count, with a vector or not, so that no vector is computed for it
+    counts = {r["s"]: r["n"] for r in queries.select(F.lit("q").alias("s")).unionAll(vectors.select(F.lit("v"))).groupBy("s").agg(
         F.count(F.lit(1)).alias("n")).collect()}
     nq = max(1, -(-counts.get("q", 0) // query_block))
     fewest = -(-spark.sparkContext.defaultParallelism // nq)  # cells for every core, if each has a tile to do
@@ -650,13 +651,15 @@ def _merged(requests: DataFrame, chunks: DataFrame, embed: Callable[[Column], Co
     rewritten = rewrite_query(q, F.col("_cls")) if rewrite else q
     asked = F.array(hypothetical_passage(rewritten)) if passage else (sub_queries(q) if rewrite else F.array(q))
     pinned = [c for c in FILTERS if c in requests.columns]
-    subs = base.select(
-        F.col("query_id").alias("_root"), F.posexplode(asked).alias("_i", "_text"), *pinned
-    ).withColumn("query_id", F.concat_ws("#", "_root", "_i")).withColumn("vector", embed(F.col("_text")))
-    subs, filters = _profiled(subs, pinned, profile)
-    found = knn(subs, chunks.withColumnRenamed("chunk_id", "vec_id"), depth, filters=filters)
-    return cut_lineage(fuse(found.select(
-        F.regexp_replace("query_id", "#[0-9]+$", "").alias("query_id"), F.col("vec_id").alias("chunk_id"), "score")))
+    # what is asked, by its text and filters: many requests come to the same passage, which is embedded and searched once
+    subs = base.select(F.col("query_id").cast("string").alias("_root"), F.explode(asked).alias("_text"), *pinned).withColumn(
+        "_ask", F.sha2(F.to_json(F.struct("_text", *pinned)), 256))
+    asks = subs.dropDuplicates(["_ask"]).select(F.col("_ask").alias("query_id"), *pinned, embed(F.col("_text")).alias("vector"))
+    asks, filters = _profiled(asks, pinned, profile)
+    found = knn(asks, chunks.withColumnRenamed("chunk_id", "vec_id"), depth, filters=filters)
+    asked_by = subs.select(F.col("_root").alias("query_id"), "_ask").distinct()
+    return cut_lineage(fuse(found.withColumnRenamed("query_id", "_ask").join(asked_by, "_ask").select(
+        "query_id", F.col("vec_id").alias("chunk_id"), "score")))
 
 
 def _ranked(

@@ -284,17 +284,18 @@ def _events(spark, sf):
     return raw.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def _finished(spark, df, mode):
+def _finished(spark, df, key=None):
+    """The result of a stream over all that is there: appended rows, or the newest row of each key."""
     base = shared_folder(spark)
     folder = f"{base.rstrip('/')}/stream-{spark.sparkContext.applicationId}-{spark.sql('select uuid()').first()[0]}"
-    streams.run_to_table(df, f"{folder}/out", f"{folder}/state", mode=mode).awaitTermination()
-    return streams.read_version(spark, f"{folder}/out") if mode != "append" else spark.read.schema(df.schema).parquet(f"{folder}/out")
+    streams.run_to_table(df, f"{folder}/out", f"{folder}/state", mode="update" if key else "append").awaitTermination()
+    return streams.read_merged(spark, f"{folder}/out", key) if key else spark.read.schema(df.schema).parquet(f"{folder}/out")
 
 
 @query("streamed_hourly_counts", """
 SELECT epoch_us(date_trunc('hour', ts)) // 1000000 AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2""")
 def streamed_hourly_counts(spark, sf):
-    out = _finished(spark, streams.stream_counts(_events(spark, sf)), "complete")
+    out = _finished(spark, streams.stream_counts(_events(spark, sf)), ["window_start", "event_type"])
     return out.select(F.unix_seconds("window_start").alias("window_start"), "event_type", "n")
 
 
@@ -303,9 +304,8 @@ SELECT w AS window_start, user_id, count(*) AS n, count(*) > 1 AS limited FROM (
   SELECT user_id, unnest([s - 20, s - 10, s]) * 1 AS w, t FROM (SELECT user_id, epoch_us(ts) / 1000000.0::DOUBLE AS t, (epoch_us(ts) // 10000000) * 10 AS s FROM events))
 WHERE t >= w AND t < w + 30 GROUP BY 1, 2""")
 def streamed_user_rates(spark, sf):
-    rates = streams.stream_rate(_events(spark, sf), window="30 seconds", slide="10 seconds", limit=1)
-    out = _finished(spark, rates, "complete")
-    return out.select(F.unix_seconds("window_start").alias("window_start"), "user_id", "n", "limited")
+    slices = _finished(spark, streams.stream_slices(_events(spark, sf)), ["slice_start", "user_id"])
+    return streams.sliding_counts(slices, window=30, limit=1)
 
 
 @query("streamed_unique_texts", """
@@ -314,7 +314,7 @@ def streamed_unique_texts(spark, sf):
     raw = streams.read_stream(spark, sf, "doc_id bigint, text string, source string", glob="documents.parquet")
     chunks = raw.select(
         F.col("source").alias("report_id"), F.col("text").alias("chunk_text"), F.timestamp_seconds(F.lit(1700000000)).alias("ts"))
-    out = _finished(spark, streams.stream_dedupe(chunks).select("report_id", "content_hash"), "append")
+    out = _finished(spark, streams.stream_dedupe(chunks).select("report_id", "content_hash"))
     return out.groupBy(F.col("report_id").alias("source")).agg(F.count(F.lit(1)).alias("unique_texts"))
 
 

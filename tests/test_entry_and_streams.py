@@ -67,3 +67,59 @@ def test_stream_dedupe_keeps_first(spark, tmp_path):
     df = streams.stream_dedupe(streams.read_stream(spark, src, "report_id string, chunk_text string, ts timestamp"))
     streams.run_to_table(df, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3
+
+
+def test_risks_of_a_report_do_not_depend_on_the_batches_its_pages_come_in(spark, tmp_path):
+    schema = streams.PAGES_SCHEMA
+    pages = [("a", 3, "Supply chain problems are a risk."), ("a", 1, "A data breach is a risk."), ("b", 1, "Supply chain problems are a risk."),
+             ("a", 2, "Supply chain problems and a data breach are a risk."), (None, 1, "A data breach is a risk."), ("c", 1, None)]
+
+    def landed(name, batches):
+        src, out = str(tmp_path / name / "in"), str(tmp_path / name / "reports")
+        for rows in batches:
+            spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+            streams.stream_pages(streams.read_stream(spark, src, schema), str(tmp_path / name / "tone"), str(tmp_path / name / "risk"),
+                                 str(tmp_path / name / "state"), out).awaitTermination()
+        return out
+
+    def table(path):
+        return sorted(map(str, streams.read_latest(spark, path, ["report_id"]).select(
+            "report_id", "risk_id", "normalized_risk_name", "source_chunk_id", "page_number", "confidence_score").collect()))
+
+    one, three = landed("one", [pages]), landed("three", [pages[:2], pages[2:3], pages[3:]])
+    assert table(one) == table(three) and len(table(one)) == 4
+    # a page that no longer names a risk retracts it, and the next page that names it takes over
+    src = str(tmp_path / "three" / "in")
+    quiet = [("b", 1, "Calm."), ("a", 2, "Calm.")]
+    spark.createDataFrame(quiet, schema).coalesce(1).write.mode("append").parquet(src)
+    streams.stream_pages(streams.read_stream(spark, src, schema), *(str(tmp_path / "three" / n) for n in ("tone", "risk", "state", "reports"))).awaitTermination()
+    left = {(r["report_id"], r["page_number"]) for r in streams.read_latest(spark, three, ["report_id"]).collect()}
+    assert left == {("a", 3), ("a", 1), (None, 1)}
+    before = table(three)
+    assert streams.fold_batches(spark, three, ["report_id"]) == 3
+    assert table(three) == before
+
+
+def test_update_streams_write_what_changed_and_drop_late_rows(spark, tmp_path):
+    src, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    schema = "user_id bigint, t bigint"
+
+    def land(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        events = streams.read_stream(spark, src, schema).withColumn("ts", F.timestamp_seconds("t"))
+        streams.run_to_table(streams.stream_slices(events, slide="10 seconds", late="1 minute"), out, state, mode="update").awaitTermination()
+
+    land([(1, 1000), (1, 1005), (1, 1012), (2, 1001), (None, 1003)])
+    land([(1, 1019), (2, 1300)])
+    land([(1, 1020), (2, 1301)])  # the first is over a minute behind the 1300 seen before
+    written = spark.read.parquet(f"{out}/rows").groupBy("batch").count().filter("count > 0")
+    per_batch = [r["count"] for r in written.orderBy("batch").collect()]
+    assert per_batch[0] == 4 and sum(per_batch) == 7  # 4 slices, 2 changed, 1 changed
+    slices = streams.read_merged(spark, out, ["slice_start", "user_id"])
+    assert {tuple(r) for r in slices.select("slice_start", "user_id", "n").collect()} == {
+        (1000, 1, 2), (1010, 1, 2), (1000, 2, 1), (1000, None, 1), (1300, 2, 2)}
+    got = {(r["window_start"], r["user_id"]): (r["n"], r["limited"]) for r in streams.sliding_counts(slices, window=30, limit=3).collect()}
+    assert got[(1000, 1)] == got[(990, 1)] == (4, True) and got[(980, 1)] == (2, False) and got[(1010, 1)] == (2, False)
+    assert got[(980, None)] == (1, False) and len(got) == 4 + 3 + 3 + 3
+    with pytest.raises(ValueError):
+        streams.sliding_counts(slices, window=25)
