@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens import vocab
+from ledgerlens.functions.grouped import null_safe_join, running_total
 
 
 def counts_by(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
@@ -85,22 +86,27 @@ def latency_stats(samples: DataFrame, key: str, value: str) -> DataFrame:
         F.bround(F.first("min_v"), 1).alias("min"), F.bround(F.first("max_v"), 1).alias("max"))
 
 
-def trailing_counts(events: DataFrame, user: str, ts: str, *, seconds: int, limit: int, slice_seconds: int = 900) -> DataFrame:
+def trailing_counts(events: DataFrame, user: str, ts: str, *, seconds: int, limit: int) -> DataFrame:
     """Events of the same user in (now - window, now], and whether that exceeds the limit.
 
-    Time is cut into slices at least as long as the window.  Every event also visits the
-    next slice as history, so each (user, slice) is counted on its own and a very busy
-    user spreads over as many tasks as there are slices.
+    The count up to now less the count up to now - window: each different moment of a user
+    and the border of its window go into one sort of the whole table, and running totals
+    over its partitions give both counts.  Events of one moment are counted beforehand,
+    and no task holds a user or a stretch of time, however many events fall there.
+
+    An event without a time stays and has 0 in its window; events without a user are those
+    of one user.
     """
-    from pyspark.sql import Window
-
-    width = max(seconds, slice_seconds)
-    us = F.unix_micros(F.col(ts).cast("timestamp"))
-    home = F.floor(us / F.lit(width * 1_000_000))
-    late = us >= (home + 1) * (width * 1_000_000) - seconds * 1_000_000
-    seen = events.withColumn("_us", us).withColumn(
-        "_at", F.explode(F.when(late, F.array(home, home + 1)).otherwise(F.array(home)))
-    ).withColumn("_own", F.col("_at") == home)
-    w = Window.partitionBy(user, "_at").orderBy("_us").rangeBetween(-(seconds * 1_000_000) + 1, 0)
-    return seen.withColumn("in_window", F.count(F.lit(1)).over(w)).filter("_own").drop("_us", "_at", "_own").withColumn(
+    us = F.col("_us")
+    timed = events.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp")))
+    moments = timed.filter(us.isNotNull()).groupBy(user, "_us").agg(F.count(F.lit(1)).alias("_n"))
+    border = us - F.lit(seconds * 1_000_000)
+    line = moments.select(user, F.explode(F.array(
+        F.struct(us.alias("_at"), F.lit(False).alias("_border"), us, F.col("_n")),
+        F.struct(border.alias("_at"), F.lit(True).alias("_border"), us, F.lit(0).cast("bigint").alias("_n")))).alias("_row")).select(user, "_row.*")
+    totals = running_total(line, [user], [F.col("_at"), F.col("_border"), us], "_n", "_total")
+    counts = totals.groupBy(user, "_us").agg(
+        F.sum(F.when(F.col("_border"), -F.col("_total")).otherwise(F.col("_total"))).alias("_inside"))
+    return null_safe_join(timed, counts, [user, "_us"], "left").withColumn(
+        "in_window", F.coalesce("_inside", F.lit(0).cast("bigint"))).drop("_us", "_inside").withColumn(
         "limited", F.col("in_window") > limit)

@@ -282,3 +282,18 @@ def test_knn_sends_one_plan_at_every_size(spark):
         answers.append({(r["query_id"], r["vec_id"], r["rank"]) for r in out.collect()})
     assert len(plans[0]) == len(plans[1]) == 2
     assert answers[0] == answers[1] == {(i, i % 3 + 3 * j, j + 1) for i in range(90) for j in range(4)}
+
+
+def test_trailing_counts_of_a_burst_of_one_user_ties_and_missing_values(spark):
+    rng = np.random.default_rng(5)
+    times = [int(t) for t in rng.integers(0, 40, 400)] + [0, 60, 60, 61]  # one user, many ties, exact borders
+    data = [(i, "hot", t) for i, t in enumerate(times)] + [(1000, None, 5), (1001, None, 5), (1002, "b", None), (1003, "b", 7)]
+    df = spark.createDataFrame(data, "id long, u string, t long").withColumn("ts", F.timestamp_seconds("t")).repartition(6)
+    out = summaries.trailing_counts(df, "u", "ts", seconds=60, limit=2)
+    got = {r["id"]: (r["in_window"], r["limited"]) for r in out.collect()}
+    want = {i: 0 if t is None else sum(v == u and x is not None and t - 60 < x <= t for _, v, x in data) for i, u, t in data}
+    assert got == {i: (n, n > 2) for i, n in want.items()}
+    assert summaries.trailing_counts(df.limit(0), "u", "ts", seconds=60, limit=2).count() == 0
+    # no window is partitioned by the user alone: totals run within a range partition
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.split("\n") if "Window [" in line and "_part" not in line]
