@@ -213,19 +213,21 @@ def _previous_guidance(history: DataFrame, name: str) -> DataFrame:
     """The company's guidance points with the one before, one point per period position.
 
     The choice of the earlier point is the latest strictly earlier period, so a company's
-    window holds at most one row per period.
+    window holds at most one row per period, with the points of that period in a list.
     """
     points = history.filter(F.col("normalized_metric_name") == name).withColumn(
         "_ord", money.period_order(F.col("fiscal_year"), F.col("fiscal_quarter"))
     )
+    now = F.struct("metric_id", "value")
     slots = points.groupBy("company_id", "_ord").agg(
-        F.max_by(F.struct("metric_id", "value"), "metric_id").alias("_p")
+        F.max_by(now, "metric_id").alias("_p"), F.collect_list(F.struct("report_id", now.alias("_now"))).alias("_here")
     )
     w = Window.partitionBy("company_id").orderBy("_ord")
-    before = slots.select("company_id", "_ord", F.lag("_p").over(w).alias("_before"))
-    return points.join(before, ["company_id", "_ord"]).select(
-        "company_id", "report_id", F.struct("metric_id", "value").alias("_now"), "_before"
-    )
+    # a point without a company or period asks for nothing, though one without a period comes before all others
+    placed = F.col("company_id").isNotNull() & F.col("_ord").isNotNull()
+    return slots.withColumn("_before", F.lag("_p").over(w)).filter(placed).select(
+        "company_id", "_before", F.explode("_here").alias("_h")
+    ).select("company_id", "_h.report_id", "_h._now", "_before")
 
 
 def guidance_signals(metrics: DataFrame, history: DataFrame | None = None) -> DataFrame:
@@ -327,14 +329,15 @@ def build_analytics(
 ) -> DataFrame:
     """All ratios and signals of every report in one table, validated and free of duplicates."""
     located = comparisons if "report_id" in comparisons.columns else attach_report(comparisons, metrics)
+    # codes of different kinds differ and leverage has one row a code: duplicates are dropped
+    # kind by kind, where rows lie already, and not after the union, which forgets where
+    def unique(signals: DataFrame) -> DataFrame:
+        return first_per(signals, ["company_id", "report_id", "signal_code", "metric_name"], [F.array_join("supporting_metric_ids", "|")])
+
     signals = (
-        comparison_signals(located, thresholds=thresholds, pct_scale=pct_scale)
+        unique(comparison_signals(located, thresholds=thresholds, pct_scale=pct_scale))
         .unionByName(leverage_signals(located))
-        .unionByName(guidance_signals(metrics, history))
+        .unionByName(unique(guidance_signals(metrics, history)))
         .filter(F.col("severity").isin(vocab.SIGNAL_SEVERITIES))
     )
-    unique = first_per(
-        signals, ["company_id", "report_id", "signal_code", "metric_name"],
-        [F.array_join("supporting_metric_ids", "|")],
-    )
-    return ratio_rows(valid_ratios(ratios(metrics))).select(*OUTPUT).unionByName(unique.select(*OUTPUT))
+    return ratio_rows(valid_ratios(ratios(metrics))).select(*OUTPUT).unionByName(signals.select(*OUTPUT))

@@ -16,35 +16,36 @@ def best_points(metrics: DataFrame, keys: list[str] = POINT) -> DataFrame:
     return first_per(metrics, keys, [-F.col("confidence_score"), F.col("metric_id")])
 
 
-def _paired(points: DataFrame, types: tuple[str, ...], carry: tuple[str, ...] = ()) -> DataFrame:
+def _paired(points: DataFrame, types: tuple[str, ...]) -> DataFrame:
     """Each point and comparison with the value of its counterpart period, NULL if absent.
 
-    A self-join would compute ``points`` twice.  Instead every point is sent once to its
-    own period (what it offers) and once to each period it asks for; one grouping by
-    (company, metric, year, quarter) brings the at most three rows of a key together.
-    ``points`` holds one row per key, see :func:`best_points`.
+    A self-join would compute ``points`` twice.  Instead each point looks at the one right
+    before it: among those of its quarter (annual points among themselves) for the year
+    before, among all quarters for the quarter before.  If the counterpart exists, it is
+    that one.  ``points`` holds one row per key, see :func:`best_points`, and a company few
+    periods; where companies lie together already, nothing is shuffled.
     """
     y, q = F.col("fiscal_year"), F.col("fiscal_quarter")
-    roles = {
-        "HAVE": F.struct(F.lit("HAVE").alias("role"), y.alias("y"), q.alias("q")),
-        "YOY": F.when(y.isNotNull(), F.struct(F.lit("YOY").alias("role"), (y - 1).alias("y"), q.alias("q"))),
-        "QOQ": F.when(y.isNotNull() & q.isNotNull(), F.struct(
-            F.lit("QOQ").alias("role"), F.when(q == 1, y - 1).otherwise(y).alias("y"),
-            F.when(q == 1, F.lit(4)).otherwise(q - 1).alias("q"))),
+    series = ["company_id", "normalized_metric_name"]
+    asks = {  # type: (it applies, counterpart year and quarter, window)
+        "YOY": (y.isNotNull(), y - 1, q, Window.partitionBy(*series, "fiscal_quarter").orderBy("fiscal_year")),
+        "QOQ": (y.isNotNull() & q.isNotNull(), F.when(q == 1, y - 1).otherwise(y), F.when(q == 1, F.lit(4)).otherwise(q - 1),
+                Window.partitionBy(*series, q.isNull()).orderBy("fiscal_year", "fiscal_quarter")),
     }
-    sent = points.withColumn("_r", F.explode(F.array_compact(F.array(*[roles[r] for r in ("HAVE", *types)]))))
-    role = F.col("_r.role")
-    row = F.struct("metric_id", "fiscal_year", "fiscal_quarter", "value", *carry)
-    met = sent.groupBy(
-        "company_id", "normalized_metric_name", F.col("_r.y").alias("prev_year"), F.col("_r.q").alias("prev_quarter")
-    ).agg(
-        F.max(F.when(role == "HAVE", F.col("value"))).alias("previous_value"),
-        *[F.max(F.when(role == t, row)).alias(t) for t in types],
-    )
-    asked = F.array_compact(F.array(*[
-        F.when(F.col(t).isNotNull(), F.struct(F.lit(t).alias("comparison_type"), F.col(t).alias("p"))) for t in types]))
-    keys = ["company_id", "normalized_metric_name", "prev_year", "prev_quarter", "previous_value"]
-    return met.select(*keys, F.explode(asked).alias("_a")).select(*keys, "_a.comparison_type", "_a.p.*")
+    seen = points
+    for t in types:
+        seen = seen.withColumn(f"_{t}", F.lag(F.struct(y.alias("y"), q.alias("q"), "value")).over(asks[t][3]))
+
+    def asked(t: str) -> Column:
+        applies, year, quarter, _ = asks[t]
+        before = F.col(f"_{t}")
+        found = (before["y"] == year) & before["q"].eqNullSafe(quarter)
+        return F.when(applies, F.struct(
+            F.lit(t).alias("comparison_type"), year.alias("prev_year"), quarter.cast("int").alias("prev_quarter"),
+            F.when(found, before["value"]).alias("previous_value")))
+
+    return seen.select(*points.columns, F.explode(F.array_compact(F.array(*[asked(t) for t in types]))).alias("_a")).select(
+        *points.columns, "_a.*")
 
 
 def compare_periods(
@@ -58,7 +59,7 @@ def compare_periods(
     points = metrics if deduped else best_points(metrics)
     points = points.select("metric_id", *POINT, "value", *carry)
     cur, prev = F.col("value"), F.col("previous_value")
-    return _paired(points, types, carry).filter("previous_value is not null").select(
+    return _paired(points, types).filter("previous_value is not null").select(
         "metric_id", "company_id", *carry,
         F.col("normalized_metric_name").alias("metric_name"), "comparison_type",
         money.period_label(F.col("fiscal_year"), F.col("fiscal_quarter")).alias("current_period"),

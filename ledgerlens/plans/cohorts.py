@@ -118,9 +118,10 @@ FROM (SELECT *, {" + ".join(f"CASE WHEN {k}_score IS NOT NULL THEN {v}::DOUBLE E
 
 # --- queries ------------------------------------------------------------------------------
 def _profile(spark, sf):
-    # each stage that several branches read is written once
-    reports = cut_lineage(derive.reports(spark, sf))
-    metrics = cut_lineage(derive.metrics(spark, sf))
+    # each stage that several branches read is written once; metrics are made again from the sums, ten times smaller
+    quarters = cut_lineage(derive.quarter_sums(spark, sf))
+    reports = cut_lineage(derive.reports(spark, sf, quarters))
+    metrics = derive.metrics(spark, sf, quarters)
     text = derive.company_chunks(spark, sf, reports)
     found = cut_lineage(risks.extract_risks(text))
     comparisons = periods.compare_periods(metrics, deduped=True, carry=("report_id",))

@@ -193,9 +193,9 @@ SELECT company_id, report_id, CASE WHEN signal_code = 'DEBT_TO_REVENUE' THEN 'LE
 
 
 def _analytics(spark, sf):
-    # several branches read the metrics: they are written once, as the stages of a job would be
-    m = cut_lineage(derive.metrics(spark, sf))
-    return analytics.build_analytics(m, cut_lineage(periods.compare_periods(m, deduped=True, carry=("report_id",))))
+    # several branches read the metrics: the sums they are made of are written once, a tenth of their size
+    m = derive.metrics(spark, sf, cut_lineage(derive.quarter_sums(spark, sf)))
+    return analytics.build_analytics(m, periods.compare_periods(m, deduped=True, carry=("report_id",)))
 
 
 @query("report_analytics", S.with_tables("SELECT * FROM analytics_t"))
@@ -256,9 +256,8 @@ def analytics_summary(spark, sf):
 
 @query("comparisons_of_reports", S.with_tables("SELECT report_id, metric_id, comparison_type, percentage_change FROM comparisons_t"))
 def comparisons_of_reports(spark, sf):
-    m = derive.metrics(spark, sf)
-    return analytics.attach_report(periods.compare_periods(m, deduped=True), m).select(
-        "report_id", "metric_id", "comparison_type", "percentage_change")
+    # a comparison carries the report of its current metric, so no metric is looked up by its id
+    return _comparisons(spark, sf, located=True).select("report_id", "metric_id", "comparison_type", "percentage_change")
 
 
 @query("company_metric_history", S.with_tables("""
