@@ -25,6 +25,20 @@ def _nest(df: DataFrame, key: str, fields: list, order: list[str], name: str, k:
     return packed.select(key, F.transform("_a", lambda x: x["_s"]).alias(name))
 
 
+def _num(c: Column) -> Column:
+    return F.coalesce(F.format_number(c.cast("double"), 2), F.lit("N/A"))
+
+
+def _lines(arr, cells) -> Column:
+    """The rows of a markdown table."""
+    return F.array_join(F.transform(arr, lambda x: F.concat(F.lit("| "), F.concat_ws(" | ", *cells(x)), F.lit(" |"))), "\n")
+
+
+def _comparison_cells(x: Column) -> list[Column]:
+    return [x["metric_name"], x["comparison_type"], _num(x["current_value"]), _num(x["previous_value"]),
+            F.coalesce(F.concat(_fix(x["percentage_change"] * 100, 2), F.lit("%")), F.lit("N/A"))]
+
+
 def package(
     reports: DataFrame, companies: DataFrame, metrics: DataFrame, comparisons: DataFrame, analytics: DataFrame,
     risks: DataFrame, tones: DataFrame, chunks: DataFrame, benchmark: DataFrame,
@@ -49,9 +63,6 @@ def package(
     branches = [
         _nest(metrics, "report_id", ["metric_name", F.col("value").cast("double").alias("value"), "unit", "metric_category"],
               ["metric_id"], "metrics"),
-        _nest(comparisons.drop("report_id"), "company_id",
-              ["metric_name", "comparison_type", "current_value", "previous_value", "percentage_change"],
-              ["metric_id", "comparison_type"], "comparisons"),
         _nest(analytics, "report_id", ["signal_type", "metric_name", "signal_code", "value", "explanation"],
               ["signal_code", "metric_name"], "analytics"),
         _nest(located, "report_id", ["risk_id", "category", "severity", "risk_description", "source_chunk_id", "page_number"],
@@ -61,10 +72,16 @@ def package(
             (F.col("positive_score") - F.col("negative_score")).alias("sentiment_score")], ["seq", "tone_id"], "tones"),
         _nest(chunks, "report_id", ["chunk_id", "chunk_text", F.coalesce("start_page", F.lit(1)).alias("page_number"), "section"],
               ["start_page", "chunk_index"], "evidence", vocab.MEMO_EVIDENCE_CHUNKS),
+        # last: from here on every report holds the rows of its whole company, and no such row is shuffled
+        _nest(comparisons.drop("report_id"), "company_id",
+              ["metric_name", "comparison_type", "current_value", "previous_value", "percentage_change"],
+              ["metric_id", "comparison_type"], "comparisons").withColumn(
+                  "comparison_lines", _lines("comparisons", _comparison_cells)),  # once a company, not once a report
     ]
-    out = base.join(benchmark.drop("cohort_id").dropDuplicates(["company_id"]).select(
+    base = base.join(benchmark.drop("cohort_id").dropDuplicates(["company_id"]).select(
         "company_id", F.struct("overall_score", "financial_score", "risk_score", "tone_score",
                                "capital_allocation_score", "rank").alias("benchmark")), "company_id", "left")
+    out = base
     for branch in branches:
         out = out.join(branch, branch.columns[0], "left")
     return out
@@ -121,8 +138,10 @@ def section_texts() -> list[Column]:
         F.lit("/100. Relational dimension performance breakdown: Financial performance scored "), score("financial_score"),
         F.lit(", risk metrics scored "), score("risk_score"), F.lit(", management commentary tone scored "), score("tone_score"),
         F.lit(", and capital allocation scored "), score("capital_allocation_score"), F.lit(".")))
+    # three are shown at most, so no more are put into words
+    three = lambda arr, cond: F.slice(F.filter(some(c(arr)), cond), 1, 3)
     grown = F.transform(
-        F.filter(some(c("comparisons")), lambda x: x["percentage_change"] > 0),
+        three("comparisons", lambda x: x["percentage_change"] > 0),
         lambda x: F.concat(F.lit("growth in "), x["metric_name"], F.lit(" ("), pct(x, True), F.lit(")")))
     leader = F.when(b["rank"] <= 3, F.array(F.concat(
         F.lit("top-tier ranking ("), b["rank"].cast("int"), F.lit(") within peer benchmarking cohort")))).otherwise(
@@ -133,10 +152,10 @@ def section_texts() -> list[Column]:
         F.when(F.size(ups) > 0, F.concat(F.lit("Indicators include "), F.array_join(ups, ", "), F.lit("."))).otherwise(
             F.lit("No significant positive growth comparisons were deterministically verified.")))
     severe = F.transform(
-        F.filter(some(c("risks")), lambda r: r["severity"].isin("CRITICAL", "HIGH")),
+        three("risks", lambda r: r["severity"].isin("CRITICAL", "HIGH")),
         lambda r: F.concat(r["category"], F.lit(" risk ("), F.substring(r["risk_description"], 1, 50), F.lit("...)")))
     shrunk = F.transform(
-        F.filter(some(c("comparisons")), lambda x: x["percentage_change"] < 0),
+        three("comparisons", lambda x: x["percentage_change"] < 0),
         lambda x: F.concat(F.lit("decline in "), x["metric_name"], F.lit(" ("), pct(x, False), F.lit(")")))
     downs = F.slice(F.concat(severe, shrunk), 1, 3)
     bear = F.concat(
@@ -152,8 +171,12 @@ def section_texts() -> list[Column]:
     return [overview, financial, risk, management, position, bull, bear, questions]
 
 
-def write_memo(packages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(memos, sections): the deterministic memo of every package."""
+def drafts(packages: DataFrame) -> DataFrame:
+    """One row per package with all that a memo needs of it: texts, citations, and the numbers of its own report.
+
+    What a package nests of the whole company is left behind, so drafts can be written
+    where packages, a company's rows times its reports, are too large.
+    """
     c = F.col
     first = F.try_element_at(F.coalesce("evidence", F.expr(
         "cast(array() as array<struct<chunk_id:string,chunk_text:string,page_number:int,section:string>>)")), F.lit(1))
@@ -161,22 +184,30 @@ def write_memo(packages: DataFrame) -> tuple[DataFrame, DataFrame]:
         c("report_id"), first["chunk_id"].alias("chunk_id"), first["page_number"].alias("page_number"),
         F.coalesce(first["section"], F.lit("Overview")).alias("section_name"), F.lit("text_chunk").alias("source_type"),
         F.substring(first["chunk_text"], 1, 200).alias("text_snippet"))))
-    memos = packages.select(
-        F.col("report_id").alias("memo_id"), "report_id",
+    parts = F.array(*[
+        F.struct(F.lit(n).alias("section_order"), F.lit(name).alias("section_name"), body.alias("content"))
+        for n, (name, body) in enumerate(zip(vocab.MEMO_SECTIONS, section_texts()), start=1)])
+    return packages.select(
+        F.col("report_id").alias("memo_id"), "report_id", "company_id",
         F.concat(F.lit("Investment Memo: "), c("company_name"), F.lit(" ("), c("reporting_period"), F.lit(" "),
                  c("reporting_year"), F.lit(")")).alias("title"),
         F.concat(
             F.lit("This structured investment memo compiles relational intelligence for "), c("company_name"),
             F.lit(" based on the "), c("report_title"),
             F.lit(". Key findings highlight financial metrics, risk profiles, management commentary tone, and "
-                  "competitive benchmarking performance.")).alias("executive_summary"))
-    parts = F.array(*[
-        F.struct(F.lit(n).alias("section_order"), F.lit(name).alias("section_name"), body.alias("content"))
-        for n, (name, body) in enumerate(zip(vocab.MEMO_SECTIONS, section_texts()), start=1)])
-    sections = packages.select(
-        F.col("report_id").alias("memo_id"), F.explode(parts).alias("_p"), cite.alias("citations")
-    ).select("memo_id", "_p.*", "citations")
-    return memos, sections
+                  "competitive benchmarking performance.")).alias("executive_summary"),
+        parts.alias("parts"), cite.alias("citations"), _own_numbers().alias("own_numbers"))
+
+
+def memo_tables(drafted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(memos, sections) of drafts."""
+    memos = drafted.select("memo_id", "report_id", "title", "executive_summary")
+    return memos, drafted.select("memo_id", F.explode("parts").alias("_p"), "citations").select("memo_id", "_p.*", "citations")
+
+
+def write_memo(packages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(memos, sections): the deterministic memo of every package."""
+    return memo_tables(drafts(packages))
 
 
 # --- grounding ---------------------------------------------------------------------------------
@@ -186,32 +217,58 @@ def numbers_in(body: Column) -> Column:
         F.regexp_extract_all(body, F.lit(f"({NUMBER})"), F.lit(1)), lambda n: F.regexp_replace(n, "[,%]", ""))
 
 
-def allowed_values(packages: DataFrame) -> DataFrame:
-    """(memo_id, value): every source number of a package, and the same rounded to 0, 1 and 2 places."""
-    d = lambda x: x.cast("double")
-    empty = F.array().cast("array<double>")
-    pull = lambda arr, *fields: F.coalesce(
-        F.flatten(F.transform(arr, lambda x: F.array(*[d(x[f]) for f in fields]))), empty)
+def _pull(rows, *fields: str) -> Column:
+    return F.coalesce(F.flatten(F.transform(rows, lambda x: F.array(*[x[f].cast("double") for f in fields]))), F.array().cast("array<double>"))
+
+
+def _own_numbers() -> Column:
+    """The source numbers of a package, but for the comparisons of its company."""
     year, b = F.col("reporting_year"), F.col("benchmark")
-    own = F.array(*[d(x) for x in (
+    own = F.array(*[x.cast("double") for x in (
         year, year - 1, year + 1, year % 100, b["overall_score"], b["financial_score"], b["risk_score"],
         b["tone_score"], b["capital_allocation_score"], b["rank"])])
-    everything = F.concat(
-        own, pull("metrics", "value"), pull("comparisons", "current_value", "previous_value", "percentage_change"),
-        pull("analytics", "value"), pull("risks", "page_number"), pull("tones", "sentiment_score", "hedging_score"),
-        pull("evidence", "page_number"))
-    values = packages.select(F.col("report_id").alias("memo_id"), F.explode(everything).alias("_v"))
+    return F.concat(
+        own, _pull("metrics", "value"), _pull("analytics", "value"), _pull("risks", "page_number"),
+        _pull("tones", "sentiment_score", "hedging_score"), _pull("evidence", "page_number"))
+
+
+_COMPARED = ["current_value", "previous_value", "percentage_change"]
+
+
+def _with_roundings(numbers: DataFrame, key: str) -> DataFrame:
+    """(key, value) of ``_v`` and the same rounded to 0, 1 and 2 places, each once."""
     forms = F.array("_v", *[F.bround("_v", places) for places in (0, 1, 2)])
-    return values.select("memo_id", F.explode(F.array_distinct(forms)).alias("value")).filter("value is not null").distinct()
+    return numbers.select(key, F.explode(F.array_distinct(forms)).alias("value")).filter("value is not null").distinct()
+
+
+def allowed_values(packages: DataFrame) -> DataFrame:
+    """(memo_id, value): every source number of a package, and the same rounded to 0, 1 and 2 places."""
+    everything = F.concat(_own_numbers(), _pull("comparisons", *_COMPARED))
+    return _with_roundings(packages.select(F.col("report_id").alias("memo_id"), F.explode(everything).alias("_v")), "memo_id")
 
 
-def check_grounding(texts: DataFrame, allowed: DataFrame, *, fail_at: int = vocab.GROUNDING_FAIL_AT) -> DataFrame:
+def own_values(drafted: DataFrame) -> DataFrame:
+    """(memo_id, value) of drafts: :func:`allowed_values` without the comparisons."""
+    return _with_roundings(drafted.select("memo_id", F.explode("own_numbers").alias("_v")), "memo_id")
+
+
+def company_values(comparisons: DataFrame) -> DataFrame:
+    """(company_id, value): what the comparisons of a company add to the values of each of its memos."""
+    numbers = F.array(*[F.col(c).cast("double") for c in _COMPARED])
+    return _with_roundings(comparisons.select("company_id", F.explode(numbers).alias("_v")), "company_id")
+
+
+def check_grounding(
+    texts: DataFrame, allowed: DataFrame, shared: DataFrame | None = None, *, fail_at: int = vocab.GROUNDING_FAIL_AT,
+) -> DataFrame:
     """Numbers of each memo without a source value nearby: absolute 1 or relative 2 percent.
 
     ``texts`` is (memo_id, body), ``allowed`` (memo_id, value).  Numbers near a count up to
     20 or near 100, and the years 2010..2030, always pass.  The band join is an equi-join: source
     values are put into buckets of one percent of their magnitude, texts look into the
-    buckets their band touches, so no number meets all values of its memo.
+    buckets their band touches, so no number meets all values of its memo.  ``shared`` is
+    (company_id, value), values that hold for all memos of a company; ``texts`` then have
+    ``company_id`` too, and these values are not repeated for each memo.
     """
     found = texts.select("memo_id", F.explode(numbers_in(F.col("body"))).alias("_n")).withColumn(
         "number", F.col("_n").try_cast("double")).filter("number is not null")
@@ -222,13 +279,18 @@ def check_grounding(texts: DataFrame, allowed: DataFrame, *, fail_at: int = voca
     bucket = lambda v: F.floor(F.log(F.abs(v) + 1) * 32).cast("int")
     low = lambda v: F.least(v - 1.0, v / 1.02)
     high = lambda v: F.greatest(v + 1.0, v / 0.98)
-    values = allowed.filter(F.col("value").isNotNull()).select(
-        "memo_id", F.col("value").cast("double").alias("value")).distinct().withColumn("_b", bucket(F.col("value")))
+    values = lambda df, key: df.filter(F.col("value").isNotNull()).select(
+        key, F.col("value").cast("double").alias("value")).distinct().withColumn("_b", bucket(F.col("value")))
     probe = grouped.withColumn("_b", F.explode(F.sequence(
         bucket(F.greatest(F.lit(0.0), low(F.col("number")))), bucket(high(F.col("number"))))))
     gap = F.abs(F.col("value") - F.col("number"))
     near = (gap <= 1.0) | ((F.col("value") != 0) & (gap / F.abs("value") <= 0.02))
-    hits = probe.join(values, ["memo_id", "_b"]).filter(near).select("memo_id", "number").distinct()
+    hits = probe.join(values(allowed, "memo_id"), ["memo_id", "_b"]).filter(near).select("memo_id", "number")
+    if shared is not None:
+        of_company = probe.join(texts.select("memo_id", "company_id").distinct(), "memo_id")
+        hits = hits.unionByName(
+            of_company.join(values(shared, "company_id"), ["company_id", "_b"]).filter(near).select("memo_id", "number"))
+    hits = hits.distinct()
     loose = grouped.join(hits, ["memo_id", "number"], "left_anti").groupBy("memo_id").agg(
         F.sum("times").alias("ungrounded"))
     return texts.select("memo_id").distinct().join(loose, "memo_id", "left").select(
@@ -236,10 +298,10 @@ def check_grounding(texts: DataFrame, allowed: DataFrame, *, fail_at: int = voca
         (F.coalesce("ungrounded", F.lit(0)) >= fail_at).alias("failed"))
 
 
-def validate_memos(texts: DataFrame, allowed: DataFrame) -> DataFrame:
-    """Prohibited phrases and grounding of each memo."""
+def validate_memos(texts: DataFrame, allowed: DataFrame, shared: DataFrame | None = None) -> DataFrame:
+    """Prohibited phrases and grounding of each memo; see :func:`check_grounding`."""
     flagged = texts.select("memo_id", quality.phrase_flags(F.col("body"), vocab.PROHIBITED_PHRASES).alias("phrases"))
-    return flagged.join(check_grounding(texts, allowed), "memo_id").withColumn(
+    return flagged.join(check_grounding(texts, allowed, shared), "memo_id").withColumn(
         "accepted", (F.size("phrases") == 0) & ~F.col("failed"))
 
 
@@ -302,24 +364,22 @@ def citation_rates(sections: DataFrame) -> DataFrame:
 # --- evidence tables ---------------------------------------------------------------------------------
 def evidence_tables(packages: DataFrame) -> DataFrame:
     """One markdown text per package with a table per branch."""
-    def table(title: str, columns: list[str], arr: str, cells, none: str) -> Column:
+    def table(title: str, columns: list[str], arr: str, lines: Column, none: str) -> Column:
         head = f"### {title}\n| " + " | ".join(columns) + " |\n|" + " :--- |" * len(columns) + "\n"
-        line = lambda x: F.concat(F.lit("| "), F.concat_ws(" | ", *cells(x)), F.lit(" |"))
-        body = F.concat(F.lit(head), F.array_join(F.transform(arr, line), "\n"), F.lit("\n"))
+        body = F.concat(F.lit(head), lines, F.lit("\n"))
         return F.when(F.coalesce(F.size(arr), F.lit(0)) == 0, F.lit(f"### {title}\n{none}\n")).otherwise(body)
 
-    num = lambda c: F.coalesce(F.format_number(c.cast("double"), 2), F.lit("N/A"))
+    made = "comparison_lines" in packages.columns
     parts = [
-        table("Financial Metrics", ["Metric Name", "Value", "Category"], "metrics",
-              lambda m: [m["metric_name"], F.concat_ws(" ", num(m["value"]), m["unit"]), m["metric_category"]],
+        table("Financial Metrics", ["Metric Name", "Value", "Category"], "metrics", _lines(
+            "metrics", lambda m: [m["metric_name"], F.concat_ws(" ", _num(m["value"]), m["unit"]), m["metric_category"]]),
               "No financial metrics found matching the query criteria."),
         table("Period-over-Period Comparisons", ["Metric Name", "Type", "Current Val", "Prev Val", "% Change"], "comparisons",
-              lambda x: [x["metric_name"], x["comparison_type"], num(x["current_value"]), num(x["previous_value"]),
-                         F.coalesce(F.concat(_fix(x["percentage_change"] * 100, 2), F.lit("%")), F.lit("N/A"))],
-              "No comparison records found."),
-        table("Risk Factors", ["Category", "Severity", "Description"], "risks",
-              lambda r: [r["category"], r["severity"], r["risk_description"]], "No risk factors found."),
-        table("Management Tone", ["Sentiment", "Confidence Level", "Hedging Score"], "tones",
-              lambda t: [t["sentiment"], t["confidence_level"], _fix(t["hedging_score"], 3)], "No management tone records found."),
+              F.col("comparison_lines") if made else _lines("comparisons", _comparison_cells), "No comparison records found."),
+        table("Risk Factors", ["Category", "Severity", "Description"], "risks", _lines(
+            "risks", lambda r: [r["category"], r["severity"], r["risk_description"]]), "No risk factors found."),
+        table("Management Tone", ["Sentiment", "Confidence Level", "Hedging Score"], "tones", _lines(
+            "tones", lambda t: [t["sentiment"], t["confidence_level"], _fix(t["hedging_score"], 3)]),
+              "No management tone records found."),
     ]
     return packages.select("report_id", F.concat_ws("\n\n", *parts).alias("fused_evidence"))
