@@ -23,7 +23,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The row with the smallest id of each group of near copies: MinHash finds, exact Jaccard 0.8 of five-word shingles decides."""
+    """The row with the smallest id of each group of near copies: SimHash by planned pigeonhole finds, then MinHash what is further apart; exact Jaccard 0.8 of five-word shingles decides."""
     return simhash_near_dedup.keep_one(docs, words=5, similarity=0.8)
 
 

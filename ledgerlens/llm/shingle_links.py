@@ -1,17 +1,21 @@
-"""Near copies by the exact Jaccard similarity of word shingles: MinHash bands find, the texts decide.
+"""Near copies by the exact Jaccard similarity of word shingles: SimHash and MinHash bands find, the texts decide.
 
 1. Rows with the same set of shingles are one node (128 bits of hash of the sorted set).
-2. A node is filed under ``BANDS`` keys, each made of ``BAND_ROWS`` minima.  Two sets of
+2. A node has the SimHash of its set.  ``simhash_near_dedup`` finds the classes of all
+   fingerprints within its radius, by the planned pigeonhole; each member of a class is
+   compared with the class's first node, and what has the similarity is one component.
+3. At 0.8 fingerprints lie further apart than that radius more often than not.  So a node is
+   also filed under ``BANDS`` keys, each made of ``BAND_ROWS`` minima.  Two sets of
    Jaccard J share a key with chance 1 - (1 - J^BAND_ROWS)^BANDS: 0.99993 at 0.8, for sets
    of any size, and more above.  This is the only place where a pair can be missed, but for
    the one bit kept of each minimum: pairs that differ in more than ``FAR_BITS`` of 120 are
    passed over, which at 0.8 happens to fewer than one in a million.
-3. In rounds, every bucket whose members are not yet one component names a lead and all
+4. In rounds, every bucket whose members are not yet one component names a lead and all
    members of other components are compared with it.  The lead then needs no more
    comparison there.  This costs one row per member, and near copies by the thousand are one
-   component after a round or two.  There are rounds while step 4 would send more than
+   component after a round or two.  There are rounds while step 5 would send more than
    ``WORTH`` rows a member, ``ROUNDS`` at most.
-4. In buckets that still hold several components, members outside the largest are dealt in
+5. In buckets that still hold several components, members outside the largest are dealt in
    blocks against blocks of all members.  A task counts shared shingles of two blocks
    exactly, by a matrix product, and lets go only links that join components.
 
@@ -29,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import text_slices, unused
-from ledgerlens.llm.simhash_near_dedup import _mixed, connected_components, shingle_hashes
+from ledgerlens.llm.simhash_near_dedup import _mixed, connected_components, fingerprint_links, majority_bits, shingle_hashes
 from ledgerlens.session import cut_lineage
 
 BANDS, BAND_ROWS = 24, 5
@@ -57,7 +61,7 @@ def _shingle_set(text: bytes, words: int) -> np.ndarray:
 
 
 def sketches(keyed: DataFrame, words: int) -> DataFrame:
-    """``h1``, ``h2``, ``doc_id``, and of the text: two hashes of its set, number of shingles, bits of the minima, band keys."""
+    """``h1``, ``h2``, ``doc_id``, and of the text: two hashes of its set, number of shingles, SimHash, bits of the minima, band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -75,13 +79,13 @@ def sketches(keyed: DataFrame, words: int) -> DataFrame:
                 bands[some, band] = _mixed(bands[some, band] ^ low, band + 1)
             node = [np.fromiter((xxhash.xxh64_intdigest(s.tobytes(), seed) for s in sets), np.uint64, len(sets)) for seed in (SEED, SEED + 1)]
             at = np.arange(0, bands.size + 1, BANDS, dtype=np.int32)
-            made = [*[pa.array(h.view(np.int64)) for h in node], pa.array(counts), *[pa.array(b.view(np.int64)) for b in bits],
+            made = [*[pa.array(h.view(np.int64)) for h in node], pa.array(counts), pa.array(majority_bits(flat, counts).view(np.int64)), *[pa.array(b.view(np.int64)) for b in bits],
                     pa.ListArray.from_arrays(pa.array(at), pa.array(bands.view(np.int64).ravel()))]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:3], *made], names=["h1", "h2", "doc_id", "set1", "set2", "n", "s0", "s1", "bands"])
+                [*batch.columns[:3], *made], names=["h1", "h2", "doc_id", "set1", "set2", "n", "f0", "s0", "s1", "bands"])
 
     return keyed.select("h1", "h2", "doc_id", "text").mapInArrow(
-        run, "h1 long, h2 long, doc_id long, set1 long, set2 long, n long, s0 long, s1 long, bands array<long>")
+        run, "h1 long, h2 long, doc_id long, set1 long, set2 long, n long, f0 long, s0 long, s1 long, bands array<long>")
 
 
 def _may_be_near(x: str, y: str, similarity: float) -> Column:
@@ -98,6 +102,21 @@ def _shared(x: np.ndarray, y: np.ndarray) -> int:
     return int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
 
 
+def fingerprint_pairs(nodes: DataFrame, similarity: float) -> DataFrame:
+    """``lead`` and ``node`` of each node whose SimHash links, over any number of others, to that of an earlier node.
+
+    One pair a node: the lead is the first node of the whole class.
+    """
+    some = nodes.filter("n > 0").select("node", "n", "f0", "s0", "s1")
+    me = F.struct("node", "n", "s0", "s1")
+    prints = cut_lineage(some.groupBy("f0").agg(F.min(me).alias("lead")))
+    reached = connected_components(fingerprint_links(prints.select("f0"))).select(F.col("node").alias("f0"), "root")
+    classes = prints.join(reached, "f0", "left").select("f0", "lead", F.coalesce("root", "f0").alias("root"))
+    leads = classes.select("f0", "root").join(classes.groupBy("root").agg(F.min("lead").alias("lead")), "root").select("f0", "lead")
+    return some.join(leads, "f0").filter((F.col("node") != F.col("lead.node")) & _may_be_near("", "lead.", similarity)).select(
+        F.col("lead.node").alias("lead"), "node")
+
+
 def _star_links(pairs: DataFrame, own: DataFrame, words: int, similarity: float) -> DataFrame:
     """Those of the pairs (``lead``, ``node``) whose shingle sets have the similarity.
 
@@ -224,18 +243,27 @@ def _links_batch(links: list[tuple[int, int]]) -> pa.RecordBatch:
 
 def near_roots(nodes: DataFrame, texts: DataFrame, words: int, similarity: float, *, rounds: int = ROUNDS) -> DataFrame:
     """``node`` and ``root`` of every node that has a link: components of all pairs found of Jaccard ``similarity`` or more."""
-    filed = nodes.filter("n > 0").select(F.explode("bands").alias("key"), "node", "n", "s0", "s1")
-    shared = filed.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("key")
-    labelled = cut_lineage(filed.join(shared, "key")).withColumn("root", F.col("node"))
-    wanted = labelled.select("node").distinct().join(nodes.select("node", "first.h1", "first.h2"), "node")
+    keys = nodes.filter("n > 0").select(F.explode("bands").alias("key"), "node")
+    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("key")
+    met = cut_lineage(keys.join(shared, "key").select("node").distinct())
+    alike = cut_lineage(fingerprint_pairs(nodes, similarity))
+    wanted = met.unionByName(alike.select("node")).unionByName(alike.select(F.col("lead").alias("node"))).distinct().join(
+        nodes.select("node", "first.h1", "first.h2"), "node")
     own = cut_lineage(texts.join(wanted, ["h1", "h2"]).select("node", "text").dropDuplicates(["node"]))
-    roots = labelled.select("node", "root").limit(0)
+    # each node has one lead here, and no lead has another
+    stars = cut_lineage(_star_links(alike, own, words, similarity))
+    roots = stars.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(stars.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
+    # of the bands only buckets that the fingerprints left in several components
+    filed = nodes.join(met, "node", "left_semi").join(roots, "node", "left").select(
+        F.explode("bands").alias("key"), "node", "n", "s0", "s1", F.coalesce("root", "node").alias("root"))
+    still = filed.groupBy("key").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).filter("_low <> _high").select("key")
+    labelled = cut_lineage(filed.join(still, "key"))
     for k in range(rounds + 1):
         plan = cut_lineage(_block_plan(labelled).filter("_sent > 0"))
         size = plan.agg(F.sum("_n"), F.sum("_sent")).first()
         if not size[0]:
             break
-        last = k == rounds or 0 < k and size[1] <= WORTH * size[0]
+        last = k == rounds or size[1] <= WORTH * size[0]
         labelled = labelled.join(plan.select("key"), "key", "left_semi")
         if last:
             more = _block_links(labelled, plan, own, words, similarity)
@@ -269,7 +297,7 @@ def keep_least(docs: DataFrame, *, words: int = 5, similarity: float = 0.8) -> D
     rows = marked.groupBy("h1", "h2", "doc_id", "set1", "set2").agg((F.count(F.lit(1)) > 1).alias("repeated"))
     me = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h1", "h2")
     # numbered once both hashes have told the sets apart; the frozen copy keeps the numbers
-    nodes = cut_lineage(marked.groupBy("set1", "set2").agg(F.min(me).alias("first"), F.first(F.struct("n", "s0", "s1", "bands")).alias("_s")).select(
+    nodes = cut_lineage(marked.groupBy("set1", "set2").agg(F.min(me).alias("first"), F.first(F.struct("n", "f0", "s0", "s1", "bands")).alias("_s")).select(
         F.monotonically_increasing_id().alias("node"), "set1", "set2", "first", "_s.*"))
     roots = near_roots(nodes, texts.drop("doc_id"), words, similarity)
     linked = nodes.select("node", "first").join(roots, "node")

@@ -394,11 +394,11 @@ def duplicate_classes(
 
 
 def keep_one(docs: DataFrame, *, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """One row of each class of texts with Jaccard ``similarity``: MinHash finds, see ``shingle_links.keep_least``.
+    """One row of each class of texts with Jaccard ``similarity``, see ``shingle_links.keep_least``.
 
-    Fingerprint bits do not decide here: at 0.8 the distance of two fingerprints spreads
-    evenly around any limit put there, and a radius that finds nearly all pairs cannot be
-    probed by pigeonhole.
+    Fingerprints within the radius find near copies, and the texts decide.  At 0.8 the distance of
+    two fingerprints spreads evenly around any limit put there, and a radius that finds nearly
+    all pairs cannot be probed by pigeonhole, so MinHash bands find those further apart.
     """
     from ledgerlens.llm.shingle_links import keep_least
 

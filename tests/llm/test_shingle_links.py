@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from ledgerlens.llm import shingle_links as m
@@ -86,3 +87,21 @@ def test_ids_decide_on_no_other_text(spark):
     rows = [(1, texts[0]), (1, texts[1]), (1, texts[1]), (2, texts[0]), (None, texts[2]), (None, texts[2]), (None, texts[3]), (None, texts[1])]
     left = [tuple(r) for r in m.keep_least(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
     assert sorted(left, key=str) == sorted([(1, texts[0]), (1, texts[1]), (None, texts[2]), (None, texts[3])], key=str)
+
+
+def test_fingerprints_find_without_bands(spark):
+    """Near copies are found by their SimHash alone, by no band key; texts further apart than 0.8 are not joined."""
+    rng = random.Random(9)
+    rows, want = [], set()
+    for i in range(60):
+        w = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+        rows.append((2 * i, " ".join(w)))
+        far = i % 3 == 0
+        rows.append((2 * i + 1, " ".join([f"y{rng.randrange(10**6)}" for _ in w] if far else [*w, "end"])))
+        want |= set() if far else {2 * i, 2 * i + 1}
+    texts = m.with_row_key(spark.createDataFrame(rows, "doc_id long, text string"), ["h1", "h2"])
+    sketch = m.sketches(texts, 5).withColumn("node", F.col("doc_id")).withColumn("first", F.struct("h1", "h2"))
+    nodes = sketch.withColumn("bands", F.array().cast("array<long>"))
+    roots = {r["node"]: r["root"] for r in m.near_roots(nodes, texts, 5, 0.8).collect()}
+    assert all(root == node - node % 2 for node, root in roots.items())
+    assert set(roots) <= want and len(roots) >= 0.9 * len(want)
