@@ -297,3 +297,11 @@ def test_trailing_counts_of_a_burst_of_one_user_ties_and_missing_values(spark):
     # no window is partitioned by the user alone: totals run within a range partition
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert not [line for line in plan.split("\n") if "Window [" in line and "_part" not in line]
+
+
+def test_contexts_for_every_hundredth_conversation(spark, sf):
+    from ledgerlens.plans import search
+
+    want = {r[0] for r in search._asked(spark, sf).filter("conv_id % 100 = 0").select(F.sha2("query", 256)).collect()}
+    got = [r["query_id"] for r in search.general_context(spark, sf).collect()]
+    assert want and len(got) == len(set(got)) and set(got) == want
