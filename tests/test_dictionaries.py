@@ -1,6 +1,7 @@
 import random
 
 import pytest
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ledgerlens.operators import dictionaries, extract, risks
@@ -104,3 +105,21 @@ def test_large_dictionaries_are_joined_not_written_into_the_plan(spark, bodies):
     found = dictionaries.word_matches(texts, "id", "body", terms)
     assert "term 19999" not in found._jdf.queryExecution().toString()
     assert found.count() == 0
+
+
+def test_only_runs_that_may_be_in_the_dictionary_leave_a_task(spark):
+    rng = random.Random(8)
+    body = " ".join(f"w{rng.randrange(5000)}" for _ in range(20_000))
+    frame = pd.DataFrame({"_key": [1], "_body": [body], "_shape": [{"sizes": [1, 2], "edge": 0, "longest": 30}], "_sizes": [[2, 4]]})
+    words = dictionaries._bitmap(spark.createDataFrame([(w,) for w in ("w17", "w18 w19", "\x01w17", "\x01w18")], "w string").select(F.crc32("w").alias("hash")))
+    rows = pd.concat(dictionaries._word_grams(words)(iter([frame])))
+    assert body.split().count("w17") == (rows["gram"] == "w17").sum() and len(rows) < 60
+    hashes = dictionaries._anchor_hash(pd.Series(["w177"]))
+    anchors = dictionaries._bitmap(spark.createDataFrame([(int(h),) for h in hashes], "hash long"))
+    rows = pd.concat(dictionaries._character_grams(anchors)(iter([frame])))
+    assert "w177" in set(rows["gram"]) and len(rows) < 60
+
+
+def test_runs_across_slices_are_found(spark, monkeypatch):
+    monkeypatch.setattr(dictionaries, "SLICE", 7)
+    test_substrings_equal_a_search_by_hand(spark)
