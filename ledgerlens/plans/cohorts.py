@@ -162,9 +162,13 @@ def cohort_benchmark(spark, sf):
 
 
 def _latest_values(spark, sf):
-    """All companies with one metric of one period are a cohort."""
+    """All companies with one metric of one period are a cohort.
+
+    Ranks read the values twice, so the line items are joined and summed once for both.
+    """
     period = F.concat_ws("-", "normalized_metric_name", "fiscal_year", F.coalesce(F.concat(F.lit("Q"), "fiscal_quarter"), F.lit("FY")))
-    return derive.metrics(spark, sf).select(period.alias("cohort"), "company_id", F.floor(F.col("value") / 1000).cast("double").alias("value"))
+    metrics = derive.metrics(spark, sf, cut_lineage(derive.quarter_sums(spark, sf)))
+    return metrics.select(period.alias("cohort"), "company_id", F.floor(F.col("value") / 1000).cast("double").alias("value"))
 
 
 _VALUES = "(SELECT normalized_metric_name || '-' || fiscal_year || '-' || coalesce('Q' || fiscal_quarter, 'FY') AS cohort, company_id, CAST(floor(value / 1000) AS DOUBLE) AS value FROM metrics_t)"
