@@ -2,32 +2,32 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens import vocab
 from ledgerlens.functions import money, text
-from ledgerlens.functions.chunking import cut
+from ledgerlens.functions.chunking import Cutter, cut
 
 _PIECES = "array<struct<chunk_text:string,token_count:int>>"
 
 
-def _cut_sections(
-    body: pd.Series, target: pd.Series, limit: pd.Series, overlap: pd.Series, table: pd.Series
-) -> pd.Series:
-    return pd.Series([
-        [
-            {"chunk_text": t, "token_count": n}
-            for t, n in cut(b, g, m, o, vocab.TABLE_SEPARATORS if s else vocab.PROSE_SEPARATORS)
-        ]
-        for b, g, m, o, s in zip(body, target, limit, overlap, table)
-    ])
+def _cut_sections(body: pa.Array, target: pa.Array, limit: pa.Array, overlap: pa.Array, table: pa.Array) -> pa.Array:
+    cutter, sizes, pieces = Cutter(), [], []  # of one batch
+    for b, g, m, o, s in zip(*(c.to_pylist() for c in (body, target, limit, overlap, table)), strict=True):
+        made = cutter.cut(b, g, m, o, vocab.TABLE_SEPARATORS if s else vocab.PROSE_SEPARATORS)
+        sizes.append(len(made))
+        pieces += made
+    texts, tokens = pa.array([t for t, _ in pieces], pa.string()), pa.array([n for _, n in pieces], pa.int32())
+    at = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(at), pa.StructArray.from_arrays([texts, tokens], names=["chunk_text", "token_count"]))
 
 
 def cut_sections(body, target, limit, overlap, table) -> Column:
     """Pieces of each section; the fold over one section is sequential, sections are parallel."""
-    return F.pandas_udf(_cut_sections, _PIECES)(body, target, limit, overlap, table)
+    return F.arrow_udf(_cut_sections, _PIECES)(body, target, limit, overlap, table)
 
 
 def strategy(section: Column) -> Column:

@@ -4,10 +4,14 @@ import datetime
 import glob
 import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerlens import plans
+from ledgerlens import plans, vocab
+from ledgerlens.functions import chunking
+from ledgerlens.functions.chunking import token_starts as starts
+from ledgerlens.operators import chunks
 from ledgerlens.session import CLEANUP, cut_lineage
 
 
@@ -45,3 +49,18 @@ def test_a_checkpoint_gives_its_shuffle_files_back(spark):
     assert not shuffle_files(spark) - before
     assert spark.conf.get(CLEANUP) == setting
     assert kept.count() == 100 and kept.filter("count <> 100 OR again <> 100").isEmpty()
+
+
+def test_equal_sections_are_cut_into_tokens_once(monkeypatch):
+    seen = []
+    monkeypatch.setattr(chunking, "token_starts", lambda body: seen.append(body) or starts(body))
+    body = "Wörter, zwei; 3 marks! " * 40 + "\n\n" + "x_1 \u4e2d\u6587 \u2028 end. " * 30
+    args = (pa.array([body] * 3 + [None, " "]), pa.array([70, 50, 70, 70, 70]), pa.array([80] * 5), pa.array([8] * 5), pa.array([False] * 5))
+    made = chunks._cut_sections(*args).to_pylist()
+    assert seen == [body] and made[0] == made[2] and made[3] == made[4] == []
+    assert [(p["chunk_text"], p["token_count"]) for p in made[1]] == chunking.cut(body, 50, 80, 8, vocab.PROSE_SEPARATORS)
+
+
+@pytest.mark.parametrize("text", ["", "a", " a-b  c_1\x85d\u0301e\xa0\u2167\xb2", "\u4e2d\u6587 \U0001f600 x", "\x1c\u2028,,."])
+def test_token_starts_are_those_of_the_pattern(text):
+    assert starts(text) == [m.start() for m in chunking._TOKEN.finditer(text)]
