@@ -2,9 +2,10 @@
 
 A text is cut before every space that follows a character other than white space: the
 byte-level pattern has no pre-token that crosses such a place, so the ids of the parts, one
-after the other, are those of the text.  A part not seen lately is cut into pre-tokens, and
-a pre-token not seen lately is encoded by the subclass, which is the only place where ids
-are made.
+after the other, are those of the text.  Arrow cuts and numbers the parts of many texts at
+once and puts their ids together, so Python handles each distinct part once.  A part not
+seen lately is cut into pre-tokens, and a pre-token not seen lately is encoded by the
+subclass, which is the only place where ids are made.
 
 When a file is loaded, its own pre-tokenizer is asked for the class of every character
 below U+0250.  Parts of such characters are cut by the pattern over those classes; parts
@@ -21,8 +22,11 @@ import json
 import os
 import re
 from collections.abc import Iterable
+from itertools import pairwise
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 PARTS, WORDS = 200_000, 250_000
 LONG = 64
@@ -137,39 +141,60 @@ class CachedWords:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text."""
+        if not texts:
+            return []
         if len(self.parts) > PARTS:
             self.old_parts, self.parts = self.parts, {}
         if len(self.words) > WORDS:
             self.old_words, self.words = self.words, {}
         self.long: list[str] = []
-        cut = [t.split(" ") for t in texts]
-        heads = [c.pop(0) for c in cut]
+        # Arrow cuts and numbers the parts; only one of a kind becomes a Python string
+        cut = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        starts = cut.offsets.to_numpy()
+        parts = cut.flatten()
+        heads = parts.take(pa.array(starts[:-1])).to_numpy(zero_copy_only=False).tolist()
+        place = np.ones(len(parts), bool)
+        place[starts[:-1]] = False
+        numbered = parts.filter(pa.array(place)).dictionary_encode()
+        del cut, parts
+        order = np.empty(len(place), np.int32)
+        order[place] = numbered.indices.to_numpy()
+        distinct = numbered.dictionary.to_numpy(zero_copy_only=False).tolist()
+        del numbered
         known, old = self.parts, self.old_parts
         new: list[str] = []
-        for p in set().union(*cut):
+        for p in distinct:
             if p not in known:
                 if p in old:
                     known[p] = old[p]
                 else:
                     new.append(p)
-        # a part stands for itself with a space before it; None where the next space is no place to cut
+        # a part stands for itself with a space before it: most are a word and the marks after it
+        plain: dict[str, str] = {}
+        # None where the next space is no place to cut
         cut_new: dict[str, list[str | int] | None] = {}
         for p in new:
             word = p.rstrip(MARKS)
             if word.isalpha() and (p.isascii() or not self.odd.search(p)):
-                cut_new[p] = [" " + word] if len(word) == len(p) else [" " + word, p[len(word):]]
+                plain[p] = " " + word
             else:
                 cut_new[p] = self._whole(" " + p) if p and not p[-1].isspace() else None
-        heads_cut = [self._whole(h) if h and not (c and h[-1].isspace()) else None if h else [] for h, c in zip(heads, cut, strict=True)]
-        self._learn(cut_new.values(), heads_cut)
+        alone = np.diff(starts) == 1
+        heads_cut = [self._whole(h) if h and (one or not h[-1].isspace()) else None if h else [] for h, one in zip(heads, alone.tolist(), strict=True)]
+        self._learn([[*plain.values()], [*{p[len(w) - 1:] for p, w in plain.items() if len(w) <= len(p)}]], cut_new.values(), heads_cut)
+        words = self.words
+        for p, w in plain.items():
+            known[p] = words[w] if len(w) > len(p) else words[w] + words[p[len(w) - 1:]]
         known.update((p, None if ws is None else self._ids(ws)) for p, ws in cut_new.items())
-        get, out, slow = known.__getitem__, [], []
-        for i, rest in enumerate(cut):
-            try:
-                out.append(self._ids(heads_cut[i]) + b"".join(map(get, rest)))
-            except TypeError:  # a None: the text is cut into pre-tokens as a whole
-                slow.append(i)
-                out.append(b"")
+        made = pa.array([*map(known.__getitem__, distinct), *[None if ws is None else self._ids(ws) for ws in heads_cut]], pa.large_binary())
+        order[starts[:-1]] = np.arange(len(distinct), len(made))
+        # a None: the text is cut into pre-tokens as a whole
+        slow = np.flatnonzero(np.logical_or.reduceat(made.is_null().to_numpy(zero_copy_only=False)[order], starts[:-1])).tolist()
+        joined = made.take(pa.array(order))
+        _, bounds, ids = joined.buffers()
+        ends = np.frombuffer(bounds, np.int64, len(joined) + 1)[starts].tolist()
+        ids = memoryview(ids or b"")
+        out = [bytes(ids[a:b]) for a, b in pairwise(ends)]
         slow_cut = [self._whole(texts[i]) for i in slow]
         self._learn(slow_cut)
         for i, ws in zip(slow, slow_cut, strict=True):

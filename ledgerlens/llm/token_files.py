@@ -46,11 +46,18 @@ class LibraryWords(CachedWords):
     def __init__(self, path: str) -> None:
         super().__init__(path)
         self.model = self.tokenizer.model
-        self.characters = str.maketrans({b: c for b, c in enumerate(byte_characters()) if ord(c) != b})
+        # all 256, for translate() is slow with characters that it finds no entry for
+        self.characters = str.maketrans(dict(enumerate(byte_characters())))
+
+    def _mapped(self, word: str) -> str:
+        """Its bytes' characters: of the printable ASCII ones, only the space has another."""
+        if word.isascii() and word.isprintable():
+            return word.replace(" ", self.characters[0x20])
+        return word.encode().decode("latin-1").translate(self.characters)
 
     def fresh(self, words: list[str]) -> list[bytes]:
-        tokens, characters, code = self.model.tokenize, self.characters, "H" if self.kind.itemsize == 2 else "I"
-        made = [array(code, [t.id for t in tokens(w.encode().decode("latin-1").translate(characters))]) for w in words]
+        tokens, mapped, code = self.model.tokenize, self._mapped, "H" if self.kind.itemsize == 2 else "I"
+        made = [array(code, [t.id for t in tokens(mapped(w))]) for w in words]
         if byteorder == "big":
             for a in made:
                 a.byteswap()

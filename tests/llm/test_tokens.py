@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -24,6 +25,25 @@ def test_segments_encode_as_the_whole(documents):
         assert [np.frombuffer(b, encoder.kind).tolist() for b in encoder.encode(texts)] == want
 
 
+def test_repeated_parts_become_no_python_strings():
+    encoder = token_files.LibraryWords(vocabulary("byte_bpe_50k.json")())
+    texts = [" ".join(["the cat sat, and"] * 150_000), "", "one", " two", "end "]
+    encoder.encode(["the cat sat, and the"])
+    tracemalloc.start()
+    made = encoder.encode(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [np.frombuffer(b, encoder.kind).tolist() for b in made] == [e.ids for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert peak < 15_000_000  # a string and a list entry for each of the 600,000 parts are more than 30 MB
+    assert encoder.encode([]) == []
+
+
+def test_words_of_any_character_as_the_library():
+    encoder = token_files.LibraryWords(vocabulary("byte_bpe_50k.json")())
+    texts = [f"a{c}1{c} {c}.{c}\n{c}'{c} {c} b" for c in map(chr, [*range(0x300), 0x2028, 0x3000, 0x1F600])]
+    assert [np.frombuffer(b, encoder.kind).tolist() for b in encoder.encode(texts)] == [e.ids for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_counts_equal_the_library(documents):
     counter = token_counts.Counter(vocabulary("piece_bpe_32k.model")())
     texts = mixed_texts() + [r["text"] for r in documents.limit(60).collect()]
