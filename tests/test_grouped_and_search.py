@@ -1,3 +1,5 @@
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -299,9 +301,24 @@ def test_trailing_counts_of_a_burst_of_one_user_ties_and_missing_values(spark):
     assert not [line for line in plan.split("\n") if "Window [" in line and "_part" not in line]
 
 
-def test_contexts_for_every_hundredth_conversation(spark, sf):
+def test_contexts_for_every_conversation(spark, sf):
     from ledgerlens.plans import search
 
-    want = {r[0] for r in search._asked(spark, sf).filter("conv_id % 100 = 0").select(F.sha2("query", 256)).collect()}
+    want = {r[0] for r in search._asked(spark, sf).select(F.sha2("query", 256)).collect()}
     got = [r["query_id"] for r in search.general_context(spark, sf).collect()]
     assert want and len(got) == len(set(got)) and set(got) == want
+
+
+@pytest.mark.parametrize("name", ["general_context", "assembled_context"])
+def test_no_conversation_is_left_out_of_the_contexts(spark, tmp_path, name):
+    from ledgerlens import plans
+    from ledgerlens.plans import search
+
+    said = [(c, t, "user", f"words {c} and {t}") for c in (0, 1, 99, 100, 101, None) for t in (0, 1)] + [(7, 0, None, None), (14, 7, "user", None)]
+    spark.createDataFrame(said, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    filed = [(i, f"Filing {i} on supply risk and revenue.", "en", "web", 30) for i in range(60)]
+    spark.createDataFrame(filed, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {r["query"] for r in search._asked(spark, str(tmp_path)).collect()}
+    assert len(want) == 13  # the two rows without a text ask the same
+    got = [r["query_id"] for r in plans.QUERIES[name](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(hashlib.sha256(q.encode()).hexdigest() for q in want)
