@@ -106,7 +106,7 @@ def find_values(text: Column) -> Column:
         negative = (F.length(part(raw, 3)) > 0) | (
             (F.length(part(raw, 1)) > 0) & (F.length(part(raw, 8)) > 0)
         )
-        scaled = (number * scale_factor(label)).cast("decimal(28,6)")
+        scaled = number * scale_factor(label)  # decimal(36,6), which holds every product
         return F.struct(
             F.trim(raw).alias("raw"),
             F.when(negative, -scaled).otherwise(scaled).alias("value"),

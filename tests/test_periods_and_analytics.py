@@ -123,6 +123,19 @@ def test_values(spark, text, value, currency, unit):
         assert (v["value"], v["currency"], v["unit"]) == (D(value), currency, unit)
 
 
+def test_values_of_many_digits_keep_their_scale(spark, rows, tmp_path):
+    from ledgerlens import plans
+
+    texts = [(7, "b89aa5fcc 12345678901234b or 5 million"), (14, "(9,999,999,999,999,999.5 trillion)"), (21, "99999999999999999k")]
+    found = spark.createDataFrame(texts, "i long, t string").select("i", money.find_values(F.col("t")).alias("v"))
+    assert [r["value"] for r in found.filter("i = 14").first()["v"]] == [D("-9999999999999999.5").scaleb(12)]
+    assert D("12345678901234000000000") in [r["value"] for r in found.filter("i = 7").first()["v"]]
+    assert [r["value"] for r in found.filter("i = 21").first()["v"]] == [None]  # seventeen digits are no amount
+    spark.createDataFrame([(i, t, "en", "web", 9) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    out = {r["chunk_id"]: r["raws"].split("|") for r in plans.QUERIES["metric_values_in_text"](spark, str(tmp_path)).collect()}
+    assert "12345678901234b" in out["7"] and "(9,999,999,999,999,999.5 trillion)" in out["14"] and "99999999999999999k" in out["21"]
+
+
 def test_schemas_parse(spark):
     for ddl in schemas.TABLES.values():
         assert spark.createDataFrame([], ddl).count() == 0
