@@ -13,16 +13,22 @@ from ledgerlens.operators import quality
 NUMBER = r"\b\d+(?:,\d+)*(?:\.\d+)?%?\b"
 
 
-def _nest(df: DataFrame, key: str, fields: list, order: list[str], name: str, k: int | None = None) -> DataFrame:
-    """All rows of a key, or its first ``k``, as one ordered array.  ``k`` rows survive the map side."""
+def _nest(
+    df: DataFrame, key: str, fields: list, order: list[str], name: str, k: int | None = None, also: dict[str, Column] | None = None,
+) -> DataFrame:
+    """All rows of a key, or its first ``k``, as one ordered array.  ``k`` rows survive the map side.
+
+    ``also`` are aggregates of the same rows (``_n`` is the place among the first ``k``); a
+    reader that needs no more than them leaves the array out, and its fields are not shuffled.
+    """
     if k is None:
-        packed = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.array_sort(F.collect_list(
-            F.struct(F.struct(*order).alias("_n"), F.struct(*fields).alias("_s")))).alias("_a"))
-        return packed.select(key, F.transform("_a", lambda x: x["_s"]).alias(name))
-    top = top_per(df, [key], [F.col(o) for o in order], k, "_n")
-    packed = top.select(key, "_n", F.struct(*fields).alias("_s")).groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct("_n", "_s"))).alias("_a"))
-    return packed.select(key, F.transform("_a", lambda x: x["_s"]).alias(name))
+        rows = df.filter(F.col(key).isNotNull()).withColumn("_n", F.struct(*order))
+    else:
+        rows = top_per(df, [key], [F.col(o) for o in order], k, "_n")
+    also = also or {}
+    packed = rows.groupBy(key).agg(
+        F.sort_array(F.collect_list(F.struct("_n", F.struct(*fields).alias("_s")))).alias("_a"), *[c.alias(n) for n, c in also.items()])
+    return packed.select(key, F.transform("_a", lambda x: x["_s"]).alias(name), *also)
 
 
 def _num(c: Column) -> Column:
@@ -39,6 +45,31 @@ def _comparison_cells(x: Column) -> list[Column]:
             F.coalesce(F.concat(_fix(x["percentage_change"] * 100, 2), F.lit("%")), F.lit("N/A"))]
 
 
+def snippet(body: Column) -> Column:
+    """What a memo cites of a chunk."""
+    return F.substring(body, 1, 200)
+
+
+def _heads(comparisons: Column) -> Column:
+    """The comparisons that a memo puts into words: the first three, and the first three up and down."""
+    three = lambda arr: F.slice(arr, 1, 3)
+    return F.struct(
+        three(comparisons).alias("all"), three(F.filter(comparisons, lambda x: x["percentage_change"] > 0)).alias("up"),
+        three(F.filter(comparisons, lambda x: x["percentage_change"] < 0)).alias("down"))
+
+
+def _digests(packages: DataFrame) -> DataFrame:
+    """Packages with all columns that :func:`drafts` reads; those of :func:`package` have them."""
+    first = F.try_element_at("evidence", F.lit(1))
+    made = {
+        "comparison_heads": lambda: _heads(F.col("comparisons")),
+        "signal_values": lambda: _pull("analytics", "value"), "evidence_pages": lambda: _pull("evidence", "page_number"),
+        "cited": lambda: F.when(first.isNotNull(), F.struct(
+            first["chunk_id"].alias("chunk_id"), first["page_number"].alias("page_number"), first["section"].alias("section"),
+            snippet(first["chunk_text"]).alias("snippet")))}
+    return packages.withColumns({n: c() for n, c in made.items() if n not in packages.columns})
+
+
 def package(
     reports: DataFrame, companies: DataFrame, metrics: DataFrame, comparisons: DataFrame, analytics: DataFrame,
     risks: DataFrame, tones: DataFrame, chunks: DataFrame, benchmark: DataFrame,
@@ -47,8 +78,13 @@ def package(
 
     Branch arrays hold every row of a report in key order.  The data model bounds them:
     metrics and risks have one row per name, comparisons and signals a few per metric, and
-    tones one per chunk of a file.  Evidence is the set of chunks a memo may cite.
+    tones one per chunk of a file.  Evidence is the set of chunks a memo may cite.  Next to
+    the arrays stands what :func:`drafts` reads of the long ones (:func:`_digests`), so that
+    a memo neither moves its evidence texts nor goes through all comparisons of its company.
+    Chunks may bring their ``snippet``.
     """
+    if "snippet" not in chunks.columns:
+        chunks = chunks.withColumn("snippet", snippet(F.col("chunk_text")))
     base = reports.join(companies.select("company_id", "name"), "company_id").select(
         "report_id", "company_id", F.col("name").alias("company_name"),
         F.concat_ws(" ", "name", "report_type", F.concat(F.lit("FY"), F.col("year"))).alias("report_title"),
@@ -64,19 +100,21 @@ def package(
         _nest(metrics, "report_id", ["metric_name", F.col("value").cast("double").alias("value"), "unit", "metric_category"],
               ["metric_id"], "metrics"),
         _nest(analytics, "report_id", ["signal_type", "metric_name", "signal_code", "value", "explanation"],
-              ["signal_code", "metric_name"], "analytics"),
+              ["signal_code", "metric_name"], "analytics", also={"signal_values": F.collect_list(F.col("value").cast("double"))}),
         _nest(located, "report_id", ["risk_id", "category", "severity", "risk_description", "source_chunk_id", "page_number"],
               ["_w", "risk_id"], "risks"),
         _nest(tones, "report_id", [
             "sentiment", "confidence_level", "hedging_score",
             (F.col("positive_score") - F.col("negative_score")).alias("sentiment_score")], ["seq", "tone_id"], "tones"),
         _nest(chunks, "report_id", ["chunk_id", "chunk_text", F.coalesce("start_page", F.lit(1)).alias("page_number"), "section"],
-              ["start_page", "chunk_index"], "evidence", vocab.MEMO_EVIDENCE_CHUNKS),
+              ["start_page", "chunk_index"], "evidence", vocab.MEMO_EVIDENCE_CHUNKS, {
+                  "evidence_pages": F.collect_list(F.coalesce("start_page", F.lit(1)).cast("double")),
+                  "cited": F.min_by(F.struct("chunk_id", F.coalesce("start_page", F.lit(1)).alias("page_number"), "section", "snippet"), "_n")}),
         # last: from here on every report holds the rows of its whole company, and no such row is shuffled
         _nest(comparisons.drop("report_id"), "company_id",
               ["metric_name", "comparison_type", "current_value", "previous_value", "percentage_change"],
-              ["metric_id", "comparison_type"], "comparisons").withColumn(
-                  "comparison_lines", _lines("comparisons", _comparison_cells)),  # once a company, not once a report
+              ["metric_id", "comparison_type"], "comparisons").withColumns({  # once a company, not once a report
+                  "comparison_lines": _lines("comparisons", _comparison_cells), "comparison_heads": _heads(F.col("comparisons"))}),
     ]
     base = base.join(benchmark.drop("cohort_id").dropDuplicates(["company_id"]).select(
         "company_id", F.struct("overall_score", "financial_score", "risk_score", "tone_score",
@@ -96,28 +134,29 @@ def _fix(c: Column, places: int, sign: bool = False) -> Column:
 
 
 def section_texts() -> list[Column]:
-    """The eight section texts of a package row, in memo order."""
+    """The eight section texts of a package row with its digests, in memo order."""
     c = F.col
     name, empty = c("company_name"), lambda x: F.coalesce(F.size(x), F.lit(0)) == 0
     some = lambda x: F.coalesce(x, F.array())
     head = lambda x, n: F.slice(some(c(x)), 1, n)
+    compared = lambda part: some(c("comparison_heads")[part])
     pct = lambda x, sign: F.coalesce(
         F.concat(_fix(x["percentage_change"], 1, sign), F.lit("%")), F.lit("N/A"))
 
     overview = F.concat(
         F.lit("This section provides an overview of "), name, F.lit(" based on its "), c("report_title"), F.lit(" for "),
         c("reporting_period"), F.lit(" "), c("reporting_year"), F.lit("."),
-        F.when(empty("evidence"), F.lit("")).otherwise(F.concat(
+        F.when(c("cited").isNull(), F.lit("")).otherwise(F.concat(
             F.lit(" The source report details are extracted from the primary document text (e.g., page "),
-            c("evidence")[0]["page_number"], F.lit(")."))))
+            c("cited")["page_number"], F.lit(")."))))
     figures = _join(head("metrics", 5), lambda m: F.concat(
         m["metric_name"], F.lit(" of "), F.coalesce(_fix(m["value"], 2), F.lit("N/A")),
         F.coalesce(F.concat(F.lit(" "), m["unit"]), F.lit(""))))
-    changes = _join(head("comparisons", 3), lambda x: F.concat(
+    changes = _join(compared("all"), lambda x: F.concat(
         x["metric_name"], F.lit(" changed by "), pct(x, True), F.lit(" ("), x["comparison_type"], F.lit(")")))
     financial = F.when(empty("metrics"), F.lit("No financial metrics were extracted for this period.")).otherwise(F.concat(
         F.lit("Financial performance analysis for "), name, F.lit(" indicates the following metrics: "), figures, F.lit("."),
-        F.when(empty("comparisons"), F.lit("")).otherwise(
+        F.when(F.size(compared("all")) == 0, F.lit("")).otherwise(
             F.concat(F.lit(" Period-over-period comparisons show: "), changes, F.lit(".")))))
     worst = _join(head("risks", 3), lambda r: F.concat(
         r["category"], F.lit(" ("), r["severity"], F.lit(" severity: "), r["risk_description"], F.lit(")")), "; ")
@@ -141,7 +180,7 @@ def section_texts() -> list[Column]:
     # three are shown at most, so no more are put into words
     three = lambda arr, cond: F.slice(F.filter(some(c(arr)), cond), 1, 3)
     grown = F.transform(
-        three("comparisons", lambda x: x["percentage_change"] > 0),
+        compared("up"),
         lambda x: F.concat(F.lit("growth in "), x["metric_name"], F.lit(" ("), pct(x, True), F.lit(")")))
     leader = F.when(b["rank"] <= 3, F.array(F.concat(
         F.lit("top-tier ranking ("), b["rank"].cast("int"), F.lit(") within peer benchmarking cohort")))).otherwise(
@@ -155,7 +194,7 @@ def section_texts() -> list[Column]:
         three("risks", lambda r: r["severity"].isin("CRITICAL", "HIGH")),
         lambda r: F.concat(r["category"], F.lit(" risk ("), F.substring(r["risk_description"], 1, 50), F.lit("...)")))
     shrunk = F.transform(
-        three("comparisons", lambda x: x["percentage_change"] < 0),
+        compared("down"),
         lambda x: F.concat(F.lit("decline in "), x["metric_name"], F.lit(" ("), pct(x, False), F.lit(")")))
     downs = F.slice(F.concat(severe, shrunk), 1, 3)
     bear = F.concat(
@@ -177,13 +216,12 @@ def drafts(packages: DataFrame) -> DataFrame:
     What a package nests of the whole company is left behind, so drafts can be written
     where packages, a company's rows times its reports, are too large.
     """
-    c = F.col
-    first = F.try_element_at(F.coalesce("evidence", F.expr(
-        "cast(array() as array<struct<chunk_id:string,chunk_text:string,page_number:int,section:string>>)")), F.lit(1))
+    c, first = F.col, F.col("cited")
+    packages = _digests(packages)
     cite = F.when(first.isNotNull(), F.array(F.struct(
         c("report_id"), first["chunk_id"].alias("chunk_id"), first["page_number"].alias("page_number"),
         F.coalesce(first["section"], F.lit("Overview")).alias("section_name"), F.lit("text_chunk").alias("source_type"),
-        F.substring(first["chunk_text"], 1, 200).alias("text_snippet"))))
+        first["snippet"].alias("text_snippet"))))
     parts = F.array(*[
         F.struct(F.lit(n).alias("section_order"), F.lit(name).alias("section_name"), body.alias("content"))
         for n, (name, body) in enumerate(zip(vocab.MEMO_SECTIONS, section_texts()), start=1)])
@@ -222,14 +260,15 @@ def _pull(rows, *fields: str) -> Column:
 
 
 def _own_numbers() -> Column:
-    """The source numbers of a package, but for the comparisons of its company."""
+    """The source numbers of a package with its digests, but for the comparisons of its company."""
     year, b = F.col("reporting_year"), F.col("benchmark")
     own = F.array(*[x.cast("double") for x in (
         year, year - 1, year + 1, year % 100, b["overall_score"], b["financial_score"], b["risk_score"],
         b["tone_score"], b["capital_allocation_score"], b["rank"])])
+    given = lambda n: F.coalesce(n, F.array().cast("array<double>"))
     return F.concat(
-        own, _pull("metrics", "value"), _pull("analytics", "value"), _pull("risks", "page_number"),
-        _pull("tones", "sentiment_score", "hedging_score"), _pull("evidence", "page_number"))
+        own, _pull("metrics", "value"), given("signal_values"), _pull("risks", "page_number"),
+        _pull("tones", "sentiment_score", "hedging_score"), given("evidence_pages"))
 
 
 _COMPARED = ["current_value", "previous_value", "percentage_change"]
@@ -244,7 +283,7 @@ def _with_roundings(numbers: DataFrame, key: str) -> DataFrame:
 def allowed_values(packages: DataFrame) -> DataFrame:
     """(memo_id, value): every source number of a package, and the same rounded to 0, 1 and 2 places."""
     everything = F.concat(_own_numbers(), _pull("comparisons", *_COMPARED))
-    return _with_roundings(packages.select(F.col("report_id").alias("memo_id"), F.explode(everything).alias("_v")), "memo_id")
+    return _with_roundings(_digests(packages).select(F.col("report_id").alias("memo_id"), F.explode(everything).alias("_v")), "memo_id")
 
 
 def own_values(drafted: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 import pandas as pd
@@ -175,13 +177,17 @@ def risk_candidates(chunks: DataFrame, taxonomy: DataFrame | None = None) -> Dat
     )
 
 
-def extract_risks(chunks: DataFrame, taxonomy: DataFrame | None = None) -> DataFrame:
+def extract_risks(
+    chunks: DataFrame, taxonomy: DataFrame | None = None, *, place: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
     """Best candidate per (report, normalized name), scored.
 
     Highest confidence wins; on a tie the first in (chunk, sentence, keyword) order.
+    ``place`` gives the candidates the company and report that their chunks do not have yet.
     """
+    candidates = risk_candidates(chunks, taxonomy)
     best = first_per(
-        risk_candidates(chunks, taxonomy), ["company_id", "report_id", "normalized_risk_name"],
+        candidates if place is None else place(candidates), ["company_id", "report_id", "normalized_risk_name"],
         [-F.col("raw_confidence"), F.col("chunk_index"), F.col("chunk_id"), F.col("pos"), F.col("place")],
     )
     return best.select(

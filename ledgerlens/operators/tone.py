@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,8 +52,13 @@ def hedging_strength(c: Column, phrases: list[str] = vocab.HEDGING_PHRASES) -> C
     return F.least(F.lit(1.0), text.phrase_total(F.lower(text.squeeze(c)), phrases) / n)
 
 
-def score_tone(chunks: DataFrame, phrases: dict[str, list[str]] | None = None) -> DataFrame:
-    """One tone row per non-blank chunk.  Column expressions only; no shuffle."""
+def score_tone(
+    chunks: DataFrame, phrases: dict[str, list[str]] | None = None, *, place: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
+    """One tone row per non-blank chunk.  Column expressions only; no shuffle.
+
+    ``place`` gives the scores the company and report that their chunks do not have yet.
+    """
     p = phrases or {
         "positive": vocab.POSITIVE_PHRASES, "negative": vocab.NEGATIVE_PHRASES,
         "confidence": vocab.CONFIDENCE_PHRASES, "hedging": vocab.HEDGING_PHRASES,
@@ -65,6 +72,8 @@ def score_tone(chunks: DataFrame, phrases: dict[str, list[str]] | None = None) -
     n = F.greatest(F.lit(1), F.col("sentence_count"))
     share = {name: F.least(F.lit(1.0), F.col(f"{name}_count") / n) for name in p}
     scored = counted.select("*", *[c.alias(f"{name}_score") for name, c in share.items()])
+    if place is not None:
+        scored = place(scored.withColumn("chunk_text", F.substring("chunk_text", 1, 300)).drop("_lower"))
     return scored.select(
         F.concat_ws("|", "report_id", "chunk_id").alias("tone_id"), "company_id", "report_id",
         F.col("chunk_id").alias("source_chunk_id"),
