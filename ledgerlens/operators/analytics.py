@@ -90,13 +90,15 @@ def _three_way(c: Column, up: str, down: str, flat: str) -> Column:
     return F.when(c > 0, F.lit(up)).when(c < 0, F.lit(down)).otherwise(F.lit(flat))
 
 
-def _emit(sig_type, code, metric, value, classification, severity, ids, explanation) -> Column:
-    return F.struct(
-        sig_type.alias("signal_type"), code.alias("signal_code"), metric.alias("metric_name"),
-        value.cast(RATIO).alias("value"), classification.alias("classification"),
-        severity.alias("severity"), ids.alias("supporting_metric_ids"),
-        explanation.alias("explanation"),
-    )
+def _fields(sig_type, code, metric, value, classification, severity, ids, explanation) -> dict[str, Column]:
+    return {
+        "signal_type": sig_type, "signal_code": code, "metric_name": metric, "value": value.cast(RATIO), "classification": classification,
+        "severity": severity, "supporting_metric_ids": ids, "explanation": explanation,
+    }
+
+
+def _emit(*parts) -> Column:
+    return F.struct(*[c.alias(name) for name, c in _fields(*parts).items()])
 
 
 def comparison_signals(
@@ -106,7 +108,8 @@ def comparison_signals(
 
     Stored percentages are in percent points while the thresholds are fractions.  The
     literal reading compares them as they are (``pct_scale=1``); ``pct_scale=100`` brings
-    both to fractions.
+    both to fractions.  Rows are multiplied by the kind of signal alone and worded afterwards,
+    so words that nobody reads are not made.
     """
     m, kind = F.col("metric_name"), F.col("comparison_type")
     pct = F.try_divide(F.col("percentage_change").cast(RATIO), F.lit(pct_scale).cast("decimal(5,0)")).cast(RATIO)
@@ -117,9 +120,9 @@ def comparison_signals(
                        _money(F.col("current_value")), F.lit(")."))
 
     trend = growth_trend(pct, thresholds)
-    growth = F.when(
+    growth = (
         m.isin(list(vocab.GROWTH_SIGNAL_TYPES)) & pct.isNotNull(),
-        _emit(
+        _fields(
             money.mapping(vocab.GROWTH_SIGNAL_TYPES)[m], F.concat(m, F.lit("_GROWTH_"), kind), m,
             pct, trend,
             money.mapping({"STRONG_GROWTH": "VERY_POSITIVE", "MODERATE_GROWTH": "POSITIVE",
@@ -128,9 +131,9 @@ def comparison_signals(
             F.concat(label, F.lit(" grew by "), _pct(pct), F.lit(" "), kind, F.lit(" "), amounts),
         ),
     )
-    margin = F.when(
+    margin = (
         m.isin(vocab.MARGIN_METRICS) & diff.isNotNull(),
-        _emit(
+        _fields(
             F.lit("PROFITABILITY"), F.concat(m, F.lit("_CHANGE_"), kind), m, diff,
             _three_way(diff, "MARGIN_EXPANSION", "MARGIN_COMPRESSION", "MARGIN_UNCHANGED"),
             _three_way(diff, "POSITIVE", "NEGATIVE", "NEUTRAL"), ids,
@@ -139,9 +142,9 @@ def comparison_signals(
                      _pct(F.col("current_value")), F.lit(").")),
         ),
     )
-    debt = F.when(
+    debt = (
         (m == "TOTAL_DEBT") & pct.isNotNull(),
-        _emit(
+        _fields(
             F.lit("LEVERAGE"), F.concat(F.lit("DEBT_CHANGE_"), kind), m, pct,
             _three_way(pct, "DEBT_INCREASE", "DEBT_REDUCTION", "DEBT_UNCHANGED"),
             _three_way(pct, "NEGATIVE", "POSITIVE", "NEUTRAL"), ids,
@@ -149,9 +152,9 @@ def comparison_signals(
         ),
     )
     cash_class = _three_way(pct, "CASH_GENERATION_IMPROVEMENT", "CASH_FLOW_DETERIORATION", "")
-    cash = F.when(
+    cash = (
         (m == "FREE_CASH_FLOW") & (pct != 0),
-        _emit(
+        _fields(
             F.lit("CASH_FLOW"), F.concat(cash_class, F.lit("_"), kind), m, pct, cash_class,
             _three_way(pct, "POSITIVE", "NEGATIVE", "NEUTRAL"), ids,
             F.concat(
@@ -162,10 +165,14 @@ def comparison_signals(
             ),
         ),
     )
-    return comparisons.select(
-        "company_id", "report_id",
-        F.explode(F.array_compact(F.array(growth, margin, debt, cash))).alias("_s"),
-    ).select("company_id", "report_id", "_s.*")
+    kinds = {"growth": growth, "margin": margin, "debt": debt, "cash": cash}
+    found = comparisons.withColumn("_kind", F.explode(F.array_compact(F.array(*[
+        F.when(applies, F.lit(k)) for k, (applies, _) in kinds.items()]))))
+
+    def worded(name: str) -> Column:
+        return F.coalesce(*[F.when(F.col("_kind") == k, fields[name]) for k, (_, fields) in kinds.items()])
+
+    return found.select("company_id", "report_id", *[worded(name).alias(name) for name in growth[1]])
 
 
 def leverage_signals(comparisons: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from ledgerlens import vocab
 from ledgerlens.functions import money, text
 from ledgerlens.functions.grouped import top_per
 from ledgerlens.operators import quality
+from ledgerlens.session import cut_lineage
 
 NUMBER = r"\b\d+(?:,\d+)*(?:\.\d+)?%?\b"
 
@@ -276,10 +277,13 @@ _COMPARED = ["current_value", "previous_value", "percentage_change"]
 
 def _with_roundings(numbers: DataFrame, key: str) -> DataFrame:
     """(key, value) of ``_v`` and the same rounded to 0, 1 and 2 places, each once."""
-    forms = F.array("_v", *[F.bround("_v", places) for places in (0, 1, 2)])
+    forms = F.array("_v", *[F.bround("_v", places) for places in ROUNDED])
     return numbers.select(key, F.explode(F.array_distinct(forms)).alias("value")).filter("value is not null").distinct()
 
 
+ROUNDED = (0, 1, 2)  # places to which a memo may round a source number
+
+
 def allowed_values(packages: DataFrame) -> DataFrame:
     """(memo_id, value): every source number of a package, and the same rounded to 0, 1 and 2 places."""
     everything = F.concat(_own_numbers(), _pull("comparisons", *_COMPARED))
@@ -287,60 +291,83 @@ def allowed_values(packages: DataFrame) -> DataFrame:
 
 
 def own_values(drafted: DataFrame) -> DataFrame:
-    """(memo_id, value) of drafts: :func:`allowed_values` without the comparisons."""
-    return _with_roundings(drafted.select("memo_id", F.explode("own_numbers").alias("_v")), "memo_id")
+    """(memo_id, value) of drafts: the source numbers of a report as they are, without the comparisons."""
+    return drafted.select("memo_id", F.explode(F.array_distinct("own_numbers")).alias("value")).filter("value is not null")
 
 
 def company_values(comparisons: DataFrame) -> DataFrame:
-    """(company_id, value): what the comparisons of a company add to the values of each of its memos."""
+    """(company_id, value): what the comparisons of a company add to the source numbers of each of its memos."""
     numbers = F.array(*[F.col(c).cast("double") for c in _COMPARED])
-    return _with_roundings(comparisons.select("company_id", F.explode(numbers).alias("_v")), "company_id")
+    return comparisons.select("company_id", F.explode(F.array_distinct(numbers)).alias("value")).filter("value is not null")
+
+
+def open_numbers(body: Column) -> Column:
+    """Numbers of a text that need a source: counts up to 20, those near 100 and the years 2010..2030 do not."""
+    return F.filter(F.transform(numbers_in(body), lambda n: n.try_cast("double")), lambda n: ~(
+        (n <= 21) | n.between(98, 102) | n.between(2010, 2030)))
 
 
 def check_grounding(
     texts: DataFrame, allowed: DataFrame, shared: DataFrame | None = None, *, fail_at: int = vocab.GROUNDING_FAIL_AT,
+    places: tuple[int, ...] = (),
 ) -> DataFrame:
     """Numbers of each memo without a source value nearby: absolute 1 or relative 2 percent.
 
     ``texts`` is (memo_id, body), ``allowed`` (memo_id, value).  Numbers near a count up to
-    20 or near 100, and the years 2010..2030, always pass.  The band join is an equi-join: source
-    values are put into buckets of one percent of their magnitude, texts look into the
-    buckets their band touches, so no number meets all values of its memo.  ``shared`` is
-    (company_id, value), values that hold for all memos of a company; ``texts`` then have
-    ``company_id`` too, and these values are not repeated for each memo.
+    20 or near 100, and the years 2010..2030, always pass.  ``shared`` is (company_id, value),
+    values that hold for all memos of a company; ``texts`` then have ``company_id`` too, and
+    these values are not repeated for each memo.  A value holds as it is and rounded to each
+    of ``places``.
+    """
+    company = [] if shared is None else ["company_id"]
+    return _grounding(texts.select("memo_id", *company, open_numbers(F.col("body")).alias("_open")), allowed, shared, fail_at, places)
+
+
+def _grounding(read: DataFrame, allowed: DataFrame, shared: DataFrame | None, fail_at: int, places: tuple[int, ...]) -> DataFrame:
+    """:func:`check_grounding` of the open numbers of texts.
+
+    The band join is an equi-join: source values are put into buckets of one percent of
+    their magnitude, texts look into the buckets their band touches, so no number meets all
+    values of its memo.  Roundings are tried where a number and a value meet, and the band is
+    wider by what they can add, so a value is one row.
     """
-    found = texts.select("memo_id", F.explode(numbers_in(F.col("body"))).alias("_n")).withColumn(
-        "number", F.col("_n").try_cast("double")).filter("number is not null")
-    n = F.col("number")
-    open_ = found.filter(~((n <= 21) | n.between(98, 102) | n.between(2010, 2030)))
-    grouped = open_.groupBy("memo_id", "number").agg(F.count(F.lit(1)).alias("times"))
+    company = [] if shared is None else ["company_id"]
+    grouped = read.select("memo_id", *company, F.explode("_open").alias("number")).groupBy("memo_id", *company, "number").agg(
+        F.count(F.lit(1)).alias("times"))
     # bucket = floor(log(1 + |v|) * 32): a bucket is about 3 percent wide, wider than either band above 50
     bucket = lambda v: F.floor(F.log(F.abs(v) + 1) * 32).cast("int")
-    low = lambda v: F.least(v - 1.0, v / 1.02)
-    high = lambda v: F.greatest(v + 1.0, v / 0.98)
+    more = 0.51 if places else 0.0
+    low = lambda v: F.least(v - 1.0, v / 1.02) - more
+    high = lambda v: F.greatest(v + 1.0, v / 0.98) + more
     values = lambda df, key: df.filter(F.col("value").isNotNull()).select(
         key, F.col("value").cast("double").alias("value")).distinct().withColumn("_b", bucket(F.col("value")))
     probe = grouped.withColumn("_b", F.explode(F.sequence(
         bucket(F.greatest(F.lit(0.0), low(F.col("number")))), bucket(high(F.col("number"))))))
-    gap = F.abs(F.col("value") - F.col("number"))
-    near = (gap <= 1.0) | ((F.col("value") != 0) & (gap / F.abs("value") <= 0.02))
-    hits = probe.join(values(allowed, "memo_id"), ["memo_id", "_b"]).filter(near).select("memo_id", "number")
+
+    def near(value: Column) -> Column:
+        gap = F.abs(value - F.col("number"))
+        return (gap <= 1.0) | ((value != 0) & (gap / F.abs(value) <= 0.02))
+
+    holds = near(F.col("value"))
+    for k in places:
+        holds = holds | near(F.bround("value", k))
+    hits = probe.join(values(allowed, "memo_id"), ["memo_id", "_b"]).filter(holds).select("memo_id", "number")
     if shared is not None:
-        of_company = probe.join(texts.select("memo_id", "company_id").distinct(), "memo_id")
-        hits = hits.unionByName(
-            of_company.join(values(shared, "company_id"), ["company_id", "_b"]).filter(near).select("memo_id", "number"))
-    hits = hits.distinct()
-    loose = grouped.join(hits, ["memo_id", "number"], "left_anti").groupBy("memo_id").agg(
-        F.sum("times").alias("ungrounded"))
-    return texts.select("memo_id").distinct().join(loose, "memo_id", "left").select(
+        hits = hits.unionByName(probe.join(values(shared, "company_id"), ["company_id", "_b"]).filter(holds).select("memo_id", "number"))
+    loose = grouped.join(hits.distinct(), ["memo_id", "number"], "left_anti").groupBy("memo_id").agg(F.sum("times").alias("ungrounded"))
+    return read.select("memo_id").distinct().join(loose, "memo_id", "left").select(
         "memo_id", F.coalesce("ungrounded", F.lit(0)).alias("ungrounded"),
         (F.coalesce("ungrounded", F.lit(0)) >= fail_at).alias("failed"))
 
 
-def validate_memos(texts: DataFrame, allowed: DataFrame, shared: DataFrame | None = None) -> DataFrame:
-    """Prohibited phrases and grounding of each memo; see :func:`check_grounding`."""
-    flagged = texts.select("memo_id", quality.phrase_flags(F.col("body"), vocab.PROHIBITED_PHRASES).alias("phrases"))
-    return flagged.join(check_grounding(texts, allowed, shared), "memo_id").withColumn(
+def validate_memos(texts: DataFrame, allowed: DataFrame, shared: DataFrame | None = None, *, places: tuple[int, ...] = ()) -> DataFrame:
+    """Prohibited phrases and grounding of each memo; see :func:`check_grounding`.  A text is read once."""
+    company = [] if shared is None else ["company_id"]
+    read = cut_lineage(texts.select(
+        "memo_id", *company, quality.phrase_flags(F.col("body"), vocab.PROHIBITED_PHRASES).alias("phrases"),
+        open_numbers(F.col("body")).alias("_open")))
+    grounding = _grounding(read, allowed, shared, vocab.GROUNDING_FAIL_AT, places)
+    return read.select("memo_id", "phrases").join(grounding, "memo_id").withColumn(
         "accepted", (F.size("phrases") == 0) & ~F.col("failed"))
 
 

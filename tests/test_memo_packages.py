@@ -4,9 +4,13 @@ import datetime
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
-from ledgerlens.operators import memo
+from ledgerlens import vocab
+from ledgerlens.functions import text
+from ledgerlens.operators import analytics, memo, periods
 from ledgerlens.plans import records
+from ledgerlens.sources import derive
 
 
 @pytest.fixture(scope="module")
@@ -62,3 +66,48 @@ def test_risks_tones_and_evidence_are_those_of_the_documents_of_a_report(spark,
         assert all(k["source_chunk_id"] == i and k["page_number"] == 1 for k in r["risks"] or [])
         assert any("Filing" in x["chunk_text"] and len(x["chunk_text"]) > 300 * int(i) for x in r["evidence"]) == (i != "9")
     assert sum(bool(r["risks"]) for r in held.values()) > 5
+
+
+def test_a_text_is_read_once_to_validate_it(spark, rows):
+    reads = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def told(body):
+        reads.add(1)
+        return body
+
+    texts = spark.createDataFrame([("a", "x", "Up 500 and 777."), ("b", "x", "A strong buy at 777, 888."), ("c", "y", None)], "memo_id string, company_id string, body string")
+    own = spark.createDataFrame([("a", 500.0)], "memo_id string, value double")
+    shared = spark.createDataFrame([("x", 777.0)], "company_id string, value double")
+    out = memo.validate_memos(texts.withColumn("body", told("body")), own, shared, places=memo.ROUNDED)
+    assert rows(out, "memo_id", "ungrounded", "accepted") == [("a", 0, True), ("b", 1, False), ("c", 0, True)]
+    assert reads.value == 3
+
+
+def test_roundings_hold_where_numbers_meet_values(spark, rows):
+    texts = spark.createDataFrame([("a", "at 25"), ("b", "at 25")], "memo_id string, body string")
+    close = spark.createDataFrame([("a", 23.6), ("b", 23.4)], "memo_id string, value double")  # 24 is near 25, 23 is not
+    assert rows(memo.check_grounding(texts, close), "memo_id", "ungrounded") == [("a", 1), ("b", 1)]
+    assert rows(memo.check_grounding(texts, close, places=memo.ROUNDED), "memo_id", "ungrounded") == [("a", 0), ("b", 1)]
+    many = [(m, 20 + i * 0.37 * (1 + m)) for m in range(4) for i in range(60)] + [(0, -25.5), (1, 0.0), (2, 1e9)]
+    allowed = spark.createDataFrame(many, "memo_id int, value double").withColumn("memo_id", F.col("memo_id").cast("string"))
+    texts = spark.createDataFrame([(str(m), " and ".join(f"{21.3 + k * 0.83 * (1 + m):.2f}" for k in range(80))) for m in range(4)], "memo_id string, body string")
+    each = memo._with_roundings(allowed.withColumnRenamed("value", "_v"), "memo_id")
+    want = rows(memo.check_grounding(texts, each), "memo_id", "ungrounded")
+    assert any(n for _, n in want) and rows(memo.check_grounding(texts, allowed, places=memo.ROUNDED), "memo_id", "ungrounded") == want
+
+
+def test_signals_are_worded_for_readers_of_words_only(spark, tables):
+    quarters = derive.quarter_sums(spark, tables)
+    signals = analytics.comparison_signals(periods.compare_periods(derive.metrics(spark, tables, quarters), deduped=True, carry=("report_id",)))
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "format_number" in plan(signals) and "format_number" not in plan(signals.select("report_id", "value"))
+
+
+@pytest.mark.parametrize("patterns", [vocab.PROHIBITED_PHRASES, vocab.RISK_TRIGGERS, [r"\bcat|dog\b", r"\bcow\b"]])
+def test_patterns_with_a_common_boundary_match_as_before(spark, patterns):
+    texts = ["a STRONG buy now", "astrong buy", "Rating : hold", "operating: holds", "éprice target", "price  target", "hotdog", "cats", "xcow", "cow!", "it may be", "maybe", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    plain = F.col("t").rlike("(?iu)(?U)" + "|".join(f"(?:{p})" for p in patterns))
+    got = df.select(text.matches_any(F.col("t"), patterns).alias("a"), plain.alias("b")).collect()
+    assert [r["a"] for r in got] == [r["b"] for r in got]
