@@ -336,7 +336,7 @@ def _grounding(read: DataFrame, allowed: DataFrame, shared: DataFrame | None, fa
         F.count(F.lit(1)).alias("times"))
     # bucket = floor(log(1 + |v|) * 32): a bucket is about 3 percent wide, wider than either band above 50
     bucket = lambda v: F.floor(F.log(F.abs(v) + 1) * 32).cast("int")
-    more = 0.51 if places else 0.0
+    more = 0.52 if places else 0.0  # what rounding adds to either band
     low = lambda v: F.least(v - 1.0, v / 1.02) - more
     high = lambda v: F.greatest(v + 1.0, v / 0.98) + more
     values = lambda df, key: df.filter(F.col("value").isNotNull()).select(
@@ -349,8 +349,13 @@ def _grounding(read: DataFrame, allowed: DataFrame, shared: DataFrame | None, fa
         return (gap <= 1.0) | ((value != 0) & (gap / F.abs(value) <= 0.02))
 
     holds = near(F.col("value"))
-    for k in places:
-        holds = holds | near(F.bround("value", k))
+    if places:
+        # rounding moves a value by a half at most, so most pairs need not be rounded
+        close = F.abs(F.col("value") - F.col("number")) <= F.greatest(F.lit(1.0), F.abs("value") * 0.02) + more
+        rounded = near(F.bround("value", places[0]))
+        for k in places[1:]:
+            rounded = rounded | near(F.bround("value", k))
+        holds = holds | (close & rounded)
     hits = probe.join(values(allowed, "memo_id"), ["memo_id", "_b"]).filter(holds).select("memo_id", "number")
     if shared is not None:
         hits = hits.unionByName(probe.join(values(shared, "company_id"), ["company_id", "_b"]).filter(holds).select("memo_id", "number"))
